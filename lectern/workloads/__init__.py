@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "corpus")
+MODULES = ("texts", "corpus", "selecting")
 
 
 def _load() -> None:
