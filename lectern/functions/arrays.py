@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -14,7 +15,17 @@ def _column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def literal_array(items: Sequence[str]) -> Column:
+    """Constant string array; one literal that the optimizer folds, however long the list is."""
+    return F.from_json(F.lit(json.dumps(list(items))), "array<string>")
+
+
 def literal_map(mapping: Mapping) -> Column:
+    """Constant map; string keys are passed as one literal that the optimizer folds."""
+    keys, values = list(mapping), list(mapping.values())
+    for kind, name in ((str, "string"), (int, "int")):
+        if all(isinstance(k, str) for k in keys) and all(type(v) is kind for v in values):
+            return F.from_json(F.lit(json.dumps(dict(mapping))), f"map<string,{name}>")
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
@@ -26,7 +37,7 @@ def map_value(col: Column | str, mapping: Mapping[str, str], default: str | None
 
 def map_ids(col: Column | str, names: Sequence[str] = fixed.EMOTION_IDS) -> Column:
     """Ids to names; an id outside the list becomes ``unknown``."""
-    table = F.array(*[F.lit(n) for n in names])
+    table = literal_array(names)
     return F.transform(_column(col), lambda i: F.coalesce(F.get(table, i), F.lit("unknown")))
 
 
@@ -38,7 +49,7 @@ def pick_by_priority(
 ) -> Column:
     """Map every element, then take the first of ``order`` that is present."""
     mapped = F.transform(_column(col), lambda x: map_value(x, mapping, default))
-    present = F.array_intersect(F.array(*[F.lit(o) for o in order]), mapped)
+    present = F.array_intersect(literal_array(order), mapped)
     return F.coalesce(F.get(present, F.lit(0)), F.lit(default))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.functions.arrays import map_value
+from lectern.functions.arrays import literal_map, map_value
 from lectern.functions.text import blank_to_null
 
 
@@ -84,11 +84,10 @@ def label_index(head: Column | str, label: Column | str) -> Column:
     head_col = F.col(head) if isinstance(head, str) else head
     label_col = F.col(label) if isinstance(label, str) else label
     keyed = {f"{h}|{x}": i for h in fixed.HEADS for i, x in enumerate(fixed.LABELS[h])}
-    table = F.create_map(*[F.lit(v) for pair in keyed.items() for v in pair])
-    return F.try_element_at(table, F.concat(head_col, F.lit("|"), label_col))
+    return F.try_element_at(literal_map(keyed), F.concat(head_col, F.lit("|"), label_col))
 
 
 def n_classes(head: Column | str) -> Column:
     head_col = F.col(head) if isinstance(head, str) else head
     sizes = {h: len(v) for h, v in fixed.LABELS.items()}
-    return F.element_at(F.create_map(*[F.lit(v) for p in sizes.items() for v in p]), head_col)
+    return F.element_at(literal_map(sizes), head_col)

@@ -76,7 +76,8 @@ def strip_leaked_labels(col: Column | str) -> Column:
     tail = (
         f"(?i)(?:etiquetas:{_WS}*)?{label}[^,\\n]+(?:[,{_WS_CHARS}]+{label}[^,\\n]+)*{_WS}*\\z"
     )
-    text = strip(F.regexp_replace(strip(F.coalesce(_column(col), F.lit(""))), prefix, ""))
+    whole = strip(F.coalesce(_column(col), F.lit("")))
+    text = strip(F.regexp_replace(whole, prefix, ""))
     text = strip(F.regexp_replace(text, tag_tail, ""))
 
     def keep(line: Column) -> Column:
@@ -86,7 +87,10 @@ def strip_leaked_labels(col: Column | str) -> Column:
         return ~(listing | strip(low).startswith("etiquetas:"))
 
     lines = F.filter(F.split(text, _LINE_END), keep)
-    return strip(F.regexp_replace(strip(F.array_join(lines, "\n")), tail, ""))
+    cleaned = strip(F.regexp_replace(strip(F.array_join(lines, "\n")), tail, ""))
+    # most texts name no label: one search decides, and only line ends are unified
+    suspect = whole.rlike(f"(?i){keys}|etiquetas:")
+    return F.when(suspect, cleaned).otherwise(F.regexp_replace(whole, _LINE_END, "\n"))
 
 
 def unescape(col: Column | str) -> Column:

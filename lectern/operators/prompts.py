@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lectern import fixed
 from lectern import fixed_prompts as P
-from lectern.functions.arrays import pct_display
+from lectern.functions.arrays import map_value, pct_display
 from lectern.functions.text import render, strip
 from lectern.plans.ranking import number_rows
 
@@ -80,8 +80,7 @@ def uncertainty_notes() -> Column:
 
 def rule(head: str) -> Column:
     """Rule text of the row's label, with the suffix of a weak head."""
-    table = F.create_map(*[F.lit(x) for pair in P.RULES[head].items() for x in pair])
-    text = F.coalesce(F.try_element_at(table, F.col(head)), F.lit(P.RULE_DEFAULT[head]))
+    text = map_value(head, P.RULES[head], P.RULE_DEFAULT[head])
     suffix = F.when(_weak(head), P.WEAK_SUFFIX[head]).otherwise("")
     return F.concat(F.lit(P.RULE_TITLES[head]), text, suffix)
 

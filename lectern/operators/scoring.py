@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions import labels as L
-from lectern.functions.arrays import add_bias, argmax, geo_mean, pad_ids, softmax, token_views
+from lectern.functions.arrays import add_bias, argmax, geo_mean, literal_array, pad_ids, softmax, token_views
 from lectern.functions.text import tokens
 from lectern.operators.metrics import metrics
 from lectern.operators.vocab import encode_tokens
@@ -30,7 +30,7 @@ def decode_logits(df: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame
     probs = df.select(*keep, *[softmax(_checked(df, h)).alias(f"__p_{h}") for h in fixed.HEADS])
     out = []
     for head in fixed.HEADS:
-        names = F.array(*[F.lit(x) for x in fixed.LABELS[head]])
+        names = literal_array(fixed.LABELS[head])
         out.append(F.get(names, argmax(f"__p_{head}")).alias(head))
         out.append(F.array_max(f"__p_{head}").alias(f"conf_{head}"))
     decoded = probs.select(*keep, *out)

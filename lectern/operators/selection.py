@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern import fixed
-from lectern.functions.arrays import clamp
+from lectern.functions.arrays import clamp, literal_array
 from lectern.functions.labels import is_synthetic
 from lectern.plans.ranking import null_safe_join, number_by_hash, number_rows
 from lectern.plans.scratch import settle
@@ -153,7 +153,7 @@ def accept_within_deficit(
 def assign_round_robin(df: DataFrame, names: Sequence[str], start: int = 0, out: str = "model") -> DataFrame:
     """Row i (in ``ord`` order) goes to name ``(start + i) mod k``."""
     numbered = number_rows(df, [F.asc("ord")], out="__i")
-    table = F.array(*[F.lit(n) for n in names])
+    table = literal_array(names)
     place = (F.col("__i") - 1 + start) % len(names)
     return numbered.withColumn(out, F.get(table, place.cast("int"))).drop("__i")
 

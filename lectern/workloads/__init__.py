@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "corpus", "selecting")
+MODULES = ("texts", "corpus", "selecting", "models")
 
 
 def _load() -> None:

@@ -81,7 +81,7 @@ def sql_pick(items, position: str) -> str:
 
 
 def pick(items, position: Column) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in items]), (position % len(items)).cast("int"))
+    return F.get(A.literal_array(items), (position % len(items)).cast("int"))
 
 
 # The given texts are invented prose, so the term lists are fragments that occur in it.
