@@ -216,18 +216,9 @@ def snippet(col: Column | str, head: int = 320, tail: int = 240, cap: int = 1400
 
 
 def json_object_text(col: Column | str) -> Column:
-    """The text from the first ``{`` to the last ``}`` of a reply, without code fences."""
-    text = strip(_column(col))
-    fenced = text.startswith("```")
-    after_line = F.substring(text, F.instr(text, "\n") + 1, F.length(text))
-    opened = F.when(fenced & text.contains("\n"), after_line).when(
-        fenced, F.substring(text, 4, F.length(text))
-    ).otherwise(text)
-    closed = F.when(opened.endswith("```"), F.left(opened, F.length(opened) - 3)).otherwise(opened)
-    start = F.instr(closed, "{")
-    stop = F.length(closed) - F.instr(F.reverse(closed), "}") + 1
-    found = closed.contains("{") & closed.contains("}") & (stop > start)
-    return F.when(found, F.substring(closed, start, stop - start + 1))
+    """The text from the first ``{`` to the last ``}`` of a reply, without an opening code fence."""
+    unfenced = F.regexp_replace(strip(_column(col)), "\\A```(?:[^\\n]*\\n)?", "")
+    return F.nullif(F.regexp_extract(unfenced, "(?s)\\{.*\\}", 0), F.lit(""))
 
 
 def extract_json(col: Column | str, schema: str) -> Column:

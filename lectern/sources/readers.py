@@ -20,18 +20,24 @@ ITEM_SCHEMA = (
 PAGE_SCHEMA = f"items array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ITEM_SCHEMA.split(', '))}>>, has_more boolean, quota_remaining int, backoff double"
 
 
+def array_objects(documents: DataFrame, schema: StructType | str, col: str = "value") -> DataFrame:
+    """Texts that each hold one JSON array to its objects; other elements are dropped, a text
+    that is no array is an error."""
+    text = strip(col)
+    elements = F.from_json(text, "array<string>")
+    not_array = F.raise_error(F.lit("the document must be a JSON array")).cast("array<string>")
+    checked = F.when(elements.isNotNull() & text.startswith("["), elements).otherwise(not_array)
+    objects = documents.select(F.explode(checked).alias("o")).where(strip("o").startswith("{"))
+    return objects.select(F.from_json("o", schema).alias("r")).select("r.*")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON files that each hold one array of objects; elements that are no objects are dropped.
+    """JSON files that each hold one array of objects.
 
     One JSON document cannot be split, so a file is one task; tables that grow are kept as
-    Parquet or JSON lines (:func:`read_table`). A file that is not an array is an error.
+    Parquet or JSON lines (:func:`read_table`).
     """
-    documents = spark.read.text(path, wholetext=True)
-    elements = F.from_json(strip("value"), "array<string>")
-    not_array = F.raise_error(F.lit(f"{path} must contain a JSON array")).cast("array<string>")
-    checked = F.when(elements.isNotNull() & strip("value").startswith("["), elements).otherwise(not_array)
-    objects = documents.select(F.explode(checked).alias("o")).where(strip("o").startswith("{"))
-    return objects.select(F.from_json("o", schema).alias("r")).select("r.*")
+    return array_objects(spark.read.text(path, wholetext=True), schema)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:

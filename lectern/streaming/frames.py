@@ -118,14 +118,21 @@ def usage(routed: DataFrame, request: str = "request_id") -> DataFrame:
     )
 
 
-def heartbeat(frames: DataFrame, until: str) -> DataFrame:
-    """A stream of one clock row later than ``until``: it moves the watermark past the last
-    session when a finished table is replayed. It carries no request."""
+def heartbeat(frames: DataFrame, until: str, request: str = "request_id") -> DataFrame:
+    """A stream of one clock row a day later than ``until``.
+
+    It moves the watermark past the last session when a finished table is replayed; its own
+    session stays open, so nothing is emitted for it.
+    """
     spark = frames.sparkSession
     path = scratch_path(spark, "clock")
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema if f.name != "ts"]
-    clock = spark.range(1).select(*empty, (F.lit(until).cast("timestamp") + F.expr("interval 1 day")).alias("ts"))
-    clock.select(*frames.columns).write.parquet(path)
+    values = {
+        request: F.lit("clock"),
+        "ts": F.lit(until).cast("timestamp") + F.expr("interval 1 day"),
+        "frame": F.lit('data: {"token": ""}'),
+    }
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in frames.schema]
+    spark.range(1).select(*columns).write.parquet(path)
     return spark.readStream.schema(frames.schema).parquet(path)
 
 
