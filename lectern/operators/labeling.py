@@ -17,7 +17,7 @@ from lectern.functions import text as T
 from lectern.operators.rows import labels_valid, normal_label, optional
 from lectern.operators.selection import accept_within_deficit, assign_round_robin, rank_calibration, rank_consensus
 from lectern.plans.ranking import keep_first
-from lectern.plans.scratch import settle
+from lectern.plans.scratch import once, settle
 
 REPLY_SCHEMA = "nivel_tecnico string, urgencia string, emocion string"
 PARSE_MESSAGE = "No se pudo parsear JSON de la respuesta."
@@ -162,9 +162,8 @@ def label_requests(
 def attempt_status(replies: DataFrame, heads: Sequence[str], max_attempts: int = 3) -> DataFrame:
     """Every attempt as ``ok``, ``json_parse``, ``schema_validation`` or ``error``, and whether
     it ends the row. Only rate, 429 and timeout errors are tried again."""
-    parsed = replies.where(F.col("attempt") <= max_attempts).withColumn(
-        "__p", T.extract_json("reply", REPLY_SCHEMA)
-    )
+    tried = replies.where(F.col("attempt") <= max_attempts)
+    parsed = once(tried, {"__p": T.extract_json("reply", REPLY_SCHEMA)})
     flat = parsed.withColumns({h: normal_label(F.col(f"__p.{h}")) for h in fixed.HEADS[:3]})
     status = (
         F.when(F.col("error").isNotNull(), "error")
@@ -180,8 +179,8 @@ def attempt_status(replies: DataFrame, heads: Sequence[str], max_attempts: int =
 
 def reply_status(replies: DataFrame, heads: Sequence[str] = fixed.HEADS[:2], max_attempts: int = 3, key: str = "question_id") -> DataFrame:
     """The attempt that settles each question (the first one that ends it)."""
-    ended = attempt_status(replies, heads, max_attempts).where("ends").drop("ends")
-    return keep_first(ended, [key], ["attempt"])
+    attempts = attempt_status(replies, heads, max_attempts)
+    return keep_first(attempts, [key], [F.desc("ends"), "attempt"]).where("ends").drop("ends")
 
 
 def reply_audit(outcomes: DataFrame, phase: str, max_attempts: int = 3, key: str = "question_id") -> DataFrame:

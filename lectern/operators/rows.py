@@ -11,6 +11,7 @@ from lectern import fixed
 from lectern.functions import labels as L
 from lectern.functions import text as T
 from lectern.plans.ranking import keep_first
+from lectern.plans.scratch import once
 
 
 def optional(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -51,7 +52,7 @@ def to_final_questions(df: DataFrame) -> DataFrame:
     source_id = F.coalesce(
         optional(df, "question_id", "long").cast("string"), optional(df, "source_id"), F.lit("")
     )
-    rows = df.withColumn("texto", text).where(F.col("texto").isNotNull())
+    rows = once(df, {"texto": text}).where(F.col("texto").isNotNull())
     return rows.select(
         *_carried(df),
         "texto",
@@ -77,7 +78,7 @@ def to_final_emotions(df: DataFrame, min_chars: int = 8) -> DataFrame:
         )
     )
     none = F.lit(None).cast("string")
-    rows = df.withColumn("texto", T.strip(F.coalesce(text, F.lit(""))))
+    rows = once(df, {"texto": T.strip(F.coalesce(text, F.lit("")))})
     return rows.where(F.length("texto") >= min_chars).select(
         *_carried(df),
         "texto",
@@ -98,9 +99,7 @@ def to_final_emotions(df: DataFrame, min_chars: int = 8) -> DataFrame:
 def to_final_extra(df: DataFrame, min_chars: int = 20) -> DataFrame:
     """Extra synthetic rows; one label outside the sets drops the row."""
     text = F.coalesce(F.nullif(optional(df, "texto"), F.lit("")), optional(df, "text"))
-    rows = df.withColumn("texto", T.strip_leaked_labels(text)).where(
-        F.length("texto") >= min_chars
-    )
+    rows = once(df, {"texto": T.strip_leaked_labels(text)}).where(F.length("texto") >= min_chars)
     for head in fixed.HEADS[:3]:
         rows = rows.where(_in_set(T.strip(head), head))
     return rows.select(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -37,3 +38,25 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that is stored in too few pieces.
+
+    A scan with fewer partitions than cores is redistributed once; a larger table comes in more
+    partitions than that and is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are evaluated exactly once per row.
+
+    Catalyst copies the expression of a column into every filter on it. A generator is a border
+    for that, so costly columns (parsing, regular expressions, Python) that are filtered on and
+    selected afterwards are not computed again.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from lectern import fixed
 from lectern.functions.arrays import majority_domain
 from lectern.functions.text import WHITESPACE, advanced_score, html_to_text, strip, unescape, urgency_score
+from lectern.plans.scratch import once
 
 ITEM_SCHEMA = (
     "question_id bigint, title string, body string, tags array<string>, score int, view_count int, "
@@ -82,12 +83,13 @@ def question_candidates(items: DataFrame, min_title: int = 8, min_body: int = 20
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     # entities are resolved on the joined tags; the separator cannot occur in a tag
     clean_tags = F.when(F.size(tags) > 0, F.split(unescape(F.array_join(tags, "\n")), "\n")).otherwise(tags)
-    plain = items.where(F.col("question_id").isNotNull()).withColumns(
+    plain = once(
+        items.where(F.col("question_id").isNotNull()),
         {
             "title": unescape(F.coalesce("title", F.lit(""))),
             "body": html_to_text("body"),
             "tags": clean_tags,
-        }
+        },
     )
     long_enough = plain.where((F.length(strip("title")) >= min_title) & (F.length(strip("body")) >= min_body))
     text = F.concat_ws(" ", "title", "body")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.plans.scratch import scratch_path
+from lectern.plans.scratch import once, scratch_path
 
 PAYLOAD = (
     "token string, type string, provider string, tokens_input long, tokens_output long, "
@@ -26,9 +26,10 @@ def frame_data(frame: Column | str) -> Column:
 
 def parse_sse(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Frames to payload fields; frames without data, end marks and bad JSON are dropped."""
-    data = df.withColumn("__data", frame_data(frame)).where(F.col("__data").isNotNull())
-    sound = data.where(F.try_parse_json("__data").isNotNull())
-    return sound.withColumn("payload", F.from_json("__data", PAYLOAD)).drop("__data")
+    data = once(df, {"__data": frame_data(frame)}).where(F.col("__data").isNotNull())
+    options = {"columnNameOfCorruptRecord": "bad"}
+    parsed = once(data, {"payload": F.from_json("__data", f"{PAYLOAD}, bad string", options)})
+    return parsed.where(F.col("payload.bad").isNull()).drop("__data")
 
 
 def route_events(parsed: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import arrays as A
 from lectern.functions import text as T
+from lectern.plans.scratch import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations", "events") else df
 
 
 # --- SQL fragments ----------------------------------------------------------------------
