@@ -220,11 +220,10 @@ def final_split(spark, sf):
     return SP.split_final(rows).groupBy("fuente", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_N_EVAL = "CAST(ceil(round((1 - 0.7::DOUBLE) * n, 9)) AS BIGINT)"
-
-
 @query(with_(FINAL) + f""", keyed AS (SELECT ord, {sql_pick(('alta', 'media', 'baja'), 'ord % 5')} AS urgencia, emocion FROM final_rows),
-strata AS (SELECT ord, '_|' || urgencia || '|' || emocion || '|_' AS stratum FROM keyed),
+combos AS (SELECT ord, emocion, '_|' || urgencia || '|' || emocion || '|_' AS combo FROM keyed),
+usable AS (SELECT min(k) >= 2 AND sum(k) >= 10 AS yes FROM (SELECT count(*) AS k FROM combos GROUP BY combo)),
+strata AS (SELECT ord, CASE WHEN yes THEN combo ELSE emocion END AS stratum FROM combos, usable),
 sizes AS (SELECT stratum, count(*) AS k FROM strata GROUP BY 1),
 tot AS (SELECT *, CAST(ceil(round((1 - 0.7::DOUBLE - 0.15) / (1 - 0.7::DOUBLE) * e, 9)) AS BIGINT) AS t FROM (SELECT CAST(sum(k) AS BIGINT) AS n, CAST(ceil(round((1 - 0.7::DOUBLE) * sum(k), 9)) AS BIGINT) AS e FROM sizes)),
 a AS (SELECT stratum, k, n, e, t, floor(k * e::DOUBLE / n::DOUBLE) AS b, k * e::DOUBLE / n::DOUBLE - floor(k * e::DOUBLE / n::DOUBLE) AS rest FROM sizes, tot),
