@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from lectern import fixed
 from lectern.functions.arrays import clamp, literal_array
 from lectern.functions.labels import is_synthetic
-from lectern.plans.ranking import null_safe_join, number_by_hash, number_rows
+from lectern.plans.ranking import null_safe_join, number_by_hash, number_by_key, number_rows
 from lectern.plans.scratch import settle
 
 
@@ -88,18 +88,21 @@ def select_balanced(
 
     Adds ``picked_by`` (``floor`` or ``fill``). ``question_id`` must be unique.
     """
-    ready = df.withColumn(domain, F.coalesce(F.col(domain), F.lit("general")))
+    ready = df.select(
+        "question_id", "ord", "score", "urgency_signal", "advanced_signal", "creation_date",
+        F.coalesce(F.col(domain), F.lit("general")).alias(domain),
+    )
     alloc = settle(allocate(ready, wanted or quotas(), total, domain), "alloc")
     placed = rank_diverse(ready, domain).join(alloc.select(domain, "alloc"), domain)
     marked = settle(placed.withColumn("__floor", F.col("place") < F.col("alloc")), "placed")
-    floor_rows = marked.where("__floor").drop("__floor", "alloc", "place")
+    floor_rows = marked.where("__floor").select("question_id", F.lit("floor").alias("picked_by"))
     need = total - alloc.agg(F.coalesce(F.sum("alloc"), F.lit(0))).first()[0]
-    rest = marked.where(~F.col("__floor")).drop("__floor", "alloc", "place")
+    rest = marked.where(~F.col("__floor"))
     order = [F.desc("urgency_signal"), F.desc("advanced_signal"), F.desc("creation_date"), F.asc("ord")]
-    fill = number_rows(rest, order, out="__f").where(F.col("__f") <= need).drop("__f")
-    return floor_rows.withColumn("picked_by", F.lit("floor")).unionByName(
-        fill.withColumn("picked_by", F.lit("fill"))
-    )
+    fill = number_rows(rest, order, out="__f").where(F.col("__f") <= need)
+    fill_rows = fill.select("question_id", F.lit("fill").alias("picked_by"))
+    # ranking ran on slim rows; the wide ones are only joined with the chosen ids
+    return df.join(settle(floor_rows.unionByName(fill_rows), "chosen"), "question_id")
 
 
 def calibration_score(need_advanced: bool, need_high: bool, need_low: bool) -> Column:
@@ -152,7 +155,7 @@ def accept_within_deficit(
 
 def assign_round_robin(df: DataFrame, names: Sequence[str], start: int = 0, out: str = "model") -> DataFrame:
     """Row i (in ``ord`` order) goes to name ``(start + i) mod k``."""
-    numbered = number_rows(df, [F.asc("ord")], out="__i")
+    numbered = number_by_key(df, "ord", [], [F.asc("ord")], out="__i")
     table = literal_array(names)
     place = (F.col("__i") - 1 + start) % len(names)
     return numbered.withColumn(out, F.get(table, place.cast("int"))).drop("__i")
@@ -161,8 +164,8 @@ def assign_round_robin(df: DataFrame, names: Sequence[str], start: int = 0, out:
 def trim_to_target(df: DataFrame, target: int, source: str = "fuente") -> DataFrame:
     """At most ``target`` rows: real rows in order, then synthetic ones in order."""
     marked = df.withColumn("__s", is_synthetic(source).cast("int"))
-    ranked = number_rows(marked, [F.asc("__s"), F.asc("ord")], out="__t")
-    return ranked.where(F.col("__t") <= target).drop("__s", "__t")
+    order = [F.asc("__s"), F.asc("ord")]
+    return number_by_key(marked, "ord", ["__s"], order, out="__t", most=target).drop("__s", "__t")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "ord") -> DataFrame:

@@ -50,6 +50,20 @@ def number_rows(
     return numbered.drop(_MID)
 
 
+def number_by_key(
+    df: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column], by: Sequence[str] = (),
+    out: str = "rn", most: int | None = None,
+) -> DataFrame:
+    """:func:`number_rows` for wide rows: only the unique ``key`` and the ordering ``columns``
+    are ranged and written, and the numbers are joined back. With ``most`` only those rows stay,
+    and the join is a broadcast as long as their file is small."""
+    slim = df.select(*dict.fromkeys([key, *by, *columns]))
+    numbered = number_rows(slim, order, by, out)
+    if most is not None:
+        numbered = settle(numbered.where(F.col(out) <= most), "first")
+    return df.join(numbered.select(key, out), key)
+
+
 def hash_key(id_col: Column | str, seed: int) -> Column:
     """Seeded order key of a row: hex md5 of ``seed|id``."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col
