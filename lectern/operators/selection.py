@@ -12,7 +12,7 @@ from lectern import fixed
 from lectern.functions.arrays import clamp, literal_array
 from lectern.functions.labels import is_synthetic
 from lectern.plans.ranking import null_safe_join, number_by_hash, number_by_key, number_rows
-from lectern.plans.scratch import settle
+from lectern.plans.scratch import settle, small
 
 
 def quotas(profile: str = "default", overrides: Mapping[str, int] | None = None) -> dict[str, int]:
@@ -76,7 +76,7 @@ def rank_diverse(df: DataFrame, domain: str = "domain", high_score: int = 10, ou
     sizes = scored.groupBy(domain).agg(
         F.count_if(~F.col("__high")).alias("__n_low"), F.count_if("__high").alias("__n_high")
     )
-    joined = null_safe_join(numbered, settle(sizes, "sizes"), [domain])
+    joined = null_safe_join(numbered, small(sizes, "sizes"), [domain])
     place = interleaved_rank(F.col("__r") - 1, F.col("__high"), F.col("__n_low"), F.col("__n_high"))
     return joined.withColumn(out, place).drop("__r", "__high", "__n_low", "__n_high")
 
@@ -88,11 +88,13 @@ def select_balanced(
 
     Adds ``picked_by`` (``floor`` or ``fill``). ``question_id`` must be unique.
     """
-    ready = df.select(
+    # the signals behind these columns read whole texts: computed once, used by every step
+    slim = df.select(
         "question_id", "ord", "score", "urgency_signal", "advanced_signal", "creation_date",
         F.coalesce(F.col(domain), F.lit("general")).alias(domain),
     )
-    alloc = settle(allocate(ready, wanted or quotas(), total, domain), "alloc")
+    ready = settle(slim, "candidates")
+    alloc = small(allocate(ready, wanted or quotas(), total, domain), "alloc")
     placed = rank_diverse(ready, domain).join(alloc.select(domain, "alloc"), domain)
     marked = settle(placed.withColumn("__floor", F.col("place") < F.col("alloc")), "placed")
     floor_rows = marked.where("__floor").select("question_id", F.lit("floor").alias("picked_by"))
@@ -118,7 +120,9 @@ def rank_calibration(
 ) -> DataFrame:
     """Rows with a useful signal, the strongest first, at most ``most`` of them."""
     scored = df.withColumn("cal_score", calibration_score(need_advanced, need_high, need_low))
-    ranked = number_rows(scored.where(F.col("cal_score") > 0), [F.desc("cal_score"), F.asc("ord")], out=out)
+    # written before ranking, as range sampling would evaluate the text signals a second time
+    useful = settle(scored.where(F.col("cal_score") > 0), "useful")
+    ranked = number_rows(useful, [F.desc("cal_score"), F.asc("ord")], out=out)
     return ranked if most is None else ranked.where(F.col(out) <= most)
 
 
@@ -129,7 +133,7 @@ def calibration_candidates(df: DataFrame) -> DataFrame:
 
 def rank_consensus(df: DataFrame, most: int = 80, out: str = "rn") -> DataFrame:
     """Rows that miss a target label their text hints at; advanced, urgent, score, date first."""
-    useful = df.where(F.col("advanced") | F.col("high_urgency"))
+    useful = settle(df.where(F.col("advanced") | F.col("high_urgency")), "useful")
     order = [
         F.col("advanced").cast("int").desc(), F.col("high_urgency").cast("int").desc(),
         clamp("score", None, 10).desc(), F.desc("creation_date"), F.asc("ord"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.plans.scratch import settle
+from lectern.plans.scratch import settle, small
 
 _MID, _PID, _BASE, _FIRST = "__mid", "__pid", "__base", "__first"
 _OFFSET_MASK = (1 << 33) - 1
@@ -44,7 +44,7 @@ def number_rows(
     position = F.col(_BASE) + F.col(_MID).bitwiseAND(F.lit(_OFFSET_MASK))
     numbered = numbered.withColumn(out, (position + 1).cast("long")).drop(_PID, _BASE)
     if by:
-        starts = settle(numbered.groupBy(*by).agg(F.min(out).alias(_FIRST)), "starts")
+        starts = small(numbered.groupBy(*by).agg(F.min(out).alias(_FIRST)), "starts")
         numbered = null_safe_join(numbered, starts, by)
         numbered = numbered.withColumn(out, F.col(out) - F.col(_FIRST) + 1).drop(_FIRST)
     return numbered.drop(_MID)

@@ -40,6 +40,21 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """An aggregate that is usually small, evaluated once.
+
+    Up to ``SMALL_ROWS`` rows become a local table with a broadcast hint; a larger result is
+    written like any other table and joined as Catalyst sees fit.
+    """
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        return settle(df, name)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a table that is stored in too few pieces.
 
