@@ -15,7 +15,7 @@ HEADLINE = (
     "corpus_splits", "dedupe_exact", "duplicate_report", "normalize_text", "strip_leaked_labels", "html_to_text",
     "fold_text", "tokenize", "term_signals", "majority_domain", "label_counts", "quality_report", "split_overlap",
     "balanced_selection", "cap_synthetic", "repair_support", "stratified_split", "generate_balanced", "corpus_build",
-    "token_freq", "build_vocab", "encode", "feature_table", "vector_alignment", "metrics_by_source", "confusion",
+    "token_freq", "build_vocab", "encode", "metrics_by_source", "confusion",
     "bias_calibration", "decode_logits", "average_views", "reply_status", "calibrate_labels", "history_window",
     "prompt_messages", "assemble_responses", "stream_assemble", "supersede", "early_stop",
 )

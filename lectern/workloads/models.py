@@ -13,7 +13,7 @@ from lectern.operators import scoring as SC
 from lectern.operators import vocab as V
 from lectern.plans.scratch import settle
 from lectern.workloads.base import (
-    FINAL, FINAL_LONG, LOGITS, PREDICTIONS, final_rows, predictions, q, query, r6, sql_list, sql_tokens, table, wide_logits, with_,
+    FINAL, FINAL_LONG, LOGITS, PREDICTIONS, final_rows, predictions, query, r6, sql_list, sql_tokens, table, wide_logits, with_,
 )
 from lectern.workloads.corpus import LABEL_TABLE
 

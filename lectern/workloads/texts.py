@@ -10,7 +10,7 @@ from lectern.functions import arrays as A
 from lectern.functions import text as T
 from lectern.operators.labeling import render_label_prompt
 from lectern.workloads.base import (
-    COUNT_A, COUNT_U, EMOTION_TERMS, LOW_TERMS, QUESTIONS, STRONG_A, STRONG_U, TAGS, WEAK_A, WEAK_U,
+    EMOTION_TERMS, LOW_TERMS, QUESTIONS, STRONG_A, STRONG_U, TAGS, WEAK_A, WEAK_U,
     WS, pick, q, query, questions, sql_any, sql_hits, sql_list, sql_map, sql_norm, sql_pick, sql_strip,
     sql_tokens, table, with_,
 )
