@@ -32,8 +32,8 @@ from lectern.plans.scratch import settle
 
 SHINGLE, CHUNKS, WIDTH = 5, 16, 4
 SYMBOLS = CHUNKS * WIDTH
-#: Pairs farther apart than this are not compared: over six standard deviations from similarity 0.75.
-REACH = 38
+#: Pairs farther apart than this are not compared: over five standard deviations from similarity 0.75.
+REACH = 34
 #: Shingles of the members of one block, and pairs of a hot document that one task compares.
 BLOCK_SHINGLES, HOT_PAIRS = 500_000, 500
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -204,7 +204,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = found.where("id IS NOT NULL AND same IS NOT NULL")
     classes = linked.groupBy("same").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = settle(classes, "classes")
-    entries = classes.select("id", F.explode(_keys("sig")).alias("bucket"))
+    # dealt out once; the heads and the join below both use it
+    entries = classes.select("id", F.explode(_keys("sig")).alias("bucket")).repartition("bucket")
     heads = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = settle(entries.join(heads, "bucket"), "buckets")
 
