@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ def fold(id_col: str, folds: int) -> Column:
     return (F.crc32(text.cast("binary")) % folds).cast("int")
 
 
+def keep_rows(df: DataFrame, text_col: str, scorer: Callable, keep: Callable) -> DataFrame:
+    """The rows, with all their columns, for which ``keep`` of the score of the text holds.
+
+    ``scorer`` is called once per task and returns a function from a list of texts to scores.
+    """
+    short_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            if len(batch):
+                yield batch.filter(pa.array(keep(score(batch.column(at).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, as UTF-8."""
     return encoded(text).lower().split()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import encoded, fold, query, short_batches, table
+from lectern.llm.common import encoded, fold, keep_rows, query, short_batches, table
 from lectern.llm.toxicity import sample_labels
 from lectern.plans.scratch import settle
 
@@ -248,6 +248,16 @@ def score_quality(df: DataFrame, model: Quality, id_col: str = "doc_id", text_co
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, score double")
 
 
+def keep_good(df: DataFrame, model: Quality, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text scores at the threshold or above."""
+
+    def scorer():
+        slots = Slots()
+        return lambda texts: model.probability(model.pooled(texts, slots))
+
+    return keep_rows(df, text_col, scorer, lambda score: score >= threshold)
+
+
 @query()
 def op8_quality(spark, sf):
     """A quality score of every document, learned outside the held-out fifth."""

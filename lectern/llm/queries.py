@@ -6,7 +6,7 @@ import importlib
 
 from lectern.llm.common import ORACLES, QUERIES
 
-MODULES = ("bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes")
+MODULES = ("bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes", "lm_score")
 
 for _name in MODULES:
     importlib.import_module(f"lectern.llm.{_name}")

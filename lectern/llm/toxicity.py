@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fold, query, short_batches, table, words
+from lectern.llm.common import fold, keep_rows, query, short_batches, table, words
 from lectern.plans.scratch import settle
 
 _EDGE = b".,;:!?\"'()[]{}|*#$%&-_/\\<>"
@@ -302,6 +302,15 @@ def score_toxicity(df: DataFrame, model: Toxicity, id_col: str = "doc_id", text_
     return slim.mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<score: double, first: int, last: int>>")
 
 
+def drop_toxic(df: DataFrame, model: Toxicity, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text scores below the threshold."""
+
+    def scorer():
+        return lambda texts: model.probability(np.array([model.features(words(t))[0] for t in texts]).reshape(-1, 4))
+
+    return keep_rows(df, text_col, scorer, lambda score: score < threshold)
+
+
 @query()
 def op7_toxicity(spark, sf):
     """A toxicity score of every document, learned outside the held-out fifth."""
