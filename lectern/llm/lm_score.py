@@ -36,9 +36,10 @@ from lectern.plans.scratch import settle
 #: Bits of the slot number of each predictor: one to four bytes, whole beginning.
 TABLES = (16, 18, 19, 19, 20)
 #: Words of a block, and bytes that are coded together.
-BLOCK_TOKENS, CHUNK = 3_000_000, 400_000
+BLOCK_TOKENS, CHUNK = 5_000_000, 400_000
 #: Classes of documents, documents they are found on, and slots of their words.
 CLASSES, CLASS_ROWS, CLASS_SLOTS = 6, 3000, 1024
+_CLASS_COLUMNS = [f"c{z}" for z in range(CLASSES)]
 #: Share of the words that the weights are learned on (one in so many, by hash), and the steps' size.
 LEARN_ONE_IN, RATE = 4, 0.02
 _GATES, _LEVELS, _SLOTS = 8 * 4 * 4, 24, 4096
@@ -213,14 +214,17 @@ def fit_classes(df: DataFrame, id_col: str, text_col: str, folds: int, held: int
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, classes: np.ndarray) -> DataFrame:
-    """``block, ids, held, sizes, at, words, trained``: documents as numbers of their block's words.
+    """Two kinds of rows: a block (``ids, held, sizes, packed``: documents as numbers of the block's
+    words), and every word of the block (``at, word, c0, c1, ..``).
 
-    The empty word stands for the end of a document. ``trained`` counts a word in the training documents
-    of each class.
-    A block is made by one task and written once, so its random number is never made again.
+    The empty word stands for the end of a document; ``c0, c1, ..`` count a word in the training documents
+    of each class. A block is made by one task and written once, so its random number is never made again.
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (fold(id_col, folds) == held).alias("held"))
-    names = ["block", "ids", "held", "sizes", "at", "words", "trained"]
+    kinds = pa.schema([
+        ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+        ("packed", pa.binary()), ("at", pa.int32()), ("word", pa.binary()), *((c, pa.int32()) for c in _CLASS_COLUMNS),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -229,21 +233,28 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
         ids, held_, sizes, at = [], [], [], []
         n = 0
 
-        def close() -> pa.RecordBatch:
-            flat = np.concatenate(at)
+        def close() -> Iterator[pa.RecordBatch]:
+            flat, words = np.concatenate(at), list(numbers)
             starts = np.append(0, np.cumsum(sizes)[:-1])
-            slots = np.fromiter(map(_slot, numbers), np.int64, len(numbers))
+            slots = np.fromiter(map(_slot, words), np.int64, len(words))
             fit = [np.add.reduceat(row[:-1][slots][flat], starts) + row[-1] for row in classes]
             of_token = np.repeat(np.argmax(fit, axis=0), sizes)
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
             cells = flat[train].astype(np.int64) * CLASSES + of_token[train]
-            trained = np.bincount(cells, minlength=len(numbers) * CLASSES).reshape(-1, CLASSES)
+            trained = np.bincount(cells, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
             packed = zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
-            return pa.RecordBatch.from_arrays([
-                pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), pa.array([ids], pa.list_(pa.int64())),
-                pa.array([held_], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([packed], pa.binary()),
-                pa.array([list(numbers)], pa.list_(pa.binary())), pa.array([list(trained)], pa.list_(pa.list_(pa.int64()))),
-            ], names)
+            name = int.from_bytes(os.urandom(8), "little", signed=True)
+            none = [pa.nulls(1, k.type) for k in kinds]
+            values = [[name], [ids], [held_], [sizes], [packed]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, k.type) for v, k in zip(values, kinds, strict=False)), *none[5:]], schema=kinds)
+            for first in range(0, len(words), 50_000):
+                part = words[first:first + 50_000]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(m, name)), *(pa.nulls(m, k.type) for k in list(kinds)[1:5]),
+                    pa.array(np.arange(first, first + m, dtype=np.int32)), pa.array(part, pa.binary()),
+                    *(pa.array(np.ascontiguousarray(trained[first:first + m, z])) for z in range(CLASSES)),
+                ], schema=kinds)
 
         for batch in batches:
             for i, text, out in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -256,15 +267,15 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
                 sizes.append(len(found))
                 n += len(found)
                 if n >= BLOCK_TOKENS:
-                    yield close()
+                    yield from close()
                     numbers, n = {}, 0
                     ids, held_, sizes, at = [], [], [], []
         if ids:
-            yield close()
+            yield from close()
 
-    return slim.mapInArrow(
-        run, "block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, at binary, words array<binary>, trained array<array<bigint>>"
-    )
+    counts = ", ".join(f"{c} int" for c in _CLASS_COLUMNS)
+    schema = f"block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, packed binary, at int, word binary, {counts}"
+    return slim.mapInArrow(run, schema)
 
 
 def _words_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -288,6 +299,9 @@ def _tables(words: DataFrame) -> list[np.ndarray]:
     """The predictor tables, added up over all words of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         sums = [np.zeros(2 << size) for size in TABLES]
         for batch in _gathered(batches):
             for _, some in _chunks(_words_of(batch)):
@@ -299,13 +313,15 @@ def _tables(words: DataFrame) -> list[np.ndarray]:
                 piece = own[part:part + 2 * _SLOTS]
                 if piece.any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([piece.astype("<f4").tobytes()], pa.binary())], ["k", "part", "sums"]
+                        [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(piece.astype("<f4").tobytes())], pa.binary())], ["k", "part", "sums"]
                     )
 
     def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        import zstandard
+
         total = np.zeros(2 * _SLOTS)
         for one in rows.column("sums").to_pylist():
-            total += np.frombuffer(one, dtype="<f4")
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(one), dtype="<f4")
         return pa.table({"k": [key[0]], "part": [key[1]], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())}, schema=pa.schema([("k", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())]))
 
     parts = words.mapInArrow(run, "k int, part int, sums binary").groupBy("k", "part").applyInArrow(add, "k int, part int, sums binary")
@@ -354,12 +370,11 @@ def score_documents(
     spark = df.sparkSession
     short_batches(spark)
     classes = fit_classes(df, id_col, text_col, folds, held)
-    blocks = settle(_blocks(df, id_col, text_col, folds, held, classes), "blocks")
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "x"))
-    entries = entries.select("block", "at", F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
-    names = [f"c{z}" for z in range(CLASSES)]
-    vocabulary = entries.groupBy("word").agg(*[F.sum(F.col("n")[z]).alias(c) for z, c in enumerate(names)])
-    vocabulary = settle(vocabulary.withColumn("c", sum(F.col(c) for c in names)), "vocabulary")
+    written = settle(_blocks(df, id_col, text_col, folds, held, classes), "blocks")
+    names = _CLASS_COLUMNS
+    entries = written.where("word IS NOT NULL").select("block", "at", "word", *names)
+    vocabulary = entries.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    vocabulary = settle(vocabulary, "vocabulary").withColumn("c", sum(F.col(c) for c in names))
     known = vocabulary.where("c > 0")
 
     def measures(c: str) -> list:
@@ -386,34 +401,34 @@ def score_documents(
             for first, some in _chunks(words):
                 bits[first:first + len(some)] = mixer.lengths(Coded.of(some))
             # all in logarithms, as the probability of a very long word is below any double
-            all_ = memory(counts[-1], -bits * np.log(2.0), sums_[0])
-            scores = [pa.array((memory(counts[z], all_, sums_[z + 1]) / np.log(10.0)).astype(np.float32)) for z in range(CLASSES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(len(batch.columns) - 1), *scores], ["word", "c", *names])
+            back = memory(counts[-1], -bits * np.log(2.0), sums_[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(back.astype(np.float32))], ["word", *names, "back"])
 
-    fields = ", ".join(f"{c} float" for c in names)
-    scored = vocabulary.mapInArrow(run, f"word binary, c bigint, {fields}")
+    fields = ", ".join(f"{c} bigint" for c in names)
+    scored = vocabulary.mapInArrow(run, f"word binary, {fields}, back float")
     priced = entries.select("block", "at", "word").join(scored, "word").select(
-        F.col("block").alias("of"), "at", "c", *names, F.octet_length("word").alias("size")
+        F.col("block").alias("of"), "at", "back", *names, F.octet_length("word").alias("size")
     )
     weights = classes[:, -1] / np.log(10.0) if total else np.full(CLASSES, -np.log10(CLASSES))
-    slim = blocks.select("block", "ids", "held", "sizes", F.col("at").alias("packed"), F.size("words").alias("n_words"))
+    slim = written.where("word IS NULL").select("block", "ids", "held", "sizes", "packed")
 
     def sums(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
         block = left.to_pylist()[0]
         place = right.column("at").to_numpy()
-        prices = {name: np.zeros(block["n_words"]) for name in ("c", "size", *names)}
+        prices = {name: np.zeros(len(place)) for name in ("back", "size", *names)}
         for name, own in prices.items():
             own[place] = right.column(name).to_numpy()
-        c, size = prices["c"], prices["size"]
+        c, size = sum(prices[z] for z in names), prices["size"]
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["packed"]), dtype=np.uint8)
         flat = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel() if len(raw) else np.empty(0, np.uint32)
         sizes = np.array(block["sizes"])
         starts = np.append(0, np.cumsum(sizes)[:-1])
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         per = lambda x: np.add.reduceat(x[flat], starts)
-        fit = np.array([per(prices[name]) for name in names]) + weights[:, None]
+        fit = [per(memory(prices[name], prices["back"], sums_[z + 1]) / np.log(10.0)) for z, name in enumerate(names)]
+        fit = np.array(fit) + weights[:, None]
         scores = fit.max(axis=0)
         scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))
         return pa.table({
