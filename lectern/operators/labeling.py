@@ -282,7 +282,7 @@ def label_deficits(labeled: DataFrame, targets: Mapping[str, int]) -> dict[str,
     return {x: max(0, goal - counts[x]) for x, goal in targets.items()}
 
 
-def calibration_requests(labeled: DataFrame, source: DataFrame, targets: Mapping[str, int], model: str, most: int = 180, **terms) -> DataFrame:
+def calibration_requests(labeled: DataFrame, source: DataFrame, targets: Mapping[str, int], model: str, most: int | None = None, **terms) -> DataFrame:
     """Ranked candidates for re-labelling with their prompts."""
     need = label_deficits(labeled, targets)
     signalled = with_signals(enrich(labeled, source), **terms)
@@ -350,7 +350,7 @@ def consensus(
     )
 
 
-def consensus_candidates(labeled: DataFrame, source: DataFrame, most: int = 80, **terms) -> DataFrame:
+def consensus_candidates(labeled: DataFrame, source: DataFrame, most: int | None = None, **terms) -> DataFrame:
     """Rows known to the source that miss a target label their text hints at, ranked."""
     inner = enrich(labeled, source, how="inner")
     signalled = with_signals(inner, **terms).withColumn("score", F.col("src_score")).withColumn(

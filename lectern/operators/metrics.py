@@ -154,7 +154,8 @@ def metrics_by_source(
 ) -> DataFrame:
     """Metrics per source and, with ``kinds``, for all real and all synthetic rows together.
 
-    Each prediction is counted for its source and its kind in one aggregate.
+    Each prediction is counted for its source and its kind in one aggregate. With ``min_rows`` smaller
+    sources keep their row and its count, without scores, and are marked in ``note``.
     """
     name = L.source_or_unknown(source)
     base = df.groupBy(name.alias("__src"), "head", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n0"))
@@ -165,7 +166,12 @@ def metrics_by_source(
         .agg(F.sum("n0").alias("n"))
     )
     out = metrics_from_cells(counted, ["source"])
-    return out.where(F.col("n_rows") >= min_rows) if min_rows else out
+    if not min_rows:
+        return out
+    few = F.col("n_rows") < min_rows
+    named = ("source", "head", "n_rows")
+    scores = [F.col(c) if c in named else F.when(~few, F.col(c)).alias(c) for c in out.columns]
+    return out.select(*scores, F.when(few, "skipped").alias("note"))
 
 
 def kind_of(source: Column | str) -> Column:

@@ -35,8 +35,9 @@ def history(turns: DataFrame, n: int = 10, conv: str = "conv_id", turn: str = "t
     )
     messages = turns.where(question != "").select(conv, turn, F.inline(said))
     numbered = number_rows(messages, [F.asc(turn), F.asc("kind")], [conv], "__m")
-    block = F.floor((F.col("__m") - 1) / _BLOCK)
-    near_end = (F.col("__m") - 1) % _BLOCK >= _BLOCK - n
+    size = max(_BLOCK, n)  # so that the block before always holds enough messages
+    block = F.floor((F.col("__m") - 1) / size)
+    near_end = (F.col("__m") - 1) % size >= size - n
     blocks = F.array_compact(F.array(block, F.when(near_end, block + 1)))
     spread = numbered.withColumn("__own", block).withColumn("__block", F.explode(blocks))
     before = W.partitionBy(conv, "__block").orderBy("__m").rowsBetween(-n, -1)

@@ -141,12 +141,12 @@ def require_valid(df: DataFrame, id_col: str = "ord") -> DataFrame:
     return df
 
 
-def bad_labels(df: DataFrame, by: str = "split", shown: int = 10) -> DataFrame:
-    """Distinct labels outside the label sets per group and head, the first ``shown`` of each."""
+def bad_labels(df: DataFrame, by: str = "split", shown: int | None = None) -> DataFrame:
+    """Distinct labels outside the label sets per group and head; all, or the first ``shown`` of each."""
     cells = [F.struct(F.lit(h).alias("head"), T.blank_to_null(h).alias("label")) for h in fixed.HEADS]
     long = df.select(by, F.inline(F.array(*cells))).where(F.col("label").isNotNull())
     unknown = long.where(L.label_index("head", "label").isNull()).distinct()
-    return keep_first(unknown, [by, "head"], ["label"], shown)
+    return unknown if shown is None else keep_first(unknown, [by, "head"], ["label"], shown)
 
 
 def normal_label(col: Column | str) -> Column:

@@ -44,11 +44,11 @@ def logits_long(df: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
 
 
 def average_views(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Mean logits per (id, head) over its views (four at most, summed in view order)."""
+    """Mean logits per (id, head) over all its views, summed in view order."""
     views = F.array_sort(F.collect_list(F.struct("view", "logits")))
     grouped = df.groupBy(id_col, "head").agg(views.alias("v"))
     total = F.aggregate(
-        F.slice("v", 2, 8), F.transform(F.get("v", F.lit(0))["logits"], lambda x: x.cast("double")),
+        F.slice("v", 2, F.size("v")), F.transform(F.get("v", F.lit(0))["logits"], lambda x: x.cast("double")),
         lambda acc, e: F.zip_with(acc, e["logits"], lambda a, b: a + b),
     )
     return grouped.select(id_col, "head", F.transform(total, lambda x: x / F.size("v")).alias("logits"))

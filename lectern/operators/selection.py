@@ -12,7 +12,7 @@ from lectern import fixed
 from lectern.functions.arrays import clamp, literal_array
 from lectern.functions.labels import is_synthetic
 from lectern.plans.ranking import null_safe_join, number_by_hash, number_by_key, number_rows
-from lectern.plans.scratch import settle, small
+from lectern.plans.scratch import settle
 
 
 def quotas(profile: str = "default", overrides: Mapping[str, int] | None = None) -> dict[str, int]:
@@ -76,7 +76,7 @@ def rank_diverse(df: DataFrame, domain: str = "domain", high_score: int = 10, ou
     sizes = scored.groupBy(domain).agg(
         F.count_if(~F.col("__high")).alias("__n_low"), F.count_if("__high").alias("__n_high")
     )
-    joined = null_safe_join(numbered, small(sizes, "sizes"), [domain])
+    joined = null_safe_join(numbered, settle(sizes, "sizes"), [domain])
     place = interleaved_rank(F.col("__r") - 1, F.col("__high"), F.col("__n_low"), F.col("__n_high"))
     return joined.withColumn(out, place).drop("__r", "__high", "__n_low", "__n_high")
 
@@ -94,7 +94,7 @@ def select_balanced(
         F.coalesce(F.col(domain), F.lit("general")).alias(domain),
     )
     ready = settle(slim, "candidates")
-    alloc = small(allocate(ready, wanted or quotas(), total, domain), "alloc")
+    alloc = settle(allocate(ready, wanted or quotas(), total, domain), "alloc")
     placed = rank_diverse(ready, domain).join(alloc.select(domain, "alloc"), domain)
     marked = settle(placed.withColumn("__floor", F.col("place") < F.col("alloc")), "placed")
     floor_rows = marked.where("__floor").select("question_id", F.lit("floor").alias("picked_by"))
@@ -131,14 +131,15 @@ def calibration_candidates(df: DataFrame) -> DataFrame:
     return df.where(F.col("advanced") | F.col("high_urgency") | F.col("low_urgency"))
 
 
-def rank_consensus(df: DataFrame, most: int = 80, out: str = "rn") -> DataFrame:
+def rank_consensus(df: DataFrame, most: int | None = None, out: str = "rn") -> DataFrame:
     """Rows that miss a target label their text hints at; advanced, urgent, score, date first."""
     useful = settle(df.where(F.col("advanced") | F.col("high_urgency")), "useful")
     order = [
         F.col("advanced").cast("int").desc(), F.col("high_urgency").cast("int").desc(),
         clamp("score", None, 10).desc(), F.desc("creation_date"), F.asc("ord"),
     ]
-    return number_rows(useful, order, out=out).where(F.col(out) <= most)
+    ranked = number_rows(useful, order, out=out)
+    return ranked if most is None else ranked.where(F.col(out) <= most)
 
 
 def accept_within_deficit(

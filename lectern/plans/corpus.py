@@ -20,17 +20,18 @@ def _ranked(df: DataFrame, source_rank: int) -> DataFrame:
 
 
 def real_rows(
-    questions: DataFrame | None, emotions: DataFrame | None, seed: int = 42, max_emotions: int = 1800
+    questions: DataFrame | None, emotions: DataFrame | None, seed: int = 42, max_emotions: int | None = None
 ) -> DataFrame:
-    """Final rows of the labelled questions and of a seeded sample of the emotion texts.
+    """Final rows of the labelled questions and of the emotion texts: all, or a seeded sample of ``max_emotions``.
 
     Inputs carry ``ord``. The result carries ``source_rank, ord`` as its order.
     """
     parts = []
     if questions is not None:
         parts.append(_ranked(to_final_questions(questions), 0))
-    if emotions is not None and max_emotions > 0:
-        parts.append(_ranked(sample_n(to_final_emotions(emotions), max_emotions, seed), 1))
+    if emotions is not None and max_emotions != 0:
+        texts = to_final_emotions(emotions)
+        parts.append(_ranked(texts if max_emotions is None else sample_n(texts, max_emotions, seed), 1))
     if not parts:
         raise ValueError("at least one of questions and emotions is needed")
     return dedupe_text(
@@ -54,7 +55,7 @@ def build_corpus(
     extra: DataFrame | None = None,
     target: int = 10_000,
     seed: int = 42,
-    max_emotions: int = 1800,
+    max_emotions: int | None = None,
     synthetic_rows: int | None = None,
 ) -> DataFrame:
     """Real rows, extra synthetic rows and generated rows, brought to ``target`` rows.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,15 +11,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only for a local session."""
+    """The shared folder named by the cluster; ``plans.session`` names one for a local session."""
     root = spark.conf.get(_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="lectern-")
-    spark.conf.set(_CONF, root)
-    return root
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,31 +35,6 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_ROWS = 10_000
-
-
-def small(df: DataFrame, name: str = "small") -> DataFrame:
-    """An aggregate that is usually small, evaluated once.
-
-    Up to ``SMALL_ROWS`` rows become a local table with a broadcast hint; a larger result is
-    written like any other table and joined as Catalyst sees fit.
-    """
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        return settle(df, name)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that is stored in too few pieces.
-
-    A scan with fewer partitions than cores is redistributed once; a larger table comes in more
-    partitions than that and is left as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace columns that are evaluated exactly once per row.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -14,6 +17,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # one machine: a folder of its own will do; it cannot be set once the session runs
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
+        # files smaller than a split still spread over the cores
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

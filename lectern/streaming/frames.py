@@ -72,16 +72,18 @@ def assemble_responses(
 ) -> DataFrame:
     """One row per request: text in sequence order, status, error, usage, latency.
 
-    A request is a session that ends when no frame arrives for ``gap``. On a stream the session
-    is emitted once when the watermark passes it, which also frees its state; a static frame
-    gives the same rows. Tokens after an error do not count. The frames of one request are
+    On a static frame a request is one reply, however long it pauses. On a stream it is a session that
+    ends when no frame arrives for ``gap``; it is emitted once when the watermark passes it, which
+    also frees its state. Tokens after an error do not count. The frames of one request are
     bounded by the token limit of a reply.
     """
     timed = routed.withWatermark("ts", watermark) if watermark and routed.isStreaming else routed
     events = timed.where(F.col(conv).isNotNull())
     item = F.struct("seq", "kind", "value")
     usage = F.when(F.col("kind") == "usage", F.struct("seq", F.col("payload.tokens_input").alias("i"), F.col("payload.tokens_output").alias("o")))
-    grouped = events.groupBy(conv, F.session_window("ts", gap)).agg(
+    # a pause ends a reply only where nothing else can: on a stream
+    ends = [F.session_window("ts", gap)] if routed.isStreaming else []
+    grouped = events.groupBy(conv, *ends).agg(
         F.array_sort(F.collect_list(item)).alias("items"),
         F.max(usage).alias("u"),
         F.min("ts").alias("started"),

@@ -260,11 +260,10 @@ def synthetic_to_train(spark, sf):
 SELECT k, left_id, right_id FROM
   (SELECT doc_id AS left_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'es')
   JOIN (SELECT doc_id AS right_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'fr') USING (k)
-WHERE k <= 50000
 """)
 def paired_swap(spark, sf):
     docs = table(spark, sf, "documents").withColumn("ord", F.col("doc_id"))
-    return SP.paired_swap(docs.where(F.col("lang") == "es"), docs.where(F.col("lang") == "fr"), 50000)
+    return SP.paired_swap(docs.where(F.col("lang") == "es"), docs.where(F.col("lang") == "fr"))
 
 
 # --- generation and the build -------------------------------------------------------------

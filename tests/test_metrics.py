@@ -76,8 +76,11 @@ def test_metrics_against_plain_python(spark):
         check(by[source], [r for r in rows if r[1] == source])
     check(by["__real__"], [r for r in rows if not r[1].startswith("synthetic_")])
     assert by["goemotions_es"]["f1_macro_urgencia"] == 0.0
-    few = {r["source"] for r in M.metrics_by_source(df, min_rows=5, kinds=False).collect()}
-    assert "so_es" in few and all(by[s]["n_rows"] >= 5 for s in few)
+    noted = {r["source"]: r for r in M.metrics_by_source(df, min_rows=5, kinds=False).collect()}
+    assert set(noted) == {r[1] for r in rows}
+    for source, r in noted.items():
+        assert r["n_rows"] == by[source]["n_rows"]
+        assert (r["note"], r["f1_macro_mean"] is None) == (("skipped", True) if r["n_rows"] < 5 else (None, False))
 
 
 def test_source_summary_falls_back_to_weighted_mean(spark):

@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from lectern.workloads import all_queries, all_sql
 from lectern.workloads.check import TABLES, compare
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 # whole-table flows without an SQL form; their parts are tested against plain loops
 ROWS_ONLY = {"repair_support", "final_split", "bootstrap_interval", "diagnosis", "bias_calibration", "fit_and_score", "view_scores"}
 
@@ -22,6 +23,7 @@ def duck(sf):
 def test_registry():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
     assert not set(SQL) - set(QUERIES)
+    assert set(driver.queries()) >= set(QUERIES) and set(driver.oracle_sql()) >= set(SQL)
 
 
 def test_entry(spark):
