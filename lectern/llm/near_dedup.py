@@ -136,12 +136,30 @@ def _star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
     return both.where(100 * common >= 75 * total).select("a", "b").distinct()
 
 
+def _pairs(rows: pa.Table, first: int, second: int, slot: int) -> Iterator[tuple[int, int]]:
+    """Places of the members of two blocks of a bucket that are to be compared.
+
+    They have different components, signatures within reach, and this bucket as their first common one.
+    """
+    block, label, n = (rows.column(c).to_numpy() for c in ("block", "component", "n"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=">u2").reshape(-1, SYMBOLS)
+    others = np.flatnonzero(block == second)
+    for i in np.flatnonzero(block == first).tolist():
+        rest = others[others > i] if first == second else others
+        equal = sig[rest] == sig[i]
+        ok = (equal.sum(axis=1) >= SYMBOLS - REACH) & (label[rest] != label[i])
+        ok &= 4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i])
+        rest, chunks = rest[ok], equal[ok].reshape(-1, CHUNKS, WIDTH)
+        chunk = (chunks.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+        missing = np.argmin(chunks[np.arange(len(rest)), chunk], axis=1)  # the differing symbol, 0 if none differs
+        for j in rest[chunk * WIDTH + missing == slot].tolist():
+            yield i, j
+
+
 def _compare(rows: pa.Table, first: int, second: int, slot: int) -> tuple[list[int], list[int]]:
     """Links between two blocks of one bucket; pairs that are linked already are skipped."""
     rows = rows.sort_by([("id", "ascending")])
-    ids, block = rows.column("id").to_pylist(), rows.column("block").to_numpy()
-    label, n = rows.column("component").to_numpy(), rows.column("n").to_numpy()
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=">u2").reshape(-1, SYMBOLS)
+    ids, label = rows.column("id").to_pylist(), rows.column("component").to_pylist()
     sets = [np.array(s.values) for s in rows.column("shingles").combine_chunks()]
     parent: dict[int, int] = {}
 
@@ -151,46 +169,51 @@ def _compare(rows: pa.Table, first: int, second: int, slot: int) -> tuple[list[i
         return x
 
     left, right = [], []
-    others = np.flatnonzero(block == second)
-    for i in np.flatnonzero(block == first).tolist():
-        rest = others[others > i] if first == second else others
-        equal = sig[rest] == sig[i]
-        ok = (equal.sum(axis=1) >= SYMBOLS - REACH) & (label[rest] != label[i])
-        ok &= 4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i])
-        rest, chunks = rest[ok], equal[ok].reshape(-1, CHUNKS, WIDTH)
-        shared = chunks.sum(axis=2) >= WIDTH - 1
-        chunk = shared.argmax(axis=1)
-        missing = np.argmin(chunks[np.arange(len(rest)), chunk], axis=1)  # the differing symbol, 0 if none differs
-        for j in rest[chunk * WIDTH + missing == slot].tolist():
-            x, y = root(int(label[i])), root(int(label[j]))
-            if x == y:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
-                parent[max(x, y)] = min(x, y)
-                left.append(ids[i])
-                right.append(ids[j])
+    for i, j in _pairs(rows, first, second, slot):
+        x, y = root(label[i]), root(label[j])
+        if x == y:
+            continue
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+            parent[max(x, y)] = min(x, y)
+            left.append(ids[i])
+            right.append(ids[j])
     return left, right
 
 
-def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the rows ``bucket, id, component`` of buckets with several components."""
-    whole = classes.join(sets, "id").where(F.size("shingles") == F.col("n"))
-    full = rest.join(whole, "id")
-    sizes = rest.join(classes.select("id", "n"), "id").groupBy("bucket").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int")
-    full = full.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
-    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``bucket, id, component, n, ..`` with the blocks of a bucket, each pair of blocks a group."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    full = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    return full.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+
+def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the rows ``bucket, id, component`` of buckets with several components.
+
+    Signatures alone show first which members have anything to be compared with; only these rows
+    are joined with their sets.
+    """
+    keys = ["bucket", "first", "second"]
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bucket, first, second = (k.as_py() for k in key)
+        rows = rows.sort_by([("id", "ascending")])
+        met = sorted({k for pair in _pairs(rows, first, second, bucket[0]) for k in pair})
+        return rows.select(["bucket", "id", "component"]).take(pa.array(met, pa.int64()))
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         bucket, first, second = (k.as_py() for k in key)
         left, right = _compare(rows, first, second, bucket[0])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    kept = full.select("bucket", "first", "second", "id", "component", "block", "n", "sig", "shingles")
-    return kept.groupBy("bucket", "first", "second").applyInArrow(run, "a bigint, b bigint")
+    slim = _in_blocks(rest.join(classes, "id")).select(*keys, "id", "component", "block", "n", "sig")
+    some = slim.groupBy(*keys).applyInArrow(meet, "bucket binary, id bigint, component bigint")
+    some = settle(some.distinct(), "met")
+    whole = classes.join(sets, "id").where(F.size("shingles") == F.col("n"))
+    full = _in_blocks(some.join(whole, "id")).select(*keys, "id", "component", "block", "n", "sig", "shingles")
+    return full.groupBy(*keys).applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
