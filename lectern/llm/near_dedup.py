@@ -36,6 +36,8 @@ SYMBOLS = CHUNKS * WIDTH
 REACH = 34
 #: Shingles of the members of one block, and pairs of a hot document that one task compares.
 BLOCK_SHINGLES, HOT_PAIRS = 500_000, 500
+#: Bits of the bitmap (16 MB) that keeps texts without any candidate out of the shuffle.
+SIEVE_BITS = 1 << 27
 _P = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,6 +103,28 @@ def _sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows ``id, text`` whose id is among ``ids``, and some others, without a shuffle of the texts.
+
+    The sieve is a bitmap of fixed size over a hash of the id: no wanted row is lost, and with more
+    ids more others pass. The caller joins exactly.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS)).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
+    found = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(SIEVE_BITS // 64, np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            passes = pa.array(((held.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(passes), batch.column(1).filter(passes)], ["id", "text"])
+
+    return texts.select("id", "text", place).mapInArrow(run, "id bigint, text string")
+
+
 def _keys(sig: str):
     """The keys of a signature: number of chunk and left-out symbol, and the other symbols."""
     keys = []
@@ -234,7 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     met = shared.select("id").distinct()
-    sets = settle(_sets(texts.join(met, "id", "left_semi")), "sets").where("size(shingles) > 0")
+    sets = settle(_sets(_sieved(texts, met).join(met, "id", "left_semi")), "sets").where("size(shingles) > 0")
 
     low = shared.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     high = shared.where("id < high AND id > low").select(F.col("high").alias("a"), F.col("id").alias("b"))
