@@ -119,22 +119,6 @@ TAG_DOMAIN = {
     "git": "general", "typescript": "general",
 }
 
-DOMAIN_TAGS = {
-    "backend": ("python", "javascript", "java", "node.js", "spring", "php", "go"),
-    "frontend": ("react", "css", "html", "vue.js", "angular", "typescript"),
-    "bases_de_datos": ("sql", "mysql", "postgresql", "mongodb", "redis"),
-    "devops": ("docker", "kubernetes", "aws", "nginx", "gcp"),
-    "movil": ("android", "ios", "flutter", "react-native", "kotlin", "swift"),
-    "data_science": ("pandas", "numpy", "scikit-learn", "tensorflow", "pytorch"),
-    "algoritmos": ("algorithms", "data-structures", "recursion", "sorting", "graph-theory"),
-    "seguridad": ("security", "authentication", "oauth", "encryption", "jwt", "xss", "csrf", "tls"),
-    "sistemas": ("concurrency", "threads", "memory", "os", "linux", "bash", "posix"),
-    "ingenieria_software": (
-        "testing", "design-patterns", "architecture", "solid", "tdd", "junit", "refactoring",
-    ),
-    "general": ("git",),
-}
-
 DOMAIN_QUOTA = {
     "default": {
         "backend": 44, "frontend": 34, "bases_de_datos": 22, "devops": 22, "movil": 18,
@@ -217,6 +201,11 @@ DONE_THRESHOLDS = {
 }
 OVERFIT_GAP = 0.15
 MAX_TRAIN_SYNTHETIC, MAX_EVAL_SYNTHETIC = 0.70, 0.55
+# size of the corpus without real rows, and at most; least share of real rows, and what is added to it
+DEFAULT_TARGET, MOST_TARGET = 10_000, 12_000
+LEAST_REAL_SHARE, REAL_SHARE_MARGIN = 0.01, 0.005
+# requests a minute of one client and of all; least score of a kept example
+CLIENT_REQUESTS, ALL_REQUESTS, LEAST_SCORE = 20, 100, 3
 BIAS_GRID = (-2.0, -1.5, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
 BIAS_MIN_GAIN = 1e-9
 RELIABLE_CONFIDENCE, WEAK_HEAD = 0.65, 0.5

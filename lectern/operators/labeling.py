@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern import fixed_prompts as P
+from lectern.fixed_prompts import PARSE_MESSAGE, SCHEMA_MESSAGE
 from lectern.functions import text as T
 from lectern.operators.rows import labels_valid, normal_label, optional
 from lectern.operators.selection import accept_within_deficit, assign_round_robin, rank_calibration, rank_consensus
@@ -20,8 +21,6 @@ from lectern.plans.ranking import keep_first
 from lectern.plans.scratch import once, settle
 
 REPLY_SCHEMA = "nivel_tecnico string, urgencia string, emocion string"
-PARSE_MESSAGE = "No se pudo parsear JSON de la respuesta."
-SCHEMA_MESSAGE = "JSON parseado, pero etiquetas fuera de esquema esperado."
 
 
 # --- joins with the question source -----------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "corpus", "selecting", "models", "labeling", "prompting", "streams", "storage")
+MODULES = ("texts", "corpus", "selecting", "models", "labeling", "prompting", "streams", "storage", "traffic")
 
 
 def _load() -> None:

@@ -305,10 +305,8 @@ SELECT n_real, CAST(greatest(400, least(900000, floor(n_real / greatest(0.01, 1.
 FROM (SELECT count(*) AS n_real FROM final_rows WHERE fuente NOT LIKE 'synthetic%')
 """)
 def auto_target(spark, sf):
-    n = final_rows(spark, sf).where(~L.is_synthetic("fuente")).count()
-    return spark.range(1).select(
-        F.lit(n).cast("long").alias("n_real"), F.lit(GEN.auto_target(n, 400, 900_000)).cast("long").alias("target")
-    )
+    real = final_rows(spark, sf).where(~L.is_synthetic("fuente")).agg(F.count(F.lit(1)).alias("n_real"))
+    return real.select("n_real", GEN.auto_target("n_real", 400, 900_000).alias("target"))
 
 
 _EXTRA = f"""extra AS (SELECT ord, {sql_strip('texto')} AS texto FROM final_rows WHERE nivel_tecnico IS NOT NULL AND length({sql_strip('texto')}) >= 20)"""

@@ -171,10 +171,12 @@ def test_generated_rows(spark):
     assert all(x and "None" not in x for x in (r["texto"] for r in rows))
 
 
-def test_auto_target():
-    assert auto_target(0) == 10_000
-    assert auto_target(5399) == 12_000
-    assert auto_target(4800, most=20_000) == 13_714  # 4800 / (1 - 0.655 + 0.005)
+def test_auto_target(spark):
+    n = spark.createDataFrame([(0,), (4800,), (5399,), (7000,)], "n bigint")
+    got = n.select("n", auto_target("n").alias("usual"), auto_target("n", most=20_000).alias("more")).collect()
+    assert {r.n: r.usual for r in got} == {0: 10_000, 4800: 12_000, 5399: 12_000, 7000: 12_000}
+    # 4800 / (1 - 0.655 + 0.005)
+    assert {r.n: r.more for r in got} == {0: 10_000, 4800: 13_714, 5399: 15_425, 7000: 20_000}
 
 
 def test_build_corpus_sizes(spark):
