@@ -14,12 +14,14 @@ Links are confirmed on the full shingle sets and only looked for where they can
    blocks of bounded size, each pair in the first bucket that it shares, skipping linked ones.
 
 A link between documents that are linked already through others is not needed for the components;
-no other link is left out.
+no other link is left out. What is shuffled for the comparison are compressed words, a third of the
+size of their shingle hashes; a task makes the set anew where it needs it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ SYMBOLS = CHUNKS * WIDTH
 REACH = 34
 #: Shingles of the members of one block, and pairs of a hot document that one task compares.
 BLOCK_SHINGLES, HOT_PAIRS = 500_000, 500
+#: Shingles of the sets that a task remembers between pairs.
+HELD_SHINGLES = 2_000_000
 #: Bits of the bitmap (16 MB) that keeps texts without any candidate out of the shuffle.
 SIEVE_BITS = 1 << 27
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -51,9 +55,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct five-word shingles; a shorter text is one shingle."""
+    return _hashed(words(text))
+
+
+def _hashed(found: list[bytes]) -> np.ndarray:
     import xxhash
 
-    found = words(text)
     if not found:
         return np.empty(0, np.uint64)
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
@@ -92,15 +99,38 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, "id bigint, n bigint, same binary, sig binary")
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """``id, shingles`` of the rows ``id, text``."""
+def _packed(df: DataFrame) -> DataFrame:
+    """``id, n, packed``: set size and compressed words of the rows ``id, text`` that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            ids, sizes, packed = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(text)
+                if found:
+                    ids.append(i)
+                    sizes.append(len(_hashed(found)))
+                    packed.append(press.compress(b" ".join(found)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "packed"]
+            )
+
+    return df.mapInArrow(run, "id bigint, n bigint, packed binary")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The shingle set of compressed words."""
+    import zstandard
+
+    return _hashed(zstandard.ZstdDecompressor().decompress(packed).split())
+
 
-    return df.mapInArrow(run, "id bigint, shingles array<bigint>")
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
 def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -125,14 +155,22 @@ def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.select("id", "text", place).mapInArrow(run, "id bigint, text string")
 
 
-def _keys(sig: str):
-    """The keys of a signature: number of chunk and left-out symbol, and the other symbols."""
-    keys = []
-    for chunk in range(CHUNKS):
-        for out in range(WIDTH):
-            parts = [F.substring(sig, 2 * (chunk * WIDTH + i) + 1, 2) for i in range(WIDTH) if i != out]
-            keys.append(F.concat(F.lit(bytes([chunk * WIDTH + out])), *parts))
-    return F.array(*keys)
+def _entries(classes: DataFrame) -> DataFrame:
+    """``id, bucket`` for every key of a signature: number of chunk and left-out symbol, then the other symbols."""
+    slot = np.arange(SYMBOLS, dtype=np.int64) << 16 * (WIDTH - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").astype(np.int64).reshape(-1, CHUNKS, WIDTH)
+            keys = np.zeros(sig.shape, np.int64)
+            for out in range(WIDTH):
+                for i in range(WIDTH):
+                    if i != out:
+                        keys[:, :, out] = keys[:, :, out] << 16 | sig[:, :, i]
+            ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((keys.reshape(-1, SYMBOLS) | slot).ravel())], ["id", "bucket"])
+
+    return classes.select("id", "sig").mapInArrow(run, "id bigint, bucket bigint")
 
 
 def _near(a: str, b: str):
@@ -144,20 +182,45 @@ def _near(a: str, b: str):
     return sizes & (same >= SYMBOLS - REACH)
 
 
-def _star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(both: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of the rows ``a, b, p_a, p_b`` whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            left, right = [], []
+            for a, b, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sets = []
+                for p in packed:
+                    found = known.get(p)
+                    if found is None:
+                        found = _unpacked(p)
+                        if held + len(found) > HELD_SHINGLES:
+                            known.clear()
+                            held = 0
+                        known[p] = found
+                        held += len(found)
+                    sets.append(found)
+                if _similar(*sets):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return both.select("a", "b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _star_links(pairs: DataFrame, classes: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar; a hot ``a`` is spread over several tasks."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     near = pairs.join(side("b"), "b").join(side("a"), "a").where(_near("a", "b")).select("a", "b", "n_a", "n_b")
     near = settle(near.distinct(), "near")
     parts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_PAIRS)).cast("int").alias("parts"))
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
-    first = first.join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"), F.size("shingles").alias("size_b"))
+    text = lambda x: packed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("packed").alias(f"p_{x}"))
+    first = text("a").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = near.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    both = dealt.drop("parts").join(second, "b").where("size_b = n_b").join(first.drop("parts"), ["a", "part"])
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    total = F.size("s_a") + F.size("s_b") - common
-    return both.where(100 * common >= 75 * total).select("a", "b").distinct()
+    both = dealt.drop("parts").join(text("b"), ["b", "n_b"]).join(first.drop("parts"), ["a", "n_a", "part"])
+    return _confirmed(both).distinct()
 
 
 def _pairs(rows: pa.Table, first: int, second: int, slot: int) -> Iterator[tuple[int, int]]:
@@ -184,7 +247,8 @@ def _compare(rows: pa.Table, first: int, second: int, slot: int) -> tuple[list[i
     """Links between two blocks of one bucket; pairs that are linked already are skipped."""
     rows = rows.sort_by([("id", "ascending")])
     ids, label = rows.column("id").to_pylist(), rows.column("component").to_pylist()
-    sets = [np.array(s.values) for s in rows.column("shingles").combine_chunks()]
+    packed = rows.column("packed").to_pylist()
+    set_of = cache(lambda i: _unpacked(packed[i]))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -197,8 +261,7 @@ def _compare(rows: pa.Table, first: int, second: int, slot: int) -> tuple[list[i
         x, y = root(label[i]), root(label[j])
         if x == y:
             continue
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+        if _similar(set_of(i), set_of(j)):
             parent[max(x, y)] = min(x, y)
             left.append(ids[i])
             right.append(ids[j])
@@ -213,30 +276,30 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return full.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
 
 
-def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(rest: DataFrame, classes: DataFrame, packed: DataFrame) -> DataFrame:
     """Links among the rows ``bucket, id, component`` of buckets with several components.
 
     Signatures alone show first which members have anything to be compared with; only these rows
-    are joined with their sets.
+    are joined with their words.
     """
     keys = ["bucket", "first", "second"]
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         bucket, first, second = (k.as_py() for k in key)
         rows = rows.sort_by([("id", "ascending")])
-        met = sorted({k for pair in _pairs(rows, first, second, bucket[0]) for k in pair})
+        met = sorted({k for pair in _pairs(rows, first, second, bucket >> 16 * (WIDTH - 1)) for k in pair})
         return rows.select(["bucket", "id", "component"]).take(pa.array(met, pa.int64()))
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         bucket, first, second = (k.as_py() for k in key)
-        left, right = _compare(rows, first, second, bucket[0])
+        left, right = _compare(rows, first, second, bucket >> 16 * (WIDTH - 1))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     slim = _in_blocks(rest.join(classes, "id")).select(*keys, "id", "component", "block", "n", "sig")
-    some = slim.groupBy(*keys).applyInArrow(meet, "bucket binary, id bigint, component bigint")
+    some = slim.groupBy(*keys).applyInArrow(meet, "bucket bigint, id bigint, component bigint")
     some = settle(some.distinct(), "met")
-    whole = classes.join(sets, "id").where(F.size("shingles") == F.col("n"))
-    full = _in_blocks(some.join(whole, "id")).select(*keys, "id", "component", "block", "n", "sig", "shingles")
+    whole = classes.join(packed, ["id", "n"])
+    full = _in_blocks(some.join(whole, "id")).select(*keys, "id", "component", "block", "n", "sig", "packed")
     return full.groupBy(*keys).applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -252,23 +315,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = linked.groupBy("same").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = settle(classes, "classes")
     # dealt out once; the heads and the join below both use it
-    entries = classes.select("id", F.explode(_keys("sig")).alias("bucket")).repartition("bucket")
+    entries = _entries(classes).repartition("bucket")
     heads = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = settle(entries.join(heads, "bucket"), "buckets")
 
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     met = shared.select("id").distinct()
-    sets = settle(_sets(_sieved(texts, met).join(met, "id", "left_semi")), "sets").where("size(shingles) > 0")
+    packed = settle(_packed(_sieved(texts, met)).join(met, "id", "left_semi"), "packed")
 
     low = shared.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     high = shared.where("id < high AND id > low").select(F.col("high").alias("a"), F.col("id").alias("b"))
-    links = settle(_star_links(low.union(high).distinct(), classes, sets), "stars")
+    links = settle(_star_links(low.union(high).distinct(), classes, packed), "stars")
     label = settle(components(links), "labels")
     inner = shared.where("id > low AND id < high").join(label, "id", "left")
     inner = inner.select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = inner.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     rest = settle(inner.join(mixed.select("bucket"), "bucket"), "rest")
-    links = links.union(_block_links(rest, classes.select("id", "n", "sig"), sets))
+    links = links.union(_block_links(rest, classes.select("id", "n", "sig"), packed))
 
     # an id with several texts joins their classes
     owner = linked.join(classes.select("same", F.col("id").alias("owner")), "same").select("id", "same", "owner")
