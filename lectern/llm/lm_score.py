@@ -7,16 +7,20 @@ contexts have seen) and learned online, batch after batch, with every word's own
 The result is refined by an adaptive map from (previous byte, mixed logit) to what really came. This
 gives every word a length in bits, as if it had not been seen.
 
-Words of the training documents are remembered with their counts, without a bound: a known word costs
-what its discounted count says, and the discounts are handed to the mixed model for all other words.
-The same is done once more inside ``CLASSES`` classes of documents (found by a mixture of unigrams on a
-bounded sample), backed by the counts of all. A text is a sequence of words of one unknown class, so
-the weights of the classes adapt from word to word by what was read so far.
+Words of the training documents are remembered with their counts, without a bound. A known word costs
+what a second mixer says of its code (``WORD_BITS`` bits of its hash), and its share of the discounted
+counts of the known words with that code; the discounts are handed to the spelling above for all other
+words. The contexts of the second mixer cross words: the likeliest class of the text so far, the word
+before, and the two words before, counted over the running text of all training documents. The same is
+done once more inside ``CLASSES`` classes of documents (found by a mixture of unigrams on a bounded
+sample), backed by the counts of all. A text is a sequence of words of one unknown class, so the
+weights of the classes adapt from word to word by what was read so far.
 
 How Spark does it: one pass cuts the documents into blocks (numbers of words and the block's own
-words, compressed); everything else runs over distinct words. Counts are joined by word, so the
-vocabulary grows with the corpus and is never collected. Only the predictor tables have a fixed size
-(``TABLES``), are added up over all words and handed to all tasks.
+words, compressed) and counts what follows which words; one pass over the blocks learns the weights of
+these contexts; spelling runs over distinct words. Counts are joined by word, so the vocabulary grows
+with the corpus and is never collected. Only the predictor tables have a fixed size (``TABLES``,
+``WORD_TABLES``), are added up over all words and handed to all tasks.
 """
 
 from __future__ import annotations
@@ -42,7 +46,11 @@ CLASSES, CLASS_ROWS, CLASS_SLOTS = 6, 3000, 1024
 _CLASS_COLUMNS = [f"c{z}" for z in range(CLASSES)]
 #: Share of the words that the weights are learned on (one in so many, by hash), and the steps' size.
 LEARN_ONE_IN, RATE = 4, 0.02
-_GATES, _LEVELS, _SLOTS = 8 * 4 * 4, 24, 4096
+_LEVELS, _SLOTS = 24, 4096
+#: Bits of a word's code, slots of each predictor of it (class so far, one word before, two words before), and words learned together.
+WORD_BITS = 10
+WORD_TABLES = (CLASSES << WORD_BITS, 1 << 21, 1 << 22)
+LEARN_TOGETHER, COUNT_TOGETHER = 5000, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STOP = 0x20
 
@@ -97,6 +105,73 @@ class Coded:
             node = node * np.uint64(2) + bit
 
 
+@dataclass
+class Running:
+    """The words of some texts in their order: code, likeliest class before, hashes of the words before."""
+
+    codes: np.ndarray
+    before: np.ndarray
+    contexts: list[np.ndarray]
+
+    @classmethod
+    def of(cls, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> Running:
+        """``keys``: hashes of the words, of which ``flat`` are the numbers in the texts; no context crosses texts."""
+        starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int64)
+        slots = keys % np.uint32(CLASS_SLOTS)
+        best = before = None
+        for z, row in enumerate(classes):
+            each = row[:-1][slots][flat]
+            fit = np.cumsum(each) - each
+            fit += row[-1] - np.repeat(fit[starts], sizes)
+            if best is None:
+                best, before = fit, np.zeros(len(flat), np.int64)
+            else:
+                before[fit > best] = z
+                np.maximum(best, fit, out=best)
+        wide = keys.astype(np.uint64)[flat] + np.uint64(1)
+        one, two = np.zeros_like(wide), np.zeros_like(wide)
+        one[1:], two[2:] = wide[:-1], wide[:-2]
+        one[starts], two[starts], two[np.minimum(starts + 1, len(two) - 1)] = 0, 0, 0
+        first = _mixed(one * _MIX + np.uint64(1))
+        return cls((keys >> np.uint32(32 - WORD_BITS))[flat], before, [first, _mixed((first + two) * _MIX + np.uint64(2))])
+
+    def parts(self, together: int) -> Iterator[Running]:
+        for at in range(0, len(self.codes), together):
+            yield self.of_rows(slice(at, at + together))
+
+    def of_rows(self, rows) -> Running:
+        return Running(self.codes[rows], self.before[rows], [c[rows] for c in self.contexts])
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.arange(len(self.codes))
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        node = np.ones(len(self.codes), np.uint64)
+        for place in range(WORD_BITS):
+            bit = (self.codes >> np.uint32(WORD_BITS - 1 - place)) & np.uint32(1)
+            slots = [(self.before << WORD_BITS) + node.astype(np.int64)]
+            for c, size in zip(self.contexts, WORD_TABLES[1:], strict=True):
+                slots.append(((c + node * _MIX) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(65 - size.bit_length())).astype(np.int64))
+            yield place, bit, slots
+            node = node * np.uint64(2) + bit
+
+
+def _key(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+
+
+def _unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a block's words, their numbers in the texts, and the texts' sizes."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["packed"]), dtype=np.uint8)
+    flat = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel() if len(raw) else np.empty(0, np.uint32)
+    return np.frombuffer(block["keys"], "<u4"), flat, np.array(block["sizes"])
+
+
 def _chunks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of words of about ``CHUNK`` bytes, with the number of their first."""
     first, held = 0, 0
@@ -121,12 +196,12 @@ def _confidence(all_: np.ndarray) -> np.ndarray:
 class Mixer:
     """Predictor tables, gated weights and the adaptive map."""
 
-    def __init__(self, counts: list[np.ndarray]):
-        """``counts``: for each predictor an array of (zeros, ones) by slot."""
+    def __init__(self, counts: list[np.ndarray], places: int = 8):
+        """``counts``: for each predictor an array of (zeros, ones) by slot; the two longest contexts last."""
         self.counts = counts
         self.logits = [_logit(c[:, 1], c.sum(axis=1)).astype(np.float32) for c in counts]
         self.seen = [_confidence(c.sum(axis=1)).astype(np.uint8) for c in counts]
-        self.weights = np.zeros((_GATES, len(TABLES) + 1))
+        self.weights = np.zeros((places * 4 * 4, len(counts) + 1))
         self.weights[:, :-1] = 0.4
         self.map_ = np.zeros((257 * _LEVELS, 2))
 
@@ -135,7 +210,7 @@ class Mixer:
         return (place * 4 + seen[-1].astype(np.int64)) * 4 + seen[-2]
 
     def _mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        x = self.weights[gate, len(TABLES)]
+        x = self.weights[gate, -1]
         for k, one in enumerate(inputs):
             x = x + self.weights[gate, k] * one
         return np.clip(x, -11.5, 11.5)
@@ -155,16 +230,17 @@ class Mixer:
             gate = self._gate(place, seen)
             x = self._mix(gate, inputs)
             error = y - 1 / (1 + np.exp(-x))
-            n = np.bincount(gate, minlength=_GATES)
+            gates = len(self.weights)
+            n = np.bincount(gate, minlength=gates)
             for k, one in enumerate([*inputs, np.ones(len(y))]):
-                self.weights[:, k] += 20 * RATE * np.bincount(gate, error * one, _GATES) / np.maximum(n, 50)
+                self.weights[:, k] += 20 * RATE * np.bincount(gate, error * one, gates) / np.maximum(n, 50)
             cell = self._cell(coded.before, x)
             self.map_[:, 0] += np.bincount(cell, minlength=len(self.map_))
             self.map_[:, 1] += np.bincount(cell, y, len(self.map_))
 
     def lengths(self, coded: Coded) -> np.ndarray:
         """Bits of each word."""
-        total = np.zeros(len(coded.bytes_))
+        total = np.zeros(len(coded.before))
         middle = 1 / (1 + np.exp(-((np.arange(257 * _LEVELS) % _LEVELS + 0.5) * (24.0 / _LEVELS) - 12.0)))
         refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float64)
         for place, bit, slots in coded.steps():
@@ -177,9 +253,7 @@ class Mixer:
 
 
 def _slot(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word) % CLASS_SLOTS
+    return _key(word) % CLASS_SLOTS
 
 
 def fit_classes(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, rounds: int = 25) -> np.ndarray:
@@ -213,9 +287,47 @@ def fit_classes(df: DataFrame, id_col: str, text_col: str, folds: int, held: int
     return table_
 
 
+_PIECE = [("k", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())]
+_PIECE_SCHEMA = "k int, part int, sums binary"
+
+
+def _pieces(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's predictor tables as compressed pieces that are not all zero."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for k, own in enumerate(tables):
+        for part in range(0, len(own), 2 * _SLOTS):
+            piece = own[part:part + 2 * _SLOTS]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(piece.astype("<f4").tobytes())], pa.binary())], schema=pa.schema(_PIECE)
+                )
+
+
+def _added(pieces: DataFrame, slots: list[int]) -> list[np.ndarray]:
+    """The tasks' tables added up: (zeros, ones) of each slot."""
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        total = np.zeros(2 * _SLOTS)
+        for one in rows.column("sums").to_pylist():
+            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(one), dtype="<f4")
+            total[:len(own)] += own
+        return pa.table({"k": [key[0]], "part": [key[1]], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())}, schema=pa.schema(_PIECE))
+
+    out = [np.zeros(2 * size, np.float32) for size in slots]
+    for r in pieces.groupBy("k", "part").applyInArrow(add, _PIECE_SCHEMA).toLocalIterator():  # at most the size of the tables
+        piece = np.frombuffer(r.sums, dtype="<f4")
+        out[r.k][r.part:r.part + len(piece)] = piece[:len(out[r.k]) - r.part]
+    return [c.reshape(-1, 2) for c in out]
+
+
 def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, classes: np.ndarray) -> DataFrame:
-    """Two kinds of rows: a block (``ids, held, sizes, packed``: documents as numbers of the block's
-    words), and every word of the block (``at, word, c0, c1, ..``).
+    """Three kinds of rows: a block (``ids, held, sizes, packed, keys``: documents as numbers of the block's
+    words, and the words' hashes), every word of the block (``at, word, c0, c1, ..``), and a task's counts
+    of words after their contexts (``k, part, sums``).
 
     The empty word stands for the end of a document; ``c0, c1, ..`` count a word in the training documents
     of each class. A block is made by one task and written once, so its random number is never made again.
@@ -223,7 +335,8 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (fold(id_col, folds) == held).alias("held"))
     kinds = pa.schema([
         ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
-        ("packed", pa.binary()), ("at", pa.int32()), ("word", pa.binary()), *((c, pa.int32()) for c in _CLASS_COLUMNS),
+        ("packed", pa.binary()), ("keys", pa.binary()), ("at", pa.int32()), ("word", pa.binary()), *((c, pa.int32()) for c in _CLASS_COLUMNS),
+        *_PIECE,
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,28 +345,35 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
         numbers: dict[bytes, int] = {}
         ids, held_, sizes, at = [], [], [], []
         n = 0
+        follow = [np.zeros(2 * size, np.float32) for size in WORD_TABLES]
 
         def close() -> Iterator[pa.RecordBatch]:
             flat, words = np.concatenate(at), list(numbers)
             starts = np.append(0, np.cumsum(sizes)[:-1])
-            slots = np.fromiter(map(_slot, words), np.int64, len(words))
+            keys = np.fromiter(map(_key, words), np.uint32, len(words))
+            slots = keys % np.uint32(CLASS_SLOTS)
             fit = [np.add.reduceat(row[:-1][slots][flat], starts) + row[-1] for row in classes]
             of_token = np.repeat(np.argmax(fit, axis=0), sizes)
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
             cells = flat[train].astype(np.int64) * CLASSES + of_token[train]
             trained = np.bincount(cells, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+            for some in Running.of(keys, flat, np.array(sizes), classes).of_rows(train).parts(COUNT_TOGETHER):
+                for _, bit, at_ in some.steps():
+                    for own, slot in zip(follow, at_, strict=True):
+                        np.add.at(own, slot * 2 + bit, np.float32(1))
             packed = zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
             name = int.from_bytes(os.urandom(8), "little", signed=True)
             none = [pa.nulls(1, k.type) for k in kinds]
-            values = [[name], [ids], [held_], [sizes], [packed]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, k.type) for v, k in zip(values, kinds, strict=False)), *none[5:]], schema=kinds)
+            values = [[name], [ids], [held_], [sizes], [packed], [keys.astype("<u4").tobytes()]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, k.type) for v, k in zip(values, kinds, strict=False)), *none[6:]], schema=kinds)
             for first in range(0, len(words), 50_000):
                 part = words[first:first + 50_000]
                 m = len(part)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, name)), *(pa.nulls(m, k.type) for k in list(kinds)[1:5]),
+                    pa.array(np.full(m, name)), *(pa.nulls(m, k.type) for k in list(kinds)[1:6]),
                     pa.array(np.arange(first, first + m, dtype=np.int32)), pa.array(part, pa.binary()),
                     *(pa.array(np.ascontiguousarray(trained[first:first + m, z])) for z in range(CLASSES)),
+                    *(pa.nulls(m, k.type) for k in list(kinds)[-3:]),
                 ], schema=kinds)
 
         for batch in batches:
@@ -272,9 +392,11 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
                     ids, held_, sizes, at = [], [], [], []
         if ids:
             yield from close()
+        for piece in _pieces(follow):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k.type) for k in list(kinds)[:-3]), *piece.columns], schema=kinds)
 
     counts = ", ".join(f"{c} int" for c in _CLASS_COLUMNS)
-    schema = f"block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, packed binary, at int, word binary, {counts}"
+    schema = f"block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, packed binary, keys binary, at int, word binary, {counts}, {_PIECE_SCHEMA}"
     return slim.mapInArrow(run, schema)
 
 
@@ -299,37 +421,15 @@ def _tables(words: DataFrame) -> list[np.ndarray]:
     """The predictor tables, added up over all words of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
         sums = [np.zeros(2 << size) for size in TABLES]
         for batch in _gathered(batches):
             for _, some in _chunks(_words_of(batch)):
                 for _, bit, slots in Coded.of(some).steps():
                     for own, slot in zip(sums, slots, strict=True):
                         own += np.bincount(slot * 2 + bit, minlength=len(own))
-        for k, own in enumerate(sums):
-            for part in range(0, len(own), 2 * _SLOTS):
-                piece = own[part:part + 2 * _SLOTS]
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(piece.astype("<f4").tobytes())], pa.binary())], ["k", "part", "sums"]
-                    )
+        yield from _pieces(sums)
 
-    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        import zstandard
-
-        total = np.zeros(2 * _SLOTS)
-        for one in rows.column("sums").to_pylist():
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(one), dtype="<f4")
-        return pa.table({"k": [key[0]], "part": [key[1]], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())}, schema=pa.schema([("k", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())]))
-
-    parts = words.mapInArrow(run, "k int, part int, sums binary").groupBy("k", "part").applyInArrow(add, "k int, part int, sums binary")
-    out = [np.zeros(2 << size, np.float32) for size in TABLES]
-    for r in parts.collect():  # at most the size of the tables
-        piece = np.frombuffer(r.sums, dtype="<f4")
-        out[r.k][r.part:r.part + len(piece)] = piece
-    return [c.reshape(-1, 2) for c in out]
+    return _added(words.mapInArrow(run, _PIECE_SCHEMA), [1 << size for size in TABLES])
 
 
 def fit_mixer(words: DataFrame) -> Mixer:
@@ -344,12 +444,37 @@ def fit_mixer(words: DataFrame) -> Mixer:
             for _, part in _chunks(_words_of(batch)):
                 own.learn(Coded.of(part))
                 n += len(part)
-        values = np.concatenate([own.weights.ravel() * n, own.map_.ravel(), [n]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
+        yield _learned(own, n)
+
+    return _averaged(mixer, some.mapInArrow(run, "at int, value double"))
+
+
+def fit_order(blocks: DataFrame, counts: list[np.ndarray], classes: np.ndarray) -> Mixer:
+    """Learn to mix the contexts that cross words, from the running text of all training documents."""
+    mixer = Mixer(counts, WORD_BITS)
 
-    sums = some.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = Mixer(counts, WORD_BITS), 0
+        for batch in batches:
+            for block in batch.to_pylist():
+                keys, flat, sizes = _unpacked(block)
+                train = np.repeat(~np.array(block["held"], dtype=bool), sizes)
+                for some in Running.of(keys, flat, sizes, classes).of_rows(train).parts(LEARN_TOGETHER):
+                    own.learn(some)
+                    n += len(some.codes)
+        yield _learned(own, n)
+
+    return _averaged(mixer, blocks.select("held", "sizes", "packed", "keys").mapInArrow(run, "at int, value double"))
+
+
+def _learned(own: Mixer, n: int) -> pa.RecordBatch:
+    values = np.concatenate([own.weights.ravel() * n, own.map_.ravel(), [n]])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
+
+
+def _averaged(mixer: Mixer, rows: DataFrame) -> Mixer:
     values = np.zeros(mixer.weights.size + mixer.map_.size + 1)
-    for r in sums:
+    for r in rows.groupBy("at").agg(F.sum("value").alias("value")).collect():
         values[r["at"]] = r["value"]
     if values[-1] > 0:  # the tasks' weights are averaged by the words they saw
         mixer.weights = (values[:mixer.weights.size] / values[-1]).reshape(mixer.weights.shape)
@@ -357,6 +482,26 @@ def fit_mixer(words: DataFrame) -> Mixer:
     return mixer
 
 
+def _by_code(known: DataFrame, names: list[str]) -> np.ndarray:
+    """For each column and code: how often its known words came, and how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), 2, 1 << WORD_BITS))
+        for batch in _gathered(batches):
+            codes = np.fromiter(map(_key, _words_of(batch)), np.uint32, len(batch)) >> np.uint32(32 - WORD_BITS)
+            for own, column in zip(total, batch.columns[1:], strict=True):
+                counts = column.to_numpy()
+                own[0] += np.bincount(codes, counts, 1 << WORD_BITS)
+                own[1] += np.bincount(codes, counts > 0, 1 << WORD_BITS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "value"])
+
+    out = np.zeros((len(names), 2, 1 << WORD_BITS))
+    for r in known.select("word", *names).mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out.reshape(-1)[r["at"]] = r["value"]
+    return out
+
+
 def score_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0
 ) -> DataFrame:
@@ -384,25 +529,32 @@ def score_documents(
     total, distinct = int(sums_[0, 0]), int(sums_[0, 1])
     mixer = fit_mixer(known.where(F.octet_length("word") > 0))
 
-    def memory(counts: np.ndarray, back: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Log-probabilities by discounted counts, backed by others."""
-        n, kinds, ones, twos = of
+    slim = written.where("packed IS NOT NULL").select("block", "ids", "held", "sizes", "packed", "keys")
+    order = fit_order(slim, _added(written.where("sums IS NOT NULL").select("k", "part", "sums"), list(WORD_TABLES)), classes)
+    of_code = _by_code(known, ["c", *names])
+    discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for _, _, ones, twos in sums_]
+
+    def memory(counts: np.ndarray, of: int, flat: np.ndarray, code: np.ndarray, bits: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Log-probabilities of running words: the mixed model's of the code, shared by discounted counts,
+        backed by others. ``counts`` belong to words, ``code``, ``bits`` and ``back`` to their places in texts."""
+        n, kinds = sums_[of, :2]
         if not n:
             return back
-        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        discount = discounts[of]
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(np.maximum(counts - discount, 0) / n), np.log(discount * kinds / n) + back)
+            mass = np.log(np.maximum(of_code[of, 0] - discount * of_code[of, 1], 0) / n)
+            share = np.where(np.isfinite(mass), np.log(1 - discount * kinds / n) - mass, 0.0)
+            own = np.log(np.maximum(counts - discount, 0) / n)[flat] + share[code] + bits
+            return np.logaddexp(own, np.log(discount * kinds / n) + back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             words = _words_of(batch)
-            counts = np.array([c.to_numpy() for c in batch.columns[1:]], dtype=float)
             bits = np.zeros(len(words))
             for first, some in _chunks(words):
                 bits[first:first + len(some)] = mixer.lengths(Coded.of(some))
             # all in logarithms, as the probability of a very long word is below any double
-            back = memory(counts[-1], -bits * np.log(2.0), sums_[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(back.astype(np.float32))], ["word", *names, "back"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((-bits * np.log(2.0)).astype(np.float32))], ["word", *names, "back"])
 
     fields = ", ".join(f"{c} bigint" for c in names)
     scored = vocabulary.mapInArrow(run, f"word binary, {fields}, back float")
@@ -410,24 +562,22 @@ def score_documents(
         F.col("block").alias("of"), "at", "back", *names, F.octet_length("word").alias("size")
     )
     weights = classes[:, -1] / np.log(10.0) if total else np.full(CLASSES, -np.log10(CLASSES))
-    slim = written.where("word IS NULL").select("block", "ids", "held", "sizes", "packed")
 
     def sums(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
         block = left.to_pylist()[0]
         place = right.column("at").to_numpy()
         prices = {name: np.zeros(len(place)) for name in ("back", "size", *names)}
         for name, own in prices.items():
             own[place] = right.column(name).to_numpy()
         c, size = sum(prices[z] for z in names), prices["size"]
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["packed"]), dtype=np.uint8)
-        flat = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel() if len(raw) else np.empty(0, np.uint32)
-        sizes = np.array(block["sizes"])
+        keys, flat, sizes = _unpacked(block)
         starts = np.append(0, np.cumsum(sizes)[:-1])
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         per = lambda x: np.add.reduceat(x[flat], starts)
-        fit = [per(memory(prices[name], prices["back"], sums_[z + 1]) / np.log(10.0)) for z, name in enumerate(names)]
+        running = Running.of(keys, flat, sizes, classes)
+        bits = np.concatenate([order.lengths(some) for some in running.parts(COUNT_TOGETHER)]) * -np.log(2.0)
+        back = memory(c, 0, flat, running.codes, bits, prices["back"][flat])
+        fit = [np.add.reduceat(memory(prices[name], z + 1, flat, running.codes, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
         fit = np.array(fit) + weights[:, None]
         scores = fit.max(axis=0)
         scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))

@@ -180,3 +180,27 @@ def test_scores_without_training_documents(spark):
 def test_better_than_the_base_on_real_texts(spark, sf):
     rows = [r for r in lm_score.op1_lm_score(spark, sf).collect() if not r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_order_of_words_counts(spark):
+    """Words that always follow each other cost less in that order than shuffled."""
+    rng, pairs = random.Random(4), [(f"a{i}x", f"b{i}y") for i in range(40)]
+    train = [i for i in range(900) if held(i) % 10][:400]
+    fresh = [i for i in range(900) if held(i) % 10 == 0][:40]
+    rows = [(i, " ".join(w for p in rng.choices(pairs, k=40) for w in p)) for i in [*train, *fresh[:20]]]
+    for i, (_, text) in zip(fresh[20:], rows[len(train):], strict=True):
+        rows.append((i, " ".join(rng.sample(text.split(), 80))))
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for a, b in zip(fresh[:20], fresh[20:], strict=True):
+        assert abs(got[a].base_score - got[b].base_score) < 1e-6 and got[a].score > got[b].score + 20
+
+
+def test_word_codes_are_probabilities():
+    """After any words, the codes' probabilities add up to one."""
+    rng = np.random.default_rng(3)
+    order = lm_score.Mixer([rng.integers(0, 9, (size, 2)).astype(np.float32) for size in lm_score.WORD_TABLES], lm_score.WORD_BITS)
+    codes = np.arange(1 << lm_score.WORD_BITS, dtype=np.uint32)
+    same = [np.full(len(codes), c, np.uint64) for c in (5, 77)]
+    some = lm_score.Running(codes, np.full(len(codes), 2), same)
+    order.learn(some)
+    assert abs((2.0 ** -order.lengths(some)).sum() - 1) < 1e-9
