@@ -12,11 +12,12 @@ what a second mixer says of its code (``WORD_BITS`` bits of its hash), and its s
 counts of the known words with that code; the discounts are handed to the spelling above for all other
 words. The contexts of the second mixer cross words: the likeliest class of the text so far, the word
 before, and the two words before, counted over the running text of all training documents. The same is
-done once more inside ``CLASSES`` classes of documents (found by a mixture of unigrams on a bounded
-sample), backed by the counts of all. A text is a sequence of words of one unknown class, so the
+done once more inside ``CLASSES`` classes of documents (found by a mixture of unigrams on all training
+documents), backed by the counts of all. A text is a sequence of words of one unknown class, so the
 weights of the classes adapt from word to word by what was read so far.
 
-How Spark does it: one pass cuts the documents into blocks (numbers of words and the block's own
+How Spark does it: one pass writes how often the words of a document fall in each of ``CLASS_SLOTS``
+slots, and each round of the mixture sums over these rows, a fixed-size table per task; one pass cuts the documents into blocks (numbers of words and the block's own
 words, compressed) and counts what follows which words; one pass over the blocks learns the weights of
 these contexts; spelling runs over distinct words. Counts are joined by word, so the vocabulary grows
 with the corpus and is never collected. Only the predictor tables have a fixed size (``TABLES``,
@@ -41,11 +42,11 @@ from lectern.plans.scratch import settle
 TABLES = (16, 18, 19, 19, 20)
 #: Words of a block, and bytes that are coded together.
 BLOCK_TOKENS, CHUNK = 5_000_000, 400_000
-#: Classes of documents, documents they are found on, and slots of their words.
-CLASSES, CLASS_ROWS, CLASS_SLOTS = 6, 3000, 1024
+#: Classes of documents, slots of their words, and documents that a row of slot counts holds.
+CLASSES, CLASS_SLOTS, CLASS_TOGETHER = 6, 1024, 1000
 _CLASS_COLUMNS = [f"c{z}" for z in range(CLASSES)]
-#: Share of the words that the weights are learned on (one in so many, by hash), and the steps' size.
-LEARN_ONE_IN, RATE = 4, 0.02
+#: Size of the steps of the weights.
+RATE = 0.02
 _LEVELS, _SLOTS = 24, 4096
 #: Bits of a word's code, slots of each predictor of it (class so far, one word before, two words before), and words learned together.
 WORD_BITS = 10
@@ -256,34 +257,96 @@ def _slot(word: bytes) -> int:
     return _key(word) % CLASS_SLOTS
 
 
-def fit_classes(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, rounds: int = 25) -> np.ndarray:
-    """Log-probabilities of word slots in each class, by a mixture of unigrams on at most ``CLASS_ROWS``
-    training documents in hash order; the weight of the class is the last column."""
-    training = df.where(F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
-    chosen = training.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(CLASS_ROWS)
+def _slot_counts(df: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
+    """The training documents' words by slot, ``CLASS_TOGETHER`` documents a row: for each document the
+    number of its slots (``sizes``), and its ``slots`` and ``counts`` one after the other, compressed."""
+    training = df.where(fold(id_col, folds) != held).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        of_word: dict[bytes, int] = {}
+        sizes, slots, counts = [], [], []
+
+        def row() -> pa.RecordBatch:
+            flat = [np.array(sizes, "<i4"), np.concatenate(slots).astype("<u2"), np.concatenate(counts).astype("<i4")]
+            return pa.RecordBatch.from_arrays([pa.array([pack(x.tobytes())], pa.binary()) for x in flat], ["sizes", "slots", "counts"])
+
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                slots = [_slot(w) for w in encoded(text).lower().split()]
-                rows.append(np.bincount(slots, minlength=CLASS_SLOTS) if slots else np.zeros(CLASS_SLOTS, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["id", "n"])
-
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text").mapInArrow(run, "id bigint, n array<int>").collect()
-    x = np.array([r.n for r in sorted(rows, key=lambda r: (r.id, r.n))], dtype=float).reshape(-1, CLASS_SLOTS)
-    x = np.log1p(x)  # a repeated word counts less
-    rng = np.random.default_rng(17)
-    own = np.eye(CLASSES)[rng.integers(0, CLASSES, len(x))] * 0.5 + 0.5 / CLASSES
-    table_ = np.zeros((CLASSES, CLASS_SLOTS + 1))
-    for _ in range(rounds if len(x) else 0):
-        words = own.T @ x + 0.05
+            for text in batch.column(0).to_pylist():
+                words = encoded(text).lower().split()
+                try:
+                    found = [of_word[w] for w in words]
+                except KeyError:
+                    if len(of_word) > 400_000:
+                        of_word = {}
+                    for w in words:
+                        if w not in of_word:
+                            of_word[w] = _slot(w)
+                    found = [of_word[w] for w in words]
+                n = np.bincount(np.array(found, np.int64), minlength=CLASS_SLOTS)
+                at = np.flatnonzero(n)
+                sizes.append(len(at))
+                slots.append(at)
+                counts.append(n[at])
+                if len(sizes) == CLASS_TOGETHER:
+                    yield row()
+                    sizes, slots, counts = [], [], []
+        if sizes:
+            yield row()
+
+    return training.mapInArrow(run, "sizes binary, slots binary, counts binary")
+
+
+def fit_classes(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, rounds: int = 25) -> np.ndarray:
+    """Log-probabilities of word slots in each class, by a mixture of unigrams on all training documents;
+    the weight of the class is the last column.
+
+    The first classes come from random word tables, so they differ as much at any number of documents.
+    """
+    written = settle(_slot_counts(df, id_col, text_col, folds, held), "slots")
+
+    def expected(table_: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """What each class would count of each slot, and its documents; ``middle`` is taken off per word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            read = zstandard.ZstdDecompressor().decompress
+            total = np.zeros((CLASSES, CLASS_SLOTS + 1))
+            for batch in batches:
+                for one in batch.to_pylist():
+                    sizes, slots, counts = (np.frombuffer(read(one[c]), k) for c, k in (("sizes", "<i4"), ("slots", "<u2"), ("counts", "<i4")))
+                    x = np.zeros((len(sizes), CLASS_SLOTS))
+                    x[np.repeat(np.arange(len(sizes)), sizes), slots] = np.log1p(counts)  # a repeated word counts less
+                    fit = x @ table_[:, :-1].T + table_[:, -1] - x.sum(axis=1, keepdims=True) * middle
+                    own = np.exp(fit - fit.max(axis=1, keepdims=True))
+                    own /= own.sum(axis=1, keepdims=True)
+                    total[:, :-1] += own.T @ x
+                    total[:, -1] += own.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        out = np.zeros((CLASSES, CLASS_SLOTS + 1))
+        for r in sorted(bytes(r.sums) for r in written.mapInArrow(run, "sums binary").collect()):
+            out += np.frombuffer(r).reshape(out.shape)
+        return out
+
+    table_, middle = np.zeros((CLASSES, CLASS_SLOTS + 1)), np.zeros(CLASSES)
+    own = expected(table_, middle)
+    if not own.any():
+        return table_
+    # random tables, less what they say of all words together, or all documents would begin in one class
+    table_[:, :-1] = np.random.default_rng(17).normal(0, 0.5, (CLASSES, CLASS_SLOTS))
+    middle = table_[:, :-1] @ own[0, :-1] / max(own[0, :-1].sum(), 1e-9)
+    for _ in range(rounds):
+        own = expected(table_, middle)
+        before, table_, middle = table_, np.zeros_like(table_), np.zeros(CLASSES)
+        words = own[:, :-1] + 0.05
         table_[:, :-1] = np.log(words / words.sum(axis=1, keepdims=True))
-        table_[:, -1] = np.log((own.sum(axis=0) + 1) / (len(x) + CLASSES))
-        fit = x @ table_[:, :-1].T + table_[:, -1]
-        own = np.exp(fit - fit.max(axis=1, keepdims=True))
-        own /= own.sum(axis=1, keepdims=True)
+        table_[:, -1] = np.log((own[:, -1] + 1) / (own[:, -1].sum() + CLASSES))
+        if np.abs(table_ - before).max() < 1e-6:  # nothing moves any more
+            break
     return table_
 
 
@@ -436,7 +499,6 @@ def fit_mixer(words: DataFrame) -> Mixer:
     """Learn from the distinct words (column ``word``) of the training documents."""
     words = words.select("word")
     mixer = Mixer(_tables(words))
-    some = words.where(F.pmod(F.xxhash64("word", F.lit(5)), F.lit(LEARN_ONE_IN)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = Mixer(mixer.counts), 0
@@ -446,7 +508,7 @@ def fit_mixer(words: DataFrame) -> Mixer:
                 n += len(part)
         yield _learned(own, n)
 
-    return _averaged(mixer, some.mapInArrow(run, "at int, value double"))
+    return _averaged(mixer, words.mapInArrow(run, "at int, value double"))
 
 
 def fit_order(blocks: DataFrame, counts: list[np.ndarray], classes: np.ndarray) -> Mixer:

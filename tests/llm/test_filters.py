@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import lm_score, quality, toxicity
 
@@ -204,3 +205,19 @@ def test_word_codes_are_probabilities():
     some = lm_score.Running(codes, np.full(len(codes), 2), same)
     order.learn(some)
     assert abs((2.0 ** -order.lengths(some)).sum() - 1) < 1e-9
+
+
+def test_classes_see_every_training_document(spark):
+    """The words of any one document, however late in hash order, have their say in the classes."""
+    ids = spark.range(3600).withColumnRenamed("id", "doc_id")
+    last = ids.where(lm_score.fold("doc_id", 10) != 0).orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    text = F.when(F.col("doc_id") == last, "rareword " * 5).otherwise("common text")
+    classes = lm_score.fit_classes(ids.withColumn("text", text), "doc_id", "text", 10, 0)
+    slot = lm_score._slot(b"rareword")
+    assert (classes[:, slot] > classes[:, :-1].min(axis=1)).any()
+
+
+def test_spelling_is_learned_on_every_word(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(),) for i in range(100)], "word binary")
+    # the map holds every bit of every byte, stops included
+    assert lm_score.fit_mixer(words).map_[:, 0].sum() == sum(8 * len(f"w{i} ") for i in range(100))
