@@ -136,6 +136,20 @@ class Running:
         first = _mixed(one * _MIX + np.uint64(1))
         return cls((keys >> np.uint32(32 - WORD_BITS))[flat], before, [first, _mixed((first + two) * _MIX + np.uint64(2))])
 
+    @classmethod
+    def over(cls, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, classes: np.ndarray, only: np.ndarray | None = None, together: int = 20_000) -> Iterator[Running]:
+        """The texts (those of ``only``) in parts of whole texts of about ``COUNT_TOGETHER`` words, each in runs of ``together``."""
+        ends = np.append(0, np.cumsum(sizes))
+        first = 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + COUNT_TOGETHER)))
+            last = min(last, len(sizes))
+            own = cls.of(keys, flat[ends[first]:ends[last]], sizes[first:last], classes)
+            if only is not None:
+                own = own.of_rows(np.repeat(only[first:last], sizes[first:last]))
+            yield from own.parts(together)
+            first = last
+
     def parts(self, together: int) -> Iterator[Running]:
         for at in range(0, len(self.codes), together):
             yield self.of_rows(slice(at, at + together))
@@ -191,7 +205,10 @@ def _logit(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
 
 
 def _confidence(all_: np.ndarray) -> np.ndarray:
-    return np.digitize(all_, [0.5, 2.5, 12.5]).astype(np.int64)
+    return (all_ >= 0.5).astype(np.int64) + (all_ >= 2.5) + (all_ >= 12.5)
+
+
+_UNPACKED: dict[int, tuple] = {}
 
 
 class Mixer:
@@ -199,13 +216,43 @@ class Mixer:
 
     def __init__(self, counts: list[np.ndarray], places: int = 8):
         """``counts``: for each predictor an array of (zeros, ones) by slot; the two longest contexts last."""
-        self.counts = counts
-        self.logits = [_logit(c[:, 1], c.sum(axis=1)).astype(np.float32) for c in counts]
-        self.seen = [_confidence(c.sum(axis=1)).astype(np.uint8) for c in counts]
+        self._looked_up(counts)
         self.weights = np.zeros((places * 4 * 4, len(counts) + 1))
         self.weights[:, :-1] = 0.4
         self.map_ = np.zeros((257 * _LEVELS, 2))
 
+    def _looked_up(self, counts: list[np.ndarray]) -> None:
+        self.counts = counts
+        self.logits = [_logit(c[:, 1], c.sum(axis=1)).astype(np.float32) for c in counts]
+        self.seen = [_confidence(c.sum(axis=1)).astype(np.uint8) for c in counts]
+
+    def __getstate__(self) -> tuple:
+        """Tables go to tasks compressed, as every executor writes what it is sent to its disk."""
+        import zstandard
+
+        if not hasattr(self, "_packed"):
+            self._packed = [zstandard.ZstdCompressor(level=1).compress(c.astype("<f4").tobytes()) for c in self.counts]
+        return self._packed, self.weights, self.map_
+
+    def __setstate__(self, state: tuple) -> None:
+        import zstandard
+
+        packed, self.weights, self.map_ = state
+        key = hash(tuple(packed))
+        if key not in _UNPACKED:  # a worker unpacks tables once, not for every task
+            _UNPACKED.clear()
+            self._looked_up([np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<f4").reshape(-1, 2) for c in packed])
+            _UNPACKED[key] = self.counts, self.logits, self.seen
+        self.counts, self.logits, self.seen = _UNPACKED[key]
+
+    def fresh(self) -> Mixer:
+        """The same tables with weights that have learned nothing."""
+        own = Mixer.__new__(Mixer)
+        own.counts, own.logits, own.seen = self.counts, self.logits, self.seen
+        own.weights, own.map_ = np.zeros_like(self.weights), np.zeros_like(self.map_)
+        own.weights[:, :-1] = 0.4
+        return own
+
     @staticmethod
     def _gate(place: int, seen: list[np.ndarray]) -> np.ndarray:
         return (place * 4 + seen[-1].astype(np.int64)) * 4 + seen[-2]
@@ -408,7 +455,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
         numbers: dict[bytes, int] = {}
         ids, held_, sizes, at = [], [], [], []
         n = 0
-        follow = [np.zeros(2 * size, np.float32) for size in WORD_TABLES]
+        follow = [np.zeros(2 * size, np.int32) for size in WORD_TABLES]
 
         def close() -> Iterator[pa.RecordBatch]:
             flat, words = np.concatenate(at), list(numbers)
@@ -420,10 +467,10 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
             cells = flat[train].astype(np.int64) * CLASSES + of_token[train]
             trained = np.bincount(cells, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
-            for some in Running.of(keys, flat, np.array(sizes), classes).of_rows(train).parts(COUNT_TOGETHER):
+            for some in Running.over(keys, flat, np.array(sizes), classes, ~np.array(held_, dtype=bool)):
                 for _, bit, at_ in some.steps():
                     for own, slot in zip(follow, at_, strict=True):
-                        np.add.at(own, slot * 2 + bit, np.float32(1))
+                        np.add.at(own, slot * 2 + bit, np.int32(1))
             packed = zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
             name = int.from_bytes(os.urandom(8), "little", signed=True)
             none = [pa.nulls(1, k.type) for k in kinds]
@@ -501,7 +548,7 @@ def fit_mixer(words: DataFrame) -> Mixer:
     mixer = Mixer(_tables(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Mixer(mixer.counts), 0
+        own, n = mixer.fresh(), 0
         for batch in _gathered(batches, 5000):
             for _, part in _chunks(_words_of(batch)):
                 own.learn(Coded.of(part))
@@ -516,12 +563,11 @@ def fit_order(blocks: DataFrame, counts: list[np.ndarray], classes: np.ndarray)
     mixer = Mixer(counts, WORD_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Mixer(counts, WORD_BITS), 0
+        own, n = mixer.fresh(), 0
         for batch in batches:
             for block in batch.to_pylist():
                 keys, flat, sizes = _unpacked(block)
-                train = np.repeat(~np.array(block["held"], dtype=bool), sizes)
-                for some in Running.of(keys, flat, sizes, classes).of_rows(train).parts(LEARN_TOGETHER):
+                for some in Running.over(keys, flat, sizes, classes, ~np.array(block["held"], dtype=bool), LEARN_TOGETHER):
                     own.learn(some)
                     n += len(some.codes)
         yield _learned(own, n)
@@ -636,10 +682,10 @@ def score_documents(
         starts = np.append(0, np.cumsum(sizes)[:-1])
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         per = lambda x: np.add.reduceat(x[flat], starts)
-        running = Running.of(keys, flat, sizes, classes)
-        bits = np.concatenate([order.lengths(some) for some in running.parts(COUNT_TOGETHER)]) * -np.log(2.0)
-        back = memory(c, 0, flat, running.codes, bits, prices["back"][flat])
-        fit = [np.add.reduceat(memory(prices[name], z + 1, flat, running.codes, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
+        codes = (keys >> np.uint32(32 - WORD_BITS))[flat]
+        bits = np.concatenate([order.lengths(some) for some in Running.over(keys, flat, sizes, classes)]) * -np.log(2.0)
+        back = memory(c, 0, flat, codes, bits, prices["back"][flat])
+        fit = [np.add.reduceat(memory(prices[name], z + 1, flat, codes, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
         fit = np.array(fit) + weights[:, None]
         scores = fit.max(axis=0)
         scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))

@@ -6,8 +6,9 @@ three and the least weighted norm of what would be left (``rule="norm"``) or the
 dot product of piece and residual (``rule="dot"``); if none has room, it opens a new one.
 
 Pieces are dealt by a hash into groups of about ``group_rows``, each packed by one task. Sequences
-that are not nearly full are opened again and their pieces dealt anew, in fewer groups, until
-one group holds what is left: no piece is dropped, and no task sees more than a group.
+that are not nearly full are opened again and their pieces dealt anew, until one group holds what
+is left or a round fills few sequences: then all that are open are closed in their own groups. No
+piece is dropped, and no task sees more than about ``group_rows`` pieces, however many are left.
 """
 
 from __future__ import annotations
