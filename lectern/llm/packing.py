@@ -29,6 +29,8 @@ from lectern.plans.scratch import settle
 REMEMBERED = 400_000
 #: Words whose ids are looked up by one call of the tokenizer.
 _TOGETHER = 2000
+#: Open sequences compared at once.
+_LOOKED_AT = 128
 
 
 @dataclass(frozen=True)
@@ -102,13 +104,38 @@ def pieces(
     return slim.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
+def _choice(room: np.ndarray, need: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str) -> int:
+    """The best open sequence with room for a piece, or -1. It is looked for from the best room for
+    tokens on, as far as that room alone does not rule out what comes after."""
+    n, share, at = room.shape[1], (need / caps)[:, None], -1
+    first = int(np.searchsorted(room[0], need[0]))
+    dot, best = rule == "dot", np.inf
+    for k in range(first, n, _LOOKED_AT):
+        a, b = (max(first, n - (k - first) - _LOOKED_AT), n - (k - first)) if dot else (k, min(n, k + _LOOKED_AT))
+        part = room[:, a:b]
+        if dot:
+            least = -float(weights[0, 0] * part[0, -1] / caps[0] * share[0, 0] + (weights[1:] * share[1:]).sum())
+        else:
+            least = float(weights[0, 0] * (part[0, 0] / caps[0] - share[0, 0]) ** 2)
+        if least > best:
+            break
+        fits = np.flatnonzero((part[1] >= need[1]) & (part[2] >= need[2]))
+        if len(fits):
+            left = part[:, fits] / caps[:, None]
+            cost = -(weights * left * share).sum(axis=0) if dot else (weights * (left - share) ** 2).sum(axis=0)
+            one = int(np.argmin(cost))
+            if cost[one] < best:
+                best, at = float(cost[one]), a + int(fits[one])
+    return at
+
+
 def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each piece, the pieces taken longest first."""
     caps = np.array([limits.tokens, limits.documents, limits.attention], dtype=np.float64)
     weights = np.asarray(limits.weights, dtype=np.float64)[:, None]
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    room = np.empty((3, 1024))
+    room = np.empty((3, 1024))  # of the open sequences, in the order of their room for tokens
     label = np.empty(1024, np.int64)
     n = made = 0
     for i in order.tolist():
@@ -116,25 +143,21 @@ def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarra
         need = np.array([size, 1.0, size * size])
         if (need > caps).any():
             raise ValueError(f"a piece of {int(size)} tokens is beyond the capacities of a sequence")
-        at = -1
-        if n:
-            fits = np.flatnonzero((room[0, :n] >= need[0]) & (room[1, :n] >= need[1]) & (room[2, :n] >= need[2]))
-            if len(fits):
-                left, share = room[:, fits] / caps[:, None], (need / caps)[:, None]
-                if limits.rule == "dot":
-                    at = int(fits[np.argmax((weights * left * share).sum(axis=0))])
-                else:
-                    at = int(fits[np.argmin((weights * (left - share) ** 2).sum(axis=0))])
+        at = _choice(room[:, :n], need, caps, weights, limits.rule)
         if at < 0:
             if n == len(label):
                 room, label = np.hstack([room, np.empty_like(room)]), np.append(label, np.empty_like(label))
             room[:, n], label[n] = caps, made
             at, n, made = n, n + 1, made + 1
         bins[i], offsets[i] = label[at], limits.tokens - int(room[0, at])
-        room[:, at] -= need
-        if room[0, at] < 1 or room[1, at] < 1:  # full: the last open one takes its place
+        left, own = room[:, at] - need, label[at]
+        if (left < 1).any():  # full: no piece has less than one token
+            room[:, at:n - 1], label[at:n - 1] = room[:, at + 1:n], label[at + 1:n]
             n -= 1
-            room[:, at], label[at] = room[:, n], label[n]
+        else:
+            to = int(np.searchsorted(room[0, :at], left[0]))
+            room[:, to + 1:at + 1], label[to + 1:at + 1] = room[:, to:at], label[to:at]
+            room[:, to], label[to] = left, own
     return bins, offsets
 
 
@@ -143,6 +166,7 @@ def pack(
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``id_col``, ``piece`` and ``length``.
 
+    Dealing goes on while a round fills sequences with a quarter of its rows or more.
     All columns stay. Repeated rows are pieces of their own. An empty table gives no row.
     """
     spark = found.sparkSession
@@ -150,7 +174,8 @@ def pack(
     kinds = {f.name: f.dataType.simpleString() for f in rest.schema}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", sequence_id bigint, offset bigint, __full boolean"
     while True:
-        groups = max(1, -(-rest.count() // group_rows))
+        left = rest.count()
+        groups = max(1, -(-left // group_rows))
 
         first = round_ << 56
 
@@ -164,13 +189,11 @@ def pack(
 
         group = F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.lit(round_)), F.lit(groups))
         packed = settle(rest.withColumn("__group", group).groupBy("__group").applyInArrow(run, schema), "packed")
-        if groups == 1:
+        if groups == 1 or 4 * packed.where("__full").count() < left:
             done.append(packed)
             break
         done.append(packed.where("__full"))
         rest, round_ = packed.where("NOT __full").select(*kinds), round_ + 1
-        # what is left shrinks by more than half, or is dealt into at most half as many groups
-        group_rows *= 2
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -148,3 +148,29 @@ def test_too_large_a_piece_is_refused():
 def test_arrow_table_order_is_kept():
     bins, offsets = packing.best_fit(np.array([4, 6, 5, 5]), packing.Limits(tokens=10, attention=1e9))
     assert pa.array(bins).to_pylist() == [0, 0, 1, 1] and offsets.tolist() == [6, 0, 0, 5]
+
+
+def test_no_group_holds_all_that_never_fills(spark):
+    """Pieces of more than half a sequence never fill one; no task may get all of them."""
+    rows = [(i, 0, 2049 + i % 2000) for i in range(1500)]
+    found = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint")
+    packed = packing.pack(found, group_rows=100).collect()
+    groups = {}
+    for r in packed:
+        groups[r.sequence_id >> 28] = groups.get(r.sequence_id >> 28, 0) + 1
+    assert len(packed) == 1500 and max(groups.values()) < 200
+    assert _valid(packed, packing.Limits()) == 1500
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_index_finds_the_same_as_a_scan(rule):
+    rng = np.random.default_rng(6)
+    caps, weights = np.array([100.0, 6.0, 4000.0]), np.array([[1.0], [0.3], [0.3]])
+    room = np.vstack([np.sort(rng.integers(1, 101, 700)), rng.integers(1, 7, 700), rng.integers(1, 4001, 700)]).astype(float)
+    for size in range(1, 60):
+        need = np.array([size, 1.0, size * size])
+        fits = (room >= need[:, None]).all(axis=0)
+        left, share = room / caps[:, None], (need / caps)[:, None]
+        cost = -(weights * left * share).sum(axis=0) if rule == "dot" else (weights * (left - share) ** 2).sum(axis=0)
+        at = packing._choice(room, need, caps, weights, rule)
+        assert at < 0 if not fits.any() else fits[at] and abs(cost[at] - cost[fits].min()) < 1e-12
