@@ -182,13 +182,16 @@ def reply_status(replies: DataFrame, heads: Sequence[str] = fixed.HEADS[:2], max
     return keep_first(attempts, [key], [F.desc("ends"), "attempt"]).where("ends").drop("ends")
 
 
-def reply_audit(outcomes: DataFrame, phase: str, max_attempts: int = 3, key: str = "question_id") -> DataFrame:
+def reply_audit(
+    outcomes: DataFrame, phase: str, max_attempts: int = 3, key: str = "question_id",
+    error_chars: int | None = None, reply_chars: int | None = None,
+) -> DataFrame:
     """Failure log of settled questions: the stage that failed, and ``final_failure`` when it
-    was the last allowed attempt."""
+    was the last allowed attempt. Errors and replies are whole unless cut by ``error_chars``, ``reply_chars``."""
     message = (
         F.when(F.col("status") == "json_parse", PARSE_MESSAGE)
         .when(F.col("status") == "schema_validation", SCHEMA_MESSAGE)
-        .otherwise(F.substring("error", 1, 800))
+        .otherwise(F.col("error") if error_chars is None else F.substring("error", 1, error_chars))
     )
     stages = F.array_compact(
         F.array(
@@ -198,7 +201,8 @@ def reply_audit(outcomes: DataFrame, phase: str, max_attempts: int = 3, key: str
     )
     failed = outcomes.where(F.col("status") != "ok").withColumn("stage", F.explode(stages))
     final = F.col("stage") == "final_failure"
-    excerpt = F.when(F.col("stage") != "schema_validation", F.substring(F.coalesce("reply", F.lit("")), 1, 1200))
+    reply = F.coalesce("reply", F.lit(""))
+    excerpt = F.when(F.col("stage") != "schema_validation", reply if reply_chars is None else F.substring(reply, 1, reply_chars))
     return failed.select(
         F.lit(phase).alias("phase"), key, "attempt", "stage", excerpt.alias("raw_excerpt"),
         F.when(final, message).alias("message"),

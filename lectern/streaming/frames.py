@@ -48,10 +48,12 @@ def route_events(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("value", value)
 
 
-def error_frames(df: DataFrame, status: str = "status_code", detail: str = "detail") -> DataFrame:
-    """Upstream failures (status 400 and above) as error payloads with at most 800 characters."""
+def error_frames(
+    df: DataFrame, status: str = "status_code", detail: str = "detail", max_chars: int | None = None
+) -> DataFrame:
+    """Upstream failures (status 400 and above) as error payloads; ``max_chars`` cuts the detail."""
     failed = df.where(F.col(status) >= 400)
-    payload = F.struct(F.lit("service_unavailable").alias("error"), F.substring(detail, 1, 800).alias("detail"))
+    payload = F.struct(F.lit("service_unavailable").alias("error"), (F.col(detail) if max_chars is None else F.substring(detail, 1, max_chars)).alias("detail"))
     return failed.withColumn("frame", F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n")))
 
 

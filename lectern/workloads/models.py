@@ -248,7 +248,7 @@ def class_weights(spark, sf):
 
 @query()
 def bootstrap_interval(spark, sf):
-    return M.bootstrap_f1(predictions(spark, sf), 200)
+    return M.bootstrap_f1(predictions(spark, sf))
 
 
 _NLL = "-(logits[y_true + 1] - list_max(logits) - ln(list_sum([exp(x - list_max(logits)) FOR x IN logits])))"
@@ -457,7 +457,7 @@ def fit_and_score(spark, sf):
     from lectern.workloads.corpus import split_rows
 
     rows = settle(split_rows(spark, sf), "rows")
-    models = SC.fit_heads(rows.where(F.col("split") == "train"), buckets=1 << 12, max_iter=5)
+    models = SC.fit_heads(rows.where(F.col("split") == "train"))
     held = rows.where(F.col("split") != "train")
     scored = SC.logits_long(SC.score(held, models, ["ord", "split"]), ["ord", "split"])
     guess = SC.with_prediction(scored).select("ord", "split", "head", "y_pred")
@@ -471,6 +471,6 @@ def view_scores(spark, sf):
     from lectern.workloads.corpus import split_rows
 
     rows = settle(split_rows(spark, sf), "rows")
-    models = SC.fit_heads(rows.where(F.col("split") == "train"), buckets=1 << 12, max_iter=3)
-    scored = SC.with_prediction(SC.score_views(rows.where(F.col("split") == "val"), models))
+    models = SC.fit_heads(rows.where(F.col("split") == "train"))
+    scored = SC.with_prediction(SC.score_views(rows, models))
     return scored.select("ord", "head", "y_pred")
