@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +69,17 @@ def words(text: str | None) -> list[bytes]:
 
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in parts whose values in ``column`` have at most ``most`` bytes together; a longer value is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held + size > most and i > start:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)

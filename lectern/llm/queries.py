@@ -6,7 +6,9 @@ import importlib
 
 from lectern.llm.common import ORACLES, QUERIES
 
-MODULES = ("bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes", "lm_score")
+MODULES = (
+    "bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes", "lm_score", "alignment",
+)
 
 for _name in MODULES:
     importlib.import_module(f"lectern.llm.{_name}")
