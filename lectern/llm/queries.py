@@ -7,7 +7,7 @@ import importlib
 from lectern.llm.common import ORACLES, QUERIES
 
 MODULES = (
-    "bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes", "lm_score", "alignment",
+    "bpe", "packing", "near_dedup", "line_dedup", "warc", "toxicity", "quality", "vectors", "codes", "lm_score", "alignment", "substrings", "turns",
 )
 
 for _name in MODULES:
