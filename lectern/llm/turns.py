@@ -437,7 +437,57 @@ def damage(df: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), times)).alias("copy")).drop("copy")
 
 
-@query()
+#: The same by a table of the cheapest edits up to each row, state by state; ``t`` is the table of crc32.
+REPAIR_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS mark
+  FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN mark = 4 THEN 'user' ELSE role END AS role,
+  CASE mark WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN mark = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM m WHERE mark <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS rn,
+  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, substr(role, 1, 1) AS ini FROM d),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS dup,
+  right(bare, 1) NOT IN ('.', '!', '?') AS open, lag(ini) OVER (PARTITION BY conv_id ORDER BY rn) || ini AS pair FROM n),
+s AS (SELECT *, NOT blank AND NOT dup AND open AS cut, (NOT blank AND NOT dup AND open)::INT AS extra FROM f),
+r AS (
+  SELECT conv_id, 0::BIGINT AS rn, [{k: 0::BIGINT, a: '', t: []::VARCHAR[]}, NULL, {k: 2::BIGINT, a: 'I', t: ['user:']}, {k: 4::BIGINT, a: 'II', t: ['user:', 'assistant:']}] AS e
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, rn, [e[1], e[2], u, list_min(list_concat([e[4]], CASE WHEN u IS NULL THEN [] ELSE [{k: u.k + 2, a: u.a || 'I', t: list_append(u.t, 'assistant:')}] END))]
+  FROM (SELECT conv_id, rn, e, list_min(list_concat([e[3]], list_transform(list_filter([e[1], e[2], e[4]], lambda x: x IS NOT NULL),
+      lambda x: {k: x.k + 2, a: x.a || 'I', t: list_append(x.t, 'user:')}))) AS u
+    FROM (SELECT r.conv_id, s.rn, list_transform([
+        list_concat(list_transform([e[1]], lambda x: {k: x.k + 3, a: x.a || 'D', t: x.t})),
+        list_concat(list_transform([e[2]], lambda x: {k: x.k + 3, a: x.a || 'D', t: x.t}),
+          list_transform(CASE WHEN go OR ini <> 's' THEN [] ELSE [e[1]] END, lambda x: {k: x.k + extra, a: x.a || 'K', t: list_append(x.t, role || ':' || text)})),
+        list_concat(list_transform([e[3]], lambda x: {k: x.k + 3, a: x.a || 'D', t: x.t}),
+          list_transform(CASE WHEN go OR ini <> 'u' THEN [] ELSE [e[1], e[2], e[4]] END, lambda x: {k: x.k + extra, a: x.a || 'K', t: list_append(x.t, role || ':' || text)}),
+          list_transform(CASE WHEN go THEN [] ELSE [e[1], e[2], e[4]] END, lambda x: {k: x.k + 2 + extra, a: x.a || 'R', t: list_append(x.t, 'user:' || text)})),
+        list_concat(list_transform([e[4]], lambda x: {k: x.k + 3, a: x.a || 'D', t: x.t}),
+          list_transform(CASE WHEN go OR ini <> 'a' THEN [] ELSE [e[3]] END, lambda x: {k: x.k + extra, a: x.a || 'K', t: list_append(x.t, role || ':' || text)}),
+          list_transform(CASE WHEN go THEN [] ELSE [e[3]] END, lambda x: {k: x.k + 2 + extra, a: x.a || 'R', t: list_append(x.t, 'assistant:' || text)}))
+      ], lambda l: list_min(list_filter(l, lambda x: x.k IS NOT NULL))) AS e
+      FROM r JOIN (SELECT *, blank OR dup AS go FROM s) s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.rn = r.rn + 1))
+),
+z AS (SELECT conv_id, list_min(list_filter([e[1], e[4]], lambda x: x IS NOT NULL)) AS best FROM r
+  WHERE rn = (SELECT count(*) FROM s WHERE s.conv_id IS NOT DISTINCT FROM r.conv_id)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM s GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.k::BIGINT AS cost, best.a AS audit,
+  sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+@query(REPAIR_SQL)
 def op12_turn_repair(spark, sf):
     """Every conversation after damage and repair."""
     source = table(spark, sf, "conversations")
