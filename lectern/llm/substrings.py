@@ -7,23 +7,26 @@ hashes that only decide what is looked at, never what is removed:
 
 1. the least hash of the five-word grams of a window is its anchor, the same wherever the window
    occurs; anchors with one row are dropped, and the windows of the others, merged, are stretches;
-2. equal stretches become one, and of each window in two documents or more the first place is known: the
-   stretch with the least id that holds it. These places are the reference, each repeated window once.
-
-Reference stretches are dealt into shards of about ``SHARD_WINDOWS``, and one task builds the suffix
-automaton of a shard over its words, every state with the least id of its occurrences. Stretches stream
-through the automaton of the shard that holds their first places: matching statistics of ``window`` or more
-give, with the least id of the state, the maximal spans that an earlier document holds. The automata are
-written, not sent through the driver; a shard that many stretches ask for is copied to as many tasks as
-its stretches need, so popular passages do not meet in one task.
+2. equal stretches become one, and of each window in two documents or more the first document is known. The
+   windows of a stretch that no earlier document has are the reference, each repeated window about once.
+
+The reference is dealt by its document into shards of about ``SHARD_WINDOWS``, and a task builds the suffix
+automaton of a shard over its words, every state with the least id of its occurrences; a shard beyond
+``AUTOMATON`` words (a very long document) gets several. Stretches stream through the automata of the shard that
+holds the first document of their windows: matching statistics of ``window`` or more give, with the least id
+of the state, the maximal spans that an earlier document holds. Automata are written, not sent through the
+driver; a shard that many stretches ask for is copied to as many tasks as its stretches need, so popular
+passages do not meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,10 @@ from lectern.plans.scratch import settle
 GRAM = 5
 #: Windows of a stretch at most, of a reference shard, and of the stretches that one task streams, about.
 STRETCH, SHARD_WINDOWS, STREAMED = 2048, 50_000, 200_000
+#: Words of one automaton, about.
+AUTOMATON = 150_000
+#: Bytes of a word, about.
+_WORD = 6
 #: Bytes of text that a task unpacks at once.
 _TOGETHER = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +122,12 @@ def _runs(places: np.ndarray, *also: np.ndarray, most: int | None = None) -> Ite
             yield start, min(b + 1, start + (most or b + 1 - a))
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where the list of each row begins and ends, and the values of all rows one after the other."""
+    ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+    return ends, column.flatten()
+
+
 def _stretches(packed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """``doc, id, start, digest, words`` of the merged windows whose anchors are shared."""
 
@@ -125,9 +138,13 @@ def _stretches(packed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, 2, _TOGETHER // 4):
             out = []
-            for doc, i, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends, shared = _lists(batch.column(3))
+            shared = shared.to_numpy()
+            for k, (doc, i, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
                 words = open_(text).split()
-                found = np.flatnonzero(np.isin(anchors(words, window), np.array(own, np.int64)))
+                own = np.sort(shared[ends[k]:ends[k + 1]])
+                found = anchors(words, window)
+                found = np.flatnonzero(own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
                 for a, b in _runs(found, most=STRETCH):
                     part = b" ".join(words[found[a]:found[b - 1] + window])
                     out.append((doc, i, int(found[a]), xxhash.xxh3_128_digest(part), part))
@@ -157,28 +174,31 @@ def _windows(stretches: DataFrame, window: int) -> DataFrame:
 def _dealt(stretches: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """``home, sid, start, least, words``: reference runs (``sid`` null) and the runs of stretches that ask for them.
 
-    ``home`` is the stretch that holds the first places of the run.
+    ``home`` is the first document of the windows of the run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, _TOGETHER // 4):
             out = []
-            for sid, lo, hi, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            (ends, places), (_, firsts) = (_lists(batch.column(k)) for k in (4, 5))
+            places, firsts = places.to_numpy(), firsts.to_numpy()
+            for k, (sid, lo, hi, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
                 words = text.split()
-                found = np.array([(p["pos"], p["home"], p["at"], p["least"]) for p in own], np.int64).reshape(-1, 4)
-                pos, home, at, least = found[np.argsort(found[:, 0])].T
+                pos, first = places[ends[k]:ends[k + 1]], firsts[ends[k]:ends[k + 1]]
+                order = np.argsort(pos)
+                pos, first = pos[order], first[order]
                 cut = lambda places, a, b: b" ".join(words[places[a]:places[b - 1] + window])
-                first = pos[(home == sid) & (at == pos)]
-                out += [(sid, None, 0, lo, cut(first, a, b)) for a, b in _runs(first)]
-                asks = least < hi  # some document with this stretch comes after the first one
-                pos, home = pos[asks], home[asks]
-                out += [(int(home[a]), sid, int(pos[a]), lo, cut(pos, a, b)) for a, b in _runs(pos, home)]
+                own = pos[first == lo]
+                out += [(lo, None, 0, lo, cut(own, a, b)) for a, b in _runs(own)]
+                asks = first < hi  # some document with this stretch comes after the first one
+                pos, first = pos[asks], first[asks]
+                out += [(int(first[a]), sid, int(pos[a]), lo, cut(pos, a, b)) for a, b in _runs(pos, first)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["home", "sid", "start", "least", "words"])
 
-    joined = stretches.select("sid", "lo", "hi", "words").join(places, "sid").select("sid", "lo", "hi", "words", "own")
+    joined = stretches.select("sid", "lo", "hi", "words").join(places, "sid").select("sid", "lo", "hi", "words", "pos", "first")
     return joined.mapInArrow(run, "home bigint, sid bigint, start int, least bigint, words binary")
 
 
@@ -210,20 +230,26 @@ class Automaton:
         return own
 
     def add(self, words: list[bytes], least: int) -> None:
-        last = 0
+        known, step, link, length, ids = self.words, self.step, self.link, self.length, self.least
+        none, last = np.iinfo(np.int64).max, 0
         for word in words:
-            c = self.words.setdefault(word, len(self.words))
-            if c in self.step[last]:
+            c = known.setdefault(word, len(known))
+            if c in step[last]:
                 last = self._split(last, c)
             else:
-                new, p = self._state({}, 0, self.length[last] + 1), last
-                while p >= 0 and c not in self.step[p]:
-                    self.step[p][c] = new
-                    p = self.link[p]
+                p, new = last, len(link)
+                step.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                ids.append(none)
+                while p >= 0 and c not in step[p]:
+                    step[p][c] = new
+                    p = link[p]
                 if p >= 0:
-                    self.link[new] = self._split(p, c)
+                    link[new] = self._split(p, c)
                 last = new
-            self.least[last] = min(self.least[last], least)
+            if least < ids[last]:
+                ids[last] = least
 
     def close(self) -> None:
         """Hand the least ids on to the suffixes."""
@@ -235,9 +261,10 @@ class Automaton:
         import zstandard
 
         degree = np.array([len(s) for s in self.step], "<i8")
-        edges = np.array([e for s in self.step for e in s.items()], "<i8").reshape(-1, 2)
+        flat = chain.from_iterable
+        edges = np.fromiter(flat(flat(s.items()) for s in self.step), "<i8", 2 * degree.sum())
         text = b" ".join(self.words)
-        sizes = np.array([len(degree), len(edges), len(text)], "<i8")
+        sizes = np.array([len(degree), degree.sum(), len(text)], "<i8")
         parts = [sizes, degree, edges, *(np.array(x, "<i8") for x in (self.link, self.length, self.least))]
         return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts) + text)
 
@@ -278,7 +305,9 @@ class Automaton:
 
 
 def _automata(reference: DataFrame) -> DataFrame:
-    """``shard, automaton`` of the rows ``shard, least, words``."""
+    """``shard, automaton`` of the rows ``shard, home, least, words``."""
+    parts = reference.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / F.lit(_WORD * AUTOMATON)).cast("int").alias("parts"))
+    dealt = reference.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int"))
 
     def build(rows: pa.Table) -> pa.Table:
         found = Automaton()
@@ -287,7 +316,7 @@ def _automata(reference: DataFrame) -> DataFrame:
         found.close()
         return pa.table({"shard": rows.column("shard").slice(0, 1), "automaton": pa.array([found.pack()], pa.binary())})
 
-    return reference.groupBy("shard").applyInArrow(build, "shard bigint, automaton binary")
+    return dealt.select("shard", "part", "least", "words").groupBy("shard", "part").applyInArrow(build, "shard bigint, automaton binary")
 
 
 def _matched(asking: DataFrame, automata: DataFrame, window: int) -> DataFrame:
@@ -295,16 +324,19 @@ def _matched(asking: DataFrame, automata: DataFrame, window: int) -> DataFrame:
     keys = ["shard", "part"]
 
     def stream(rows: pa.Table, held: pa.Table) -> pa.Table:
-        automaton, out = Automaton.unpack(held.column("automaton")[0].as_py()), []
-        for sid, start, text in zip(*(rows.column(c).to_pylist() for c in ("sid", "start", "words")), strict=True):
-            places, least = automaton.matches(text.split(), window)
-            out += [(sid, start + int(places[a]), start + int(places[b - 1]), int(least[a])) for a, b in _runs(places, least)]
+        out = []
+        asked = [(sid, start, text.split()) for sid, start, text in zip(*(rows.column(c).to_pylist() for c in ("sid", "start", "words")), strict=True)]
+        for packed in held.column("automaton").to_pylist():
+            automaton = Automaton.unpack(packed)
+            for sid, start, words in asked:
+                places, least = automaton.matches(words, window)
+                out += [(sid, start + int(places[a]), start + int(places[b - 1]), int(least[a])) for a, b in _runs(places, least)]
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("sid", "a", "b", "least"), columns, kinds, strict=True)})
 
     size = F.octet_length("words")
-    parts = asking.groupBy("shard").agg(F.ceil(F.sum(size) / F.lit(6 * STREAMED)).cast("int").alias("parts"))
+    parts = asking.groupBy("shard").agg(F.ceil(F.sum(size) / F.lit(_WORD * STREAMED)).cast("int").alias("parts"))
     dealt = asking.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("sid", "start"), F.col("parts")).cast("int")).drop("parts")
     copies = automata.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(stream, "sid bigint, a int, b int, least bigint")
@@ -314,7 +346,7 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     """``doc, spans``: word ranges ``a, b`` (b excluded) of a text that an earlier document holds; ``doc`` is the
     hash of id and text. Each range is a maximal run of repeated windows with one first document; ranges may overlap."""
     rows = _rows(df, id_col, text_col)
-    entries = _entries(rows, window)
+    entries = settle(_entries(rows, window), "anchors")
     # a row has an anchor once, so two entries are two rows
     several = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared = entries.join(several, "h").groupBy("doc").agg(F.collect_set("h").alias("own"))
@@ -323,15 +355,15 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     distinct = held.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("words").alias("words"))
     distinct = settle(distinct.withColumn("sid", F.monotonically_increasing_id()), "distinct_stretches")
     windows = _windows(distinct, window)
-    heads = windows.groupBy("w").agg(F.min(F.struct("lo", "sid", "pos")).alias("at"), F.max("hi").alias("last"))
-    heads = heads.where("at.lo < last").select("w", F.col("at.sid").alias("home"), F.col("at.pos").alias("at"), F.col("at.lo").alias("least"))
+    heads = windows.groupBy("w").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("w", "first")
     places = windows.select("w", "sid", "pos").join(heads, "w")
-    places = places.groupBy("sid").agg(F.collect_list(F.struct("pos", "home", "at", "least")).alias("own"))
+    # both lists are made by one aggregate over the same rows in the same order
+    places = places.groupBy("sid").agg(F.collect_list("pos").alias("pos"), F.collect_list("first").alias("first"))
     dealt = settle(_dealt(distinct, places, window), "dealt")
 
     reference = dealt.where("sid IS NULL")
     total = reference.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, total // (6 * SHARD_WINDOWS)))).cast("bigint").alias("shard")
+    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, total // (_WORD * SHARD_WINDOWS)))).cast("bigint").alias("shard")
     automata = settle(_automata(reference.select(shard, "least", "words")), "automata")
     asking = dealt.where("sid IS NOT NULL").select(shard, "sid", "start", "words")
     matched = settle(_matched(asking, automata, window), "matched")
