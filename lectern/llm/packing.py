@@ -16,19 +16,22 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import encoded, query, short_batches, table
+from lectern.llm.common import encoded, query, slices, table
 from lectern.plans.scratch import settle
 
-#: Words a task remembers; the map starts anew beyond it.
-REMEMBERED = 400_000
+#: Bytes of words and ids that a worker process remembers: twice as many at most, see :class:`Words`.
+REMEMBERED = 60_000_000
 #: Words whose ids are looked up by one call of the tokenizer.
 _TOGETHER = 2000
+#: Bytes of text that are looked up at once.
+_AT_ONCE = 2_000_000
 #: Open sequences compared at once.
 _LOOKED_AT = 128
 
@@ -59,6 +62,37 @@ def _word_ids(tokenizer, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
             yield word, flat[4 * cuts[i]:4 * cuts[i + 1]]
 
 
+class Words:
+    """Ids of words, remembered in two maps: when the young one is full it becomes the old one, and words that
+    are still asked for move on, so frequent words are never looked up again."""
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A map that has all words of the texts."""
+        new = set().union(*texts).difference(self.young)
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
+            new = set().union(*texts)
+        moved = {w: self.old[w] for w in new if w in self.old} if self.old else {}
+        moved.update(_word_ids(self.tokenizer, [w for w in new if w not in moved]))
+        self.held += sum(len(w) + len(ids) + 150 for w, ids in moved.items())  # 150: two objects and their place
+        self.young.update(moved)
+        return self.young
+
+
+@cache
+def _words(tokenizer_path: str) -> Words:
+    """One per worker process: tasks that follow each other find the words of those before."""
+    return Words(tokenizer_path)
+
+
 def pieces(
     df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
@@ -69,23 +103,15 @@ def pieces(
     (packed little-endian). A null or empty text is the end id alone. The tokenizer drops white
     space, so words are looked up separately and remembered.
     """
-    short_batches(df.sparkSession)
     slim = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     closing, most = int(end_id).to_bytes(4, "little"), 4 * limits.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
+        words = _words(tokenizer_path)
+        for batch in slices(batches, 1, _AT_ONCE):
             texts = [encoded(t).split() for t in batch.column(1).to_pylist()]
-            new = set().union(*texts).difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known, new = {}, set().union(*texts)
-            known.update(_word_ids(tokenizer, list(new)))
-            get = known.__getitem__
+            get = words.of(texts).__getitem__
             rows: list[tuple] = []
             for i, text in enumerate(texts):
                 ids = b"".join(map(get, text)) + closing
@@ -93,10 +119,10 @@ def pieces(
                     part = ids[at:at + most]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))
             columns = list(zip(*rows, strict=True))
-            arrays = [batch.column(0).take(pa.array(columns[0]))] if rows else [batch.column(0)[:0]]
+            arrays = [batch.column(0).take(pa.array(columns[0]))]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             for j, kind in enumerate(kinds[:len(names) - 1], 1):
-                arrays.append(pa.array(columns[j] if rows else [], kind))
+                arrays.append(pa.array(columns[j], kind))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = slim.schema[id_col].dataType.simpleString()
@@ -169,8 +195,8 @@ def pack(
     Dealing goes on while a round fills sequences with a quarter of its rows or more.
     All columns stay. Repeated rows are pieces of their own. An empty table gives no row.
     """
-    spark = found.sparkSession
-    rest, round_, done = settle(found, "pieces"), 0, []
+    # numbered, so that rows of one id and piece are dealt apart as well
+    rest, round_, done = settle(found.withColumn("__row", F.monotonically_increasing_id()), "pieces"), 0, []
     kinds = {f.name: f.dataType.simpleString() for f in rest.schema}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", sequence_id bigint, offset bigint, __full boolean"
     while True:
@@ -187,7 +213,7 @@ def pack(
             rows = rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 28) + first))
             return rows.append_column("offset", pa.array(offsets)).append_column("__full", pa.array(filled[bins]))
 
-        group = F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.lit(round_)), F.lit(groups))
+        group = F.pmod(F.xxhash64("__row", F.lit(round_)), F.lit(groups))
         packed = settle(rest.withColumn("__group", group).groupBy("__group").applyInArrow(run, schema), "packed")
         if groups == 1 or 4 * packed.where("__full").count() < left:
             done.append(packed)
@@ -197,8 +223,7 @@ def pack(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    short_batches(spark)
-    return out.drop("__full")
+    return out.drop("__full", "__row")
 
 
 @query()
