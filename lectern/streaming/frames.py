@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.functions.text import strip
-from lectern.plans.scratch import once, scratch_path
+from lectern.plans.ranking import number_rows
+from lectern.plans.scratch import once, scratch_path, settle
 
 PAYLOAD = (
     "token string, type string, provider string, tokens_input long, tokens_output long, "
@@ -57,16 +59,46 @@ def error_frames(
     return failed.withColumn("frame", F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n")))
 
 
-def reframe(chunks: DataFrame, request: str = "request_id", chunk: str = "chunk") -> DataFrame:
-    """Raw chunks of a request to whole frames: a frame cut by a chunk border is carried over,
-    an unfinished last one is not delivered. A request holds one reply, whose length is limited."""
-    pieces = F.array_sort(F.collect_list(F.struct("seq", F.col(chunk).alias("c"))))
-    joined = F.array_join(F.transform(pieces, lambda p: p["c"]), "")
-    grouped = chunks.groupBy(request).agg(joined.alias("all"), F.min("ts").alias("ts"))
-    parts = F.split("all", "\n\n")
-    whole = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    frames = grouped.select(request, "ts", F.posexplode(whole).alias("seq", "frame"))
-    return frames.where(strip("frame") != "")
+def reframe(chunks: DataFrame, request: str = "request_id", chunk: str = "chunk", size: int = 256) -> DataFrame:
+    """Raw chunks of a request (ordered by ``seq``) to whole frames ``request, ts, seq, frame``: a frame cut by chunk
+    borders is put together, an unfinished last one is not delivered, blank ones are dropped.
+
+    A segmented scan: ranges of ``size`` chunks are joined and cut by themselves. One window over the
+    ranges (not the chunks) of a request gives the number of the first frame of each range, and only the pieces at
+    the ends of ranges are grouped again by that number, so no row holds more than a range or a frame.
+    """
+    slim = chunks.select(request, "seq", "ts", F.col(chunk).alias("__c"))
+    numbered = number_rows(slim, [F.asc("seq")], [request], "__n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__c"))), lambda p: p["__c"]), "")
+    ranges = numbered.groupBy(request, F.floor((F.col("__n") - 1) / size).alias("__r")).agg(joined.alias("__t"), F.min("ts").alias("__ts"))
+    bare = F.regexp_replace("__t", "^\n+", "")
+    ranges = settle(ranges.withColumn("__lead", F.length("__t") - F.length(bare)).withColumn("__t", bare), "ranges")
+    # a run of newlines belongs to the range it starts in, so that no end of a frame lies on a border
+    order = W.partitionBy(request).orderBy("__r")
+    owner = F.sum((F.col("__t") != "").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    blank = F.col("__t") == ""
+    owned = ranges.withColumn("__g", owner).groupBy(request, "__g").agg(
+        F.max("__t").alias("__t"), F.min("__ts").alias("__ts"),
+        F.sum(F.when(blank, F.col("__lead")).otherwise(0)).alias("__after"), F.sum(F.when(blank, 0).otherwise(F.col("__lead"))).alias("__lead"),
+    )
+    order = W.partitionBy(request).orderBy("__g")
+    newlines = lambda n: F.repeat(F.lit("\n"), n.cast("int"))
+    first = F.lag("__g").over(order).isNull()
+    after = F.col("__after") + F.coalesce(F.lead("__lead").over(order), F.lit(0))
+    text = F.concat(F.when(first, newlines(F.col("__lead"))).otherwise(""), "__t", newlines(after))
+    parts = owned.select(request, "__g", "__ts", F.split(text, "\n\n", -1).alias("__p")).withColumn("__d", F.size("__p") - 1)
+    every = W.partitionBy(request)
+    placed = parts.select(
+        request, "__g", "__p", "__d", F.coalesce(F.sum("__d").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__d").over(every).alias("__total"), F.min("__ts").over(every).alias("ts"),
+    )
+    pieces = placed.select(request, "ts", "__g", "__d", "__total", "__before", F.posexplode("__p").alias("__j", "frame"))
+    pieces = settle(pieces.withColumn("seq", F.col("__before") + F.col("__j")).where("seq < __total"), "pieces")
+    at_end = (F.col("__j") == 0) | (F.col("__j") == F.col("__d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__g", "frame"))), lambda p: p["frame"]), "")
+    cut = pieces.where(at_end).groupBy(request, "seq").agg(F.min("ts").alias("ts"), whole.alias("frame"))
+    out = pieces.where(~at_end).select(request, "ts", "seq", "frame").unionByName(cut.select(request, "ts", "seq", "frame"))
+    return out.where(strip("frame") != "")
 
 
 def assemble_responses(
@@ -141,6 +173,25 @@ def heartbeat(frames: DataFrame, until: str, request: str = "request_id") -> Dat
     return spark.readStream.schema(frames.schema).parquet(path)
 
 
+def land(df: DataFrame, ts: str, name: str, parts: int = 4) -> tuple[str, int]:
+    """Write a finished table as a stream would arrive: ``parts`` slices of time one after the other, and a last row
+    far behind them that only moves the watermark. Returns the folder and the longest slice in seconds,
+    by which rows of one slice can be out of order."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    micros = F.unix_micros(ts)
+    low, high = df.agg(F.min(micros), F.max(micros)).first()
+    cuts = df.select(micros.cast("double").alias("m")).approxQuantile("m", [i / parts for i in range(1, parts)], 0.01)
+    borders = [low or 0, *sorted({int(c) for c in cuts if low < c <= high}), (high or 0) + 1]
+    for start, end in zip(borders, borders[1:], strict=False):
+        df.where((micros >= start) & (micros < end)).write.mode("append").parquet(path)
+    longest = max(b - a for a, b in zip(borders, borders[1:], strict=False)) // 1_000_000 + 1
+    late = F.timestamp_micros(F.lit(borders[-1] + longest * 1_000_000)) + F.expr("interval 2 days")
+    clock = [(late if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
+    spark.range(1).select(*clock).write.mode("append").parquet(path)
+    return path, longest
+
+
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there now into a file sink, and read the sink."""
     spark = stream.sparkSession

@@ -209,13 +209,15 @@ LABELED = f"""labeled AS (
     {sql_pick(fixed.LABELS['urgencia'], 'question_id % 2')} AS urgencia,
     CASE WHEN question_id % 3 = 0 THEN {sql_pick(fixed.LABELS['emocion'], 'question_id')} ELSE '' END AS emocion,
     CASE WHEN question_id % 4 = 0 THEN 'model_b' ELSE 'model_a' END AS model_used
-  FROM questions WHERE question_id % 7 <> 3
+  FROM questions
 )"""
+#: A labelling run that is not finished: every seventh question is still pending.
+UNFINISHED = LABELED.replace("FROM questions", "FROM questions WHERE question_id % 7 <> 3")
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("question_id")
-    return questions(spark, sf).where(i % 7 != 3).select(
+    return questions(spark, sf).select(
         "ord", "question_id", "title",
         F.when(i % 11 == 0, "").otherwise(F.col("body")).alias("body"), "tags", "domain",
         pick(fixed.LABELS["nivel_tecnico"], i % 2).alias("nivel_tecnico"),
@@ -225,6 +227,10 @@ def labeled(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def unfinished(spark: SparkSession, sf: str) -> DataFrame:
+    return labeled(spark, sf).where(F.col("question_id") % 7 != 3)
+
+
 # --- replies: three attempts per question, derived from the event table --------------------
 REPLIES = f"""replies AS (
   SELECT event_id // 3 AS question_id, CAST(event_id % 3 + 1 AS INT) AS attempt, event_type,

@@ -120,9 +120,7 @@ WITH used AS (
     UNION ALL SELECT source, 'emocion', {sql_pick(fixed.LABELS['emocion'], 'doc_id')} FROM documents
     UNION ALL SELECT source, 'dominio', CASE WHEN doc_id % 2 = 0 THEN 'backend' ELSE 'juegos' END FROM documents)
 )
-SELECT split, head, label FROM (
-  SELECT *, row_number() OVER (PARTITION BY split, head ORDER BY label) AS rn FROM used WHERE head <> 'emocion' AND label <> 'backend'
-) WHERE rn <= 10
+SELECT split, head, label FROM used WHERE head <> 'emocion' AND label <> 'backend'
 """)
 def bad_labels(spark, sf):
     docs = table(spark, sf, "documents").select(

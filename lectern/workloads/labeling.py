@@ -8,7 +8,7 @@ from lectern import fixed
 from lectern.operators import labeling as LB
 from lectern.plans.scratch import settle
 from lectern.workloads.base import (
-    LABELED, QUESTIONS, REPLIES, TERMS, labeled, pick, query, questions, replies, sql_pick, table, with_,
+    LABELED, QUESTIONS, REPLIES, TERMS, UNFINISHED, labeled, pick, query, questions, replies, sql_pick, table, unfinished, with_,
 )
 from lectern.workloads.selecting import CAL_RANK, SIGNALS, signals
 
@@ -22,17 +22,17 @@ def enrich(spark, sf):
     return joined.select("question_id", "q_title", F.md5("q_body").alias("body_key"), F.array_join("q_tags", ",").alias("q_tags"))
 
 
-@query(with_(QUESTIONS, LABELED) + "SELECT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM labeled)")
+@query(with_(QUESTIONS, UNFINISHED) + "SELECT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM labeled)")
 def pending(spark, sf):
-    return LB.pending(questions(spark, sf), labeled(spark, sf)).select("question_id")
+    return LB.pending(questions(spark, sf), unfinished(spark, sf)).select("question_id")
 
 
-@query(with_(QUESTIONS, LABELED) + """
+@query(with_(QUESTIONS, UNFINISHED) + """
 SELECT l.question_id, md5(q.body) AS body_key, CASE WHEN l.question_id % 4 = 0 THEN 'legacy_existing' ELSE model_used END AS model_used
 FROM labeled l JOIN questions q USING (question_id)
 """)
 def resume(spark, sf):
-    rows = labeled(spark, sf).withColumn(
+    rows = unfinished(spark, sf).withColumn(
         "model_used", F.when(F.col("question_id") % 4 != 0, F.col("model_used"))
     )
     return LB.resume(rows, questions(spark, sf)).select("question_id", F.md5("body").alias("body_key"), "model_used")
@@ -45,12 +45,12 @@ def candidate_summary(spark, sf):
     return LB.candidate_summary(signals(spark, sf))
 
 
-@query(with_(QUESTIONS, LABELED) + """
+@query(with_(QUESTIONS, UNFINISHED) + """
 SELECT question_id, ['m1', 'm2'][(row_number() OVER (ORDER BY ord) - 1 + 5) % 2 + 1] AS model, CAST(120 AS INT) AS max_tokens
 FROM questions WHERE question_id NOT IN (SELECT question_id FROM labeled)
 """)
 def label_requests(spark, sf):
-    out = LB.label_requests(questions(spark, sf), labeled(spark, sf), ["m1", "m2"], start=5)
+    out = LB.label_requests(questions(spark, sf), unfinished(spark, sf), ["m1", "m2"], start=5)
     return out.where(F.length("prompt") > 0).select("question_id", "model", "max_tokens")
 
 
@@ -74,14 +74,14 @@ def reply_audit(spark, sf):
     return LB.reply_audit(LB.reply_status(replies(spark, sf)), "label")
 
 
-@query(with_(QUESTIONS, LABELED, REPLIES) + """
+@query(with_(QUESTIONS, UNFINISHED, REPLIES) + """
 SELECT t.question_id, t.domain, s.want_level AS nivel_tecnico, s.want_urgency AS urgencia,
   ['m1', 'm2'][(t.rn - 1) % 2 + 1] AS model_used, md5(t.body) AS body_key
 FROM (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM questions WHERE question_id NOT IN (SELECT question_id FROM labeled)) t
 JOIN settled s ON s.question_id = t.question_id AND s.status = 'ok'
 """)
 def apply_replies(spark, sf):
-    requests = settle(LB.label_requests(questions(spark, sf), labeled(spark, sf), ["m1", "m2"]), "requests")
+    requests = settle(LB.label_requests(questions(spark, sf), unfinished(spark, sf), ["m1", "m2"]), "requests")
     done, _ = LB.apply_replies(requests, replies(spark, sf))
     return done.select("question_id", "domain", "nivel_tecnico", "urgencia", "model_used", F.md5("body").alias("body_key"))
 
@@ -135,7 +135,7 @@ def _need(label: str, col: str) -> str:
 @query(with_(QUESTIONS, LABELED, SIGNALS, CAL_RANK.replace("50 * CAST(high_urgency", f"50 * CAST({_need('alta', 'urgencia')} > 0 AND high_urgency")
              .replace("100 * CAST(advanced", f"100 * CAST({_need('avanzado', 'nivel_tecnico')} > 0 AND advanced")
              .replace("30 * CAST(low_urgency", f"30 * CAST({_need('baja', 'urgencia')} > 0 AND low_urgency"), _PLAIN) + f""",
-proposed AS (SELECT c.ord, c.rn, c.nivel_tecnico, c.urgencia, p.n, p.u FROM cal_ranked c JOIN plain p USING (question_id) WHERE c.rn <= 180),
+proposed AS (SELECT c.ord, c.rn, c.nivel_tecnico, c.urgencia, p.n, p.u FROM cal_ranked c JOIN plain p USING (question_id)),
 acc AS (
   SELECT ord, axis FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY rn) AS a FROM (
     SELECT ord, rn, 'avanzado' AS axis FROM proposed WHERE n = 'avanzado' AND nivel_tecnico <> 'avanzado'
@@ -181,7 +181,7 @@ def consensus_votes(spark, sf):
 
 @query(with_(QUESTIONS, LABELED, SIGNALS, _VOTES) + f""",
 cand AS (SELECT ord, question_id, nivel_tecnico, urgencia, row_number() OVER (ORDER BY advanced DESC, high_urgency DESC, least(10, score) DESC, creation_date DESC, ord) AS rn
-  FROM signals WHERE advanced OR high_urgency QUALIFY rn <= 80),
+  FROM signals WHERE advanced OR high_urgency),
 acc AS (
   SELECT ord, axis FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY rn) AS a FROM (
     SELECT ord, rn, 'avanzado' AS axis FROM cand JOIN decided USING (question_id) WHERE nivel_tecnico <> 'avanzado' AND advanced_votes >= 2
@@ -195,6 +195,6 @@ FROM labeled l LEFT JOIN per USING (ord)
 """)
 def refine_consensus(spark, sf):
     rows = labeled(spark, sf)
-    candidates = settle(LB.consensus_candidates(rows, questions(spark, sf), 80, **TERMS), "candidates")
+    candidates = settle(LB.consensus_candidates(rows, questions(spark, sf), **TERMS), "candidates")
     refined, _ = LB.refine_consensus(rows, candidates, _votes(spark, sf), {"avanzado": 12, "alta": 24}, ["m0", "m1", "m2"])
     return refined.select("question_id", "nivel_tecnico", "urgencia", "model_used")

@@ -95,10 +95,10 @@ def signals(spark, sf):
 
 
 @query(with_(QUESTIONS, LABELED, SIGNALS, CAL_RANK) + """
-SELECT question_id, cal_score, rn FROM cal_ranked WHERE rn <= 180
+SELECT question_id, cal_score, rn FROM cal_ranked
 """)
 def rank_calibration(spark, sf):
-    return S.rank_calibration(signals(spark, sf), most=180).select("question_id", "cal_score", "rn")
+    return S.rank_calibration(signals(spark, sf)).select("question_id", "cal_score", "rn")
 
 
 @query(with_(QUESTIONS, LABELED, SIGNALS) + """
@@ -110,13 +110,13 @@ def calibration_candidates(spark, sf):
 
 @query(with_(QUESTIONS, LABELED, SIGNALS) + """
 SELECT question_id, row_number() OVER (ORDER BY advanced DESC, high_urgency DESC, least(10, score) DESC, creation_date DESC, ord) AS rn
-FROM signals WHERE advanced OR high_urgency QUALIFY rn <= 80
+FROM signals WHERE advanced OR high_urgency
 """)
 def rank_consensus(spark, sf):
     from lectern.operators.labeling import consensus_candidates
     from lectern.workloads.base import TERMS
 
-    return consensus_candidates(labeled(spark, sf), questions(spark, sf), 80, **TERMS).select("question_id", "rn")
+    return consensus_candidates(labeled(spark, sf), questions(spark, sf), **TERMS).select("question_id", "rn")
 
 
 @query(with_(FINAL) + """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.plans.scratch import scratch_path
 from lectern.streaming import frames as X
+from lectern.streaming import replies as RP
 from lectern.streaming import sessions as SS
 from lectern.workloads.base import PREDICTIONS, query, table, wide_logits, with_
 from lectern.workloads.prompting import SYSTEM
@@ -85,13 +86,33 @@ def stream_assemble(spark, sf):
     return out.drop("started")
 
 
+@query(with_(_REQUESTS) + """
+SELECT * REPLACE (latency_ms + CASE WHEN split_part(request_id, '-', 1)::INT % 7 = 0 AND latency_ms >= 3 THEN 60000 ELSE 0 END AS latency_ms) FROM assembled
+""")
+def stream_replies(spark, sf):
+    """Frames in four slices of time, out of order in each; every seventh conversation pauses for a minute within
+    its replies. Each reply ends by its end mark or error and is one row."""
+    whole = frames(spark, sf)
+    pause = F.when((F.split("request_id", "-")[0].cast("int") % 7 == 0) & (F.col("seq") >= 3), 60_000_000).otherwise(0)
+    paused = whole.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + pause))
+    path, span = X.land(paused, "ts", "reply_frames")
+    stream = spark.readStream.schema(paused.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    return X.replay(RP.stream_replies(RP.numbered_events(stream), 120, f"{span} seconds"), "replies")
+
+
 @query(with_(_REQUESTS) + "SELECT request_id, n AS n_tokens, tokens_input, tokens_output, latency_ms FROM requests JOIN assembled USING (request_id)")
 def usage_records(spark, sf):
     return X.usage(X.route_events(X.parse_sse(frames(spark, sf))))
 
 
 @query(with_(_REQUESTS) + """
-SELECT request_id, CASE WHEN fails THEN n + 1 WHEN counts THEN n + 3 ELSE n + 2 END AS n_frames FROM requests
+SELECT request_id, seq, md5(frame) AS frame_key FROM (
+  SELECT request_id, unnest(f) AS frame, CAST(unnest(range(len(f))) AS BIGINT) AS seq FROM (
+    SELECT request_id, list_concat(list_transform(regexp_extract_all(text, '[^ ]* |[^ ]+$'), lambda w: 'data: {"token":' || CAST(to_json(w) AS VARCHAR) || '}'),
+      CASE WHEN fails THEN ['data: {"error":"service_unavailable","detail":"corte"}']
+        WHEN counts THEN ['data: {"type":"usage","provider":"p","tokens_input":' || CAST(turn + 7 AS VARCHAR) || ',"tokens_output":' || CAST(n AS VARCHAR) || ',"latency_ms":5}',
+          'data: {bad json', 'data: [DONE]']
+        ELSE [': ping', 'data: [DONE]'] END) AS f FROM requests))
 """)
 def reframe_chunks(spark, sf):
     """Frames cut into chunks of 7 characters that ignore frame borders, and put together again."""
@@ -104,7 +125,7 @@ def reframe_chunks(spark, sf):
     )
     chunks = whole.select("request_id", "ts", F.col("seq").alias("f"), F.posexplode(pieces).alias("p", "chunk"))
     numbered = chunks.select("request_id", "ts", (F.col("f") * 1_000_000 + F.col("p")).alias("seq"), "chunk")
-    return X.reframe(numbered).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_frames"))
+    return X.reframe(numbered).select("request_id", "seq", F.md5("frame").alias("frame_key"))
 
 
 @query("""
@@ -119,7 +140,7 @@ def error_frames(spark, sf):
     return X.error_frames(events).select("event_id", "frame")
 
 
-@query(f"""
+_SUPERSEDED = f"""
 WITH reqs AS (
   SELECT user_id AS conv_id, event_id AS request_id, epoch_us(ts) AS started, epoch_us(ts) + CAST(value * 60000000 AS BIGINT) AS ended,
     CASE WHEN event_type IN ('view', 'click') THEN 'texto' ELSE '' END AS response FROM events),
@@ -128,15 +149,30 @@ SELECT conv_id, request_id, coalesce(next_started < ended, false) AS superseded,
   CASE WHEN coalesce(next_started < ended, false) AND response = '' THEN 'error' ELSE 'done' END AS status,
   CASE WHEN coalesce(next_started < ended, false) AND response = '' THEN 'Respuesta interrumpida por una nueva consulta.' END AS error
 FROM nexts
-""")
-def supersede(spark, sf):
+"""
+
+
+def _requests(spark, sf):
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    requests = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("request_id"), start.alias("started"),
         (start + F.round(F.col("value") * 60000000).cast("long")).alias("ended"),
         F.when(F.col("event_type").isin("view", "click"), "texto").otherwise("").alias("response"), F.lit("done").alias("status"),
     )
-    return SS.supersede(requests).select("conv_id", "request_id", "superseded", "status", "error")
+
+
+@query(_SUPERSEDED)
+def supersede(spark, sf):
+    return SS.supersede(_requests(spark, sf)).select("conv_id", "request_id", "superseded", "status", "error")
+
+
+@query(_SUPERSEDED)
+def stream_supersede(spark, sf):
+    """The same on a stream: requests in four slices of time, out of order in each."""
+    timed = _requests(spark, sf).withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
+    path, span = X.land(timed, "started", "requests")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    return X.replay(RP.stream_supersede(stream, f"{span} seconds"), "superseded")
 
 
 _SOFT = """soft AS (
