@@ -201,6 +201,8 @@ DONE_THRESHOLDS = {
 }
 OVERFIT_GAP = 0.15
 MAX_TRAIN_SYNTHETIC, MAX_EVAL_SYNTHETIC = 0.70, 0.55
+#: Of every 20 rows.
+SPLIT_SLOTS = {"train": 14, "val": 3, "test": 3}
 # size of the corpus without real rows, and at most; least share of real rows, and what is added to it
 DEFAULT_TARGET, MOST_TARGET = 10_000, 12_000
 LEAST_REAL_SHARE, REAL_SHARE_MARGIN = 0.01, 0.005

@@ -15,9 +15,10 @@ def _column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def literal_array(items: Sequence[str]) -> Column:
-    """Constant string array; one literal that the optimizer folds, however long the list is."""
-    return F.from_json(F.lit(json.dumps(list(items))), "array<string>")
+def literal_array(items: Sequence[str] | Sequence[float]) -> Column:
+    """Constant array of strings or doubles; one literal that the optimizer folds, however long the list is."""
+    kind = "double" if items and isinstance(items[0], float) else "string"
+    return F.from_json(F.lit(json.dumps(list(items))), f"array<{kind}>")
 
 
 def literal_map(mapping: Mapping) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 import html
 import sys
 import unicodedata
-from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -31,38 +29,3 @@ def unescape_udf(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def fold_udf(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")
-
-
-def replicate_mean(counts: np.ndarray, truth: np.ndarray, predicted: np.ndarray, classes: Sequence[int]) -> float:
-    """Mean macro F1 over heads of one resampled table of joint cells."""
-    scores = []
-    for h, k in enumerate(classes):
-        active = truth[:, h] >= 0
-        t, p, n = truth[active, h], predicted[active, h], counts[active].astype(float)
-        sup, pred = np.bincount(t, n, k), np.bincount(p, n, k)
-        tp = np.bincount(t[t == p], n[t == p], k)
-        present = (sup + pred) > 0
-        scores.append(float(np.mean(2 * tp[present] / (sup + pred)[present])) if present.any() else 0.0)
-    return float(np.mean(scores))
-
-
-def onnx_scorer(path: str, keep: tuple[str, ...], names: tuple[str, ...], size: int):
-    """Batch function that runs a model file over the ``ids`` column."""
-
-    def run(batches):
-        import onnxruntime
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = 1  # Spark already runs one task per core
-        session = onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
-        source = session.get_inputs()[0].name
-        for batch in batches:
-            for start in range(0, len(batch), size):
-                part = batch.iloc[start : start + size]
-                ids = np.stack(part["ids"].to_numpy()).astype(np.int64)
-                out = part[list(keep)].reset_index(drop=True)
-                for name, values in zip(names, session.run(list(names), {source: ids}), strict=True):
-                    out[name] = list(np.asarray(values, dtype=np.float32))
-                yield out
-
-    return run

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from lectern import fixed
 from lectern.functions import labels as L
 from lectern.functions import text as T
-from lectern.functions.arrays import log_softmax_at
-from lectern.functions.python_udfs import replicate_mean
+from lectern.functions.arrays import literal_array, log_softmax_at
 from lectern.plans.ranking import null_safe_join
+from lectern.plans.scratch import once
 
 WIDE = tuple(f"{m}_{h}" for h in fixed.HEADS for m in ("f1_macro", "f1_micro", "acc"))
 
@@ -266,42 +266,69 @@ def mean_head_acc(metrics_frame: DataFrame) -> DataFrame:
     return metrics_frame.withColumn("mean_acc", acc)
 
 
+#: Parts of a count below this power of two are drawn from the exact Poisson distribution, larger ones from the normal one.
+EXACT_POWERS = 6
+
+
+def poisson_thresholds(power: int) -> list[float]:
+    """Cumulated probabilities of 0, 1, .. at a mean of ``2 ** power``, as far as a byte can tell them from 1."""
+    mean, out, term = float(2**power), [], math.exp(-float(2**power))
+    total, k = term, 0
+    while total <= 1 - 1 / 512:
+        out.append(total)
+        k += 1
+        term *= mean / k
+        total += term
+    return out
+
+
+def normal_quantiles() -> list[float]:
+    """Standard normal quantiles of the middles of 256 equal shares."""
+    return [NormalDist().inv_cdf((i + 0.5) / 256) for i in range(256)]
+
+
+def poisson_weight(n: Column, digest: Column) -> Column:
+    """How often ``n`` rows are drawn together: the sum of one Poisson draw per binary digit of ``n``, whose
+    uniform number is the digit's byte of a 256-bit hex digest (so ``n`` is below 2 ** 32)."""
+    def passed(u: Column):
+        return lambda c: c <= u
+
+    parts = []
+    for power in range(32):
+        byte = F.conv(F.substring(digest, 2 * power + 1, 2), 16, 10).cast("int")
+        if power < EXACT_POWERS:
+            drawn = F.size(F.filter(literal_array(poisson_thresholds(power)), passed((byte + 0.5) / 256.0))).cast("bigint")
+        else:
+            z = F.get(literal_array(normal_quantiles()), byte)
+            drawn = F.floor(float(2**power) + math.sqrt(2.0**power) * z + 0.5)
+        parts.append(F.when(F.shiftright(n, power).bitwiseAND(F.lit(1)) == 1, drawn).otherwise(F.lit(0).cast("bigint")))
+    return sum(parts[1:], parts[0])
+
+
 def bootstrap_f1(df: DataFrame, n_boot: int = 500, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Bootstrap of the mean macro F1: ``n_boot, mean, std, ci95_low, ci95_high``.
+    """Poisson bootstrap of the mean macro F1: ``n_boot, mean, std, ci95_low, ci95_high``.
 
-    Drawing n rows with replacement and counting the joint (truth, prediction) cells of the four
-    heads is one multinomial draw over those cells. The rows are therefore reduced to joint cells
-    first (a closed set); replicates run in parallel tasks whose cost does not grow with the data.
+    Every row counts a Poisson(1) number of times in a replicate, so the rows of one joint (truth, prediction)
+    cell of the four heads count Poisson(rows) times. Rows are reduced to joint cells first (a closed set);
+    the number of a cell and replicate comes from a hash of both, so it is the same at any partitioning, and the
+    sums of a replicate merge like any other aggregate. Nothing is multiplied but the cells.
     """
-    spark = df.sparkSession
     columns = []
     for head in fixed.HEADS:
         here = F.col("head") == head
-        columns.append(F.coalesce(F.max(F.when(here, F.col("y_true"))), F.lit(fixed.IGNORE_INDEX)).alias(f"t_{head}"))
-        columns.append(F.coalesce(F.max(F.when(here, F.col("y_pred"))), F.lit(0)).alias(f"p_{head}"))
-    wide = df.groupBy(id_col).agg(*columns)
+        columns.append(F.coalesce(F.max(F.when(here, F.col("y_true"))), F.lit(fixed.IGNORE_INDEX)).cast("int").alias(f"t_{head}"))
+        columns.append(F.coalesce(F.max(F.when(here, F.col("y_pred"))), F.lit(0)).cast("int").alias(f"p_{head}"))
     names = [f"{s}_{h}" for h in fixed.HEADS for s in ("t", "p")]
-    # combinations of closed label sets: bounded by the taxonomy, not by the rows
-    joint = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).toPandas()
-    truth = joint[[f"t_{h}" for h in fixed.HEADS]].to_numpy(dtype=np.int64)
-    guess = joint[[f"p_{h}" for h in fixed.HEADS]].to_numpy(dtype=np.int64)
-    sizes = joint["n"].to_numpy(dtype=np.int64)
-    total = int(sizes.sum())
-    payload = spark.sparkContext.broadcast((truth, guess, sizes / max(total, 1), total))
-    score, classes = replicate_mean, [len(fixed.LABELS[h]) for h in fixed.HEADS]
-
-    def run(batches):
-        t, p, share, n = payload.value
-        for batch in batches:
-            out = []
-            for replicate in batch["id"]:
-                rng = np.random.default_rng([seed, int(replicate)])
-                out.append(score(rng.multinomial(n, share), t, p, classes))
-            yield pd.DataFrame({"id": batch["id"], "value": out})
-
-    parts = max(1, min(n_boot, spark.sparkContext.defaultParallelism))
-    draws = spark.range(0, n_boot, 1, parts).mapInPandas(run, "id long, value double")
-    return draws.agg(
+    joint = df.groupBy(id_col).agg(*columns).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    drawn = joint.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    digest = F.sha2(F.concat_ws("|", *names, F.lit(seed), "replicate"), 256)
+    drawn = once(drawn, {"__digest": digest})
+    drawn = once(drawn, {"n": poisson_weight(F.col("__n"), F.col("__digest"))}).where("n > 0")
+    sides = [F.struct(F.lit(h).alias("head"), F.col(f"t_{h}").alias("y_true"), F.col(f"p_{h}").alias("y_pred")) for h in fixed.HEADS]
+    counted = drawn.select("replicate", "n", F.inline(F.array(*sides)))
+    counted = counted.groupBy("replicate", "head", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    scores = metrics_from_cells(counted, ["replicate"]).select(F.col("f1_macro_mean").alias("value"))
+    return scores.agg(
         F.count(F.lit(1)).alias("n_boot"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.percentile("value", 0.025).alias("ci95_low"), F.percentile("value", 0.975).alias("ci95_high"),
     )

@@ -13,7 +13,7 @@ from lectern.functions.arrays import add_bias, argmax, geo_mean, literal_array,
 from lectern.functions.text import tokens
 from lectern.operators.metrics import metrics
 from lectern.operators.vocab import encode_tokens
-from lectern.plans.scratch import settle
+from lectern.plans.scratch import once, settle
 
 
 def _checked(df: DataFrame, head: str) -> Column:
@@ -71,30 +71,29 @@ def with_prediction(df: DataFrame) -> DataFrame:
     return df.withColumn("y_pred", argmax("logits"))
 
 
-def _trial_cells(df: DataFrame, cls: int, biases: Mapping[str, Sequence[float]], grid: Sequence[float]) -> DataFrame:
-    """Rows per (head, y_true, best other class, first grid value at which ``cls`` wins).
+def _trial_cells(df: DataFrame, biases: Mapping[str, Sequence[float]], grid: Sequence[float], classes: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Rows per (head, class, y_true, best other class, first grid value at which the class wins).
 
-    A row predicts ``cls`` from some grid value on and its best other class below it, so one
-    count per row covers all trial values and nothing is multiplied by the grid.
+    A row predicts a class from some grid value on and its best other class below it, so one count per row
+    and class covers all trial values. The best other class is the winner, or the second for the winner itself.
     """
     current = F.zip_with("logits", bias_column(biases), lambda a, b: a.cast("double") + b)
-    position = F.sequence(F.lit(0), F.size("logits") - 1)
-    others = F.zip_with(
-        current, position, lambda v, i: F.when(i == cls, F.lit(float("-inf"))).otherwise(v)
-    )
-    base = df.where(F.col("y_true") != fixed.IGNORE_INDEX).select(
-        "head", "y_true", F.get("logits", F.lit(cls)).cast("double").alias("own"), others.alias("others")
-    )
-    rival = base.select("head", "y_true", "own", argmax("others").alias("other"), F.array_max("others").alias("top"))
-    wins_ties = F.lit(cls) < F.col("other")
-    lost = F.lit(0)
-    for value in grid:
-        score = F.col("own") + F.lit(float(value))
-        wins = F.when(wins_ties, score >= F.col("top")).otherwise(score > F.col("top"))
-        lost = lost + (~wins).cast("int")
-    return rival.select("head", "y_true", "other", lost.alias("first_win")).groupBy(
-        "head", "y_true", "other", "first_win"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    base = df.where(F.col("y_true") != fixed.IGNORE_INDEX).select("head", "y_true", "logits", current.alias("now"))
+    base = base.withColumn("first", argmax("now"))
+    place = F.sequence(F.lit(0), F.size("now") - 1)
+    rest = F.zip_with("now", place, lambda v, i: F.when(i == F.col("first"), F.lit(float("-inf"))).otherwise(v))
+    base = once(base, {"second": argmax(rest)})
+    wanted = F.create_map(*[x for h, own in classes.items() for x in (F.lit(h), F.array(*[F.lit(int(c)) for c in own]))])
+    values = literal_array([float(v) for v in grid])
+
+    def trial(c: Column) -> Column:
+        other = F.when(c == F.col("first"), F.col("second")).otherwise(F.col("first"))
+        own, top = F.get("logits", c).cast("double"), F.get("now", other)
+        lost = F.filter(values, lambda v: ~F.when(c < other, own + v >= top).otherwise(own + v > top))
+        return F.struct(c.alias("cls"), other.alias("other"), F.size(lost).alias("first_win"))
+
+    trials = base.select("head", "y_true", F.inline(F.transform(F.element_at(wanted, F.col("head")), trial)))
+    return trials.groupBy("head", "cls", "y_true", "other", "first_win").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _macro_f1(counts: Mapping[tuple[int, int], int]) -> float:
@@ -110,44 +109,65 @@ def _macro_f1(counts: Mapping[tuple[int, int], int]) -> float:
     return sum(2 * tp.get(c, 0) / (sup.get(c, 0) + pred.get(c, 0)) for c in sorted(present)) / len(present)
 
 
+def _climb(
+    trials: Mapping[tuple[str, int], list], head: str, classes: Sequence[int], own: list[float],
+    best: dict[str, float], grid: Sequence[float], unchanged: int,
+) -> int | None:
+    """Try the classes in turn; the first whose bias gains enough is changed and returned."""
+    for cls in classes:
+        rows = trials.get((head, cls), [])
+
+        def score(place: int) -> float:
+            counts: dict[tuple[int, int], int] = {}
+            for r in rows:  # noqa: B023
+                cell = (r["y_true"], cls if place >= r["first_win"] else r["other"])  # noqa: B023
+                counts[cell] = counts.get(cell, 0) + r["n"]
+            return _macro_f1(counts)
+
+        best.setdefault(head, score(unchanged))
+        top, value = best[head], own[cls]
+        for place, trial in enumerate(grid):
+            got = score(place)
+            if got > top + fixed.BIAS_MIN_GAIN:
+                top, value = got, float(trial)
+        if top > best[head] + fixed.BIAS_MIN_GAIN:
+            own[cls], best[head] = value, top
+            return cls
+    return None
+
+
 def fit_bias(
     df: DataFrame, grid: Sequence[float] = fixed.BIAS_GRID, passes: int = 3
 ) -> dict[str, list[float]]:
     """Additive class biases by coordinate ascent on macro F1 (validation rows only).
 
-    Input ``head, y_true, logits``. Each step is one aggregate for one class index of all heads;
-    the driver sees only the counts, whose number is bounded by the label sets and the grid.
+    Input ``head, y_true, logits``. One aggregate counts the trials of all classes of all heads; it holds until a
+    bias changes, and then only for the later classes of that head. So a pass costs one scan and one
+    more for each change of the head that changes most. The driver sees only counts, whose number is
+    bounded by the label sets and the grid.
     """
     stored = settle(df.select("head", "y_true", "logits"), "logits")
-    biases = {h: [0.0] * len(fixed.LABELS[h]) for h in fixed.HEADS}
+    size = {h: len(fixed.LABELS[h]) for h in fixed.HEADS}
+    biases = {h: [0.0] * size[h] for h in fixed.HEADS}
     best: dict[str, float] = {}
+    unchanged = list(grid).index(0.0)
     open_heads = list(fixed.HEADS)
     for _ in range(passes):
         gained: set[str] = set()
-        for cls in range(max(len(fixed.LABELS[h]) for h in open_heads)):
-            heads = [h for h in open_heads if cls < len(fixed.LABELS[h])]
-            part = stored.where(F.col("head").isin(heads))
-            rows = _trial_cells(part, cls, biases, grid).collect()
-            for head in heads:
-                mine = [r for r in rows if r["head"] == head]
-
-                def score(place: int) -> float:
-                    counts: dict[tuple[int, int], int] = {}
-                    for r in mine:
-                        guess = cls if place >= r["first_win"] else r["other"]
-                        counts[(r["y_true"], guess)] = counts.get((r["y_true"], guess), 0) + r["n"]
-                    return _macro_f1(counts)
-
-                if head not in best:
-                    best[head] = score(list(grid).index(0.0))
-                top, value = best[head], biases[head][cls]
-                for place, trial in enumerate(grid):
-                    got = score(place)
-                    if got > top + fixed.BIAS_MIN_GAIN:
-                        top, value = got, float(trial)
-                if top > best[head] + fixed.BIAS_MIN_GAIN:
-                    biases[head][cls], best[head] = value, top
+        at = dict.fromkeys(open_heads, 0)
+        while at:
+            todo = {h: range(first, size[h]) for h, first in at.items()}
+            trials: dict[tuple[str, int], list] = {}
+            for r in _trial_cells(stored.where(F.col("head").isin(list(at))), biases, grid, todo).collect():
+                trials.setdefault((r["head"], r["cls"]), []).append(r)
+            for head in list(at):
+                changed = _climb(trials, head, todo[head], biases[head], best, grid, unchanged)
+                if changed is not None:
                     gained.add(head)
+                if changed is None or changed + 1 == size[head]:
+                    del at[head]
+                else:
+                    at[head] = changed + 1
         open_heads = [h for h in open_heads if h in gained]
         if not open_heads:
             break
@@ -161,7 +181,7 @@ def bias_trials(
     """Macro F1 per head and grid value when only the bias of class ``cls`` changes."""
     start = biases or {h: [0.0] * len(fixed.LABELS[h]) for h in fixed.HEADS}
     heads = [h for h in fixed.HEADS if cls < len(fixed.LABELS[h])]
-    counted = _trial_cells(df.where(F.col("head").isin(heads)), cls, start, grid)
+    counted = _trial_cells(df.where(F.col("head").isin(heads)), start, grid, {h: [cls] for h in heads})
     places = F.array(
         *[F.struct(F.lit(i).alias("place"), F.lit(float(v)).alias("bias")) for i, v in enumerate(grid)]
     )
@@ -302,18 +322,3 @@ def encoded_views(
     return views.select(id_col, "view", "__v").join(coded, "__v").select(
         id_col, "view", pad_ids("ids", length).alias("ids")
     )
-
-
-def score_onnx(df: DataFrame, path: str, keep: Sequence[str] = ("ord",), batch: int = 256) -> DataFrame:
-    """``logits_<head>`` from a sequence model file with input ``input_ids`` (padded ``ids``).
-
-    ``path`` must be readable by every executor. Each task loads the model once and predicts
-    whole Arrow batches.
-    """
-    from lectern.functions.python_udfs import onnx_scorer
-
-    names = [f"logits_{h}" for h in fixed.HEADS]
-    run = onnx_scorer(path, tuple(keep), tuple(names), batch)
-    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    schema = kept + "".join(f", {n} array<float>" for n in names)
-    return df.select(*keep, "ids").mapInPandas(run, schema)

@@ -13,6 +13,7 @@ from lectern import fixed
 from lectern.functions.arrays import majority_domain
 from lectern.functions.text import WHITESPACE, advanced_score, html_to_text, strip, unescape, urgency_score
 from lectern.plans.scratch import once
+from lectern.sources.json_arrays import read_json_array  # noqa: F401
 
 ITEM_SCHEMA = (
     "question_id bigint, title string, body string, tags array<string>, score int, view_count int, "
@@ -32,15 +33,6 @@ def array_objects(documents: DataFrame, schema: StructType | str, col: str = "va
     return objects.select(F.from_json("o", schema).alias("r")).select("r.*")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON files that each hold one array of objects.
-
-    One JSON document cannot be split, so a file is one task; tables that grow are kept as
-    Parquet or JSON lines (:func:`read_table`).
-    """
-    return array_objects(spark.read.text(path, wholetext=True), schema)
-
-
 def read_table(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
     """Splittable tables: parquet, json (lines) or csv (with header)."""
     reader = spark.read.schema(schema)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> None:
     """Overwrite a table: parquet, json (lines, characters unescaped) or csv (with header).
 
@@ -32,10 +31,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
 
 
 def append_audit(df: DataFrame, path: str) -> None:
-    """Append events as JSON lines; with ``foreachBatch`` this is a streaming sink too."""
+    """Append events as JSON lines. On a stream use :func:`audit_batches`, as a repeated batch would append twice."""
     df.write.mode("append").json(path)
 
 
+def audit_batches(path: str):
+    """A ``foreachBatch`` sink for events as JSON lines that survives a repeated batch: every batch owns one
+    partition of the log and overwrites it, so a batch that is run again after a failure gives its rows once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch_id={int(batch_id)}")
+
+    return write
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Long report rows as one JSON document per section.
 

@@ -8,6 +8,7 @@ from lectern import fixed
 from lectern.functions import arrays as A
 from lectern.functions import text as T
 from lectern.operators import gates as G
+from lectern.operators import linear_tables as LT
 from lectern.operators import metrics as M
 from lectern.operators import scoring as SC
 from lectern.operators import vocab as V
@@ -246,9 +247,29 @@ def class_weights(spark, sf):
     return M.class_weights(M.index_labels(final_rows(spark, sf))).withColumn("weight", r6("weight"))
 
 
-@query()
+_NAMES = [f"{s}_{h}" for h in HEADS for s in ("t", "p")]
+_JOINT = ", ".join(
+    f"coalesce(max(y_true) FILTER (WHERE head = '{h}'), -100) AS t_{h}, coalesce(max(y_pred) FILTER (WHERE head = '{h}'), 0) AS p_{h}" for h in HEADS
+)
+_THRESHOLDS = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in M.poisson_thresholds(k)) + "]" for k in range(M.EXACT_POWERS)) + "]"
+_QUANTILES = "[" + ", ".join(f"{x!r}::DOUBLE" for x in M.normal_quantiles()) + "]"
+_BOOT = f"""joint AS (SELECT {', '.join(_NAMES)}, count(*) AS n FROM (SELECT row_id, {_JOINT} FROM predictions GROUP BY 1) GROUP BY ALL),
+hashed AS (SELECT *, sha256(concat_ws('|', {', '.join(_NAMES)}, 42, r)) AS h FROM (SELECT *, unnest(range(500)) AS r FROM joint)),
+drawn AS (SELECT *, list_sum(list_transform(range(32), lambda k: CASE WHEN (n >> k) & 1 = 0 THEN 0
+  WHEN k < {M.EXACT_POWERS} THEN len(list_filter({_THRESHOLDS}[k + 1], lambda c: c <= (('0x' || substr(h, CAST(2 * k + 1 AS INT), 2))::INT + 0.5::DOUBLE) / 256))
+  ELSE CAST(floor(pow(2.0::DOUBLE, k) + sqrt(pow(2.0::DOUBLE, k)) * {_QUANTILES}[('0x' || substr(h, CAST(2 * k + 1 AS INT), 2))::INT + 1] + 0.5) AS BIGINT) END)) AS w FROM hashed),
+sides AS ({' UNION ALL '.join(f"SELECT r, '{h}' AS head, t_{h} AS t, p_{h} AS p, w FROM drawn WHERE w > 0 AND t_{h} <> -100" for h in HEADS)}),
+classed AS (SELECT r, head, cls, sum(tp) AS tp, sum(s) AS s FROM (
+  SELECT r, head, t AS cls, CASE WHEN t = p THEN w ELSE 0 END AS tp, w AS s FROM sides UNION ALL SELECT r, head, p, 0, w FROM sides) GROUP BY ALL),
+per AS (SELECT r, sum(macro) / 4 AS v FROM (SELECT r, head, avg(2.0::DOUBLE * tp / s) AS macro FROM classed GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(with_(PREDICTIONS, _BOOT) + """
+SELECT count(*) AS n_boot, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci95_low, round(quantile_cont(v, 0.975), 6) AS ci95_high FROM per
+""")
 def bootstrap_interval(spark, sf):
-    return M.bootstrap_f1(predictions(spark, sf))
+    out = M.bootstrap_f1(predictions(spark, sf))
+    return out.select("n_boot", *[r6(c).alias(c) for c in ("mean", "std", "ci95_low", "ci95_high")])
 
 
 _NLL = "-(logits[y_true + 1] - list_max(logits) - ln(list_sum([exp(x - list_max(logits)) FOR x IN logits])))"
@@ -474,3 +495,56 @@ def view_scores(spark, sf):
     models = SC.fit_heads(rows.where(F.col("split") == "train"))
     scored = SC.with_prediction(SC.score_views(rows, models))
     return scored.select("ord", "head", "y_pred")
+
+
+# --- linear heads as a table ----------------------------------------------------------------
+_SLOT = "('0x' || substr(md5(word), 1, 4))::INT"
+_DEFAULTS = " ".join(f"WHEN '{h}' THEN '{fixed.HEAD_DEFAULT[h]}'" for h in HEADS)
+_TABLE_MODEL = f"""marked AS (
+  SELECT r.ord, l.head, l.idx AS cls FROM long_rows r JOIN label_sets l ON l.head = r.head AND l.label = coalesce(r.label, CASE r.head {_DEFAULTS} END) WHERE r.supervised),
+worded AS (SELECT ord, {_SLOT} AS slot, count(*) AS n FROM (SELECT ord, unnest({sql_tokens("coalesce(texto, '')")}) AS word FROM final_rows) GROUP BY 1, 2),
+shares AS (SELECT l.head, l.idx AS cls, ln((count(m.ord) + 0.5::DOUBLE) / (sum(count(m.ord)) OVER (PARTITION BY l.head) + 0.5 * count(*) OVER (PARTITION BY l.head))) AS share
+  FROM label_sets l LEFT JOIN marked m ON m.head = l.head AND m.cls = l.idx GROUP BY 1, 2),
+seen AS (SELECT head, cls, slot, sum(n) AS n FROM marked JOIN worded USING (ord) GROUP BY ALL),
+total AS (SELECT l.head, l.idx AS cls, coalesce(sum(s.n), 0) + 32768.0::DOUBLE AS size FROM label_sets l LEFT JOIN seen s ON s.head = l.head AND s.cls = l.idx GROUP BY 1, 2),
+weights AS (SELECT head, cls, slot, ln((n + 0.5::DOUBLE) / 0.5) AS w FROM seen),
+edges AS (SELECT head, cls, share, ln(0.5::DOUBLE / size) AS unseen FROM shares JOIN total USING (head, cls))"""
+
+
+def _table_scores(rows: str, key: str) -> str:
+    """Logits of token counts ``key, slot, n`` of ``rows``."""
+    return f"""sized AS (SELECT {key}, coalesce(sum(n), 0) AS size FROM {rows} GROUP BY ALL),
+hit AS (SELECT {key}, head, cls, sum(n * w) AS s FROM {rows} JOIN weights USING (slot) GROUP BY ALL),
+logit AS (SELECT {key}, e.head, e.cls, share + size * unseen + coalesce(s, 0) AS v FROM sized CROSS JOIN edges e LEFT JOIN hit USING ({key}, head, cls))"""
+
+
+_TABLE_OUT = """
+SELECT ord, head, CAST(arg_max(cls, v) AS INT) AS y_pred, round(max(v), 3) AS top FROM {src} GROUP BY 1, 2
+"""
+
+
+def _top(scored):
+    long = SC.logits_long(scored, ["ord"])
+    return long.select("ord", "head", A.argmax("logits").alias("y_pred"), F.round(F.array_max("logits"), 3).alias("top"))
+
+
+@query(with_(FINAL, FINAL_LONG, LABEL_TABLE, _TABLE_MODEL, "counted AS (SELECT f.ord, w.slot, w.n FROM final_rows f LEFT JOIN worded w USING (ord))", _table_scores("counted", "ord")) + _TABLE_OUT.format(src="logit"))
+def table_scores(spark, sf):
+    """Linear heads fitted by counting on all rows, applied to all texts."""
+    rows = final_rows(spark, sf)
+    return _top(LT.score_texts(rows, settle(LT.fit_table(rows), "model")))
+
+
+@query(with_(FINAL, FINAL_LONG, LABEL_TABLE, _TABLE_MODEL, f"""t AS (SELECT ord, {sql_tokens("coalesce(texto, '')")} AS t, len({sql_tokens("coalesce(texto, '')")}) AS n FROM final_rows),
+windows AS (
+  SELECT ord, 0 AS view, t[1:160] AS w FROM t
+  UNION ALL SELECT ord, 1, t[n - 159:n] FROM t WHERE n > 160
+  UNION ALL SELECT ord, 2, list_concat(t[1:80], t[n - 79:n]) FROM t WHERE n > 160
+  UNION ALL SELECT ord, 3, t[greatest(0, n // 2 - 80) + 1:greatest(0, n // 2 - 80) + 160] FROM t WHERE n > 320),
+counted AS (SELECT ord, view, slot, count(slot) AS n FROM (
+  SELECT ord, view, {_SLOT} AS slot FROM (SELECT ord, view, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS word FROM windows)) GROUP BY ALL)""",
+    _table_scores("counted", "ord, view"), "mean AS (SELECT ord, head, cls, avg(v) AS v FROM logit GROUP BY ALL)") + _TABLE_OUT.format(src="mean"))
+def table_view_scores(spark, sf):
+    """The same heads over the windows of every text, averaged."""
+    rows = final_rows(spark, sf)
+    return _top(LT.score_text_views(rows, settle(LT.fit_table(rows), "model")))

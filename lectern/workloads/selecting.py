@@ -204,20 +204,48 @@ def cap_synthetic(spark, sf):
     return SP.cap_synthetic(split_rows(spark, sf).select("ord", "fuente", "split"), _CAP).select("ord", "split")
 
 
-@query()
+_BEFORE = """sized AS (SELECT split, count(*) AS n_rows FROM split_rows GROUP BY 1),
+held AS (SELECT split, head, label FROM (
+  SELECT split, ord, 'nivel_tecnico' AS head, nivel_tecnico AS label, s_nivel_tecnico AS s FROM split_rows UNION ALL SELECT split, ord, 'urgencia', urgencia, s_urgencia FROM split_rows
+  UNION ALL SELECT split, ord, 'emocion', emocion, s_emocion FROM split_rows UNION ALL SELECT split, ord, 'dominio', dominio, s_dominio FROM split_rows) WHERE s AND label IS NOT NULL),
+everywhere AS (SELECT head, label, count(*) AS n FROM held GROUP BY 1, 2)"""
+
+
+def _checked(before, after, minimum):
+    """Per split: its size, distinct ids, whether the synthetic cap holds; and how many labels there are, and have
+    ``minimum`` rows in the split or none left in train."""
+    sizes = after.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ord").alias("n_ids"),
+        (F.avg(L.is_synthetic("fuente").cast("int")) <= 0.55).alias("under_cap"))
+    count = lambda d, by: G.signature_label_counts(G.label_signatures(d, by), by)
+    every = count(before.withColumn("scope", F.lit("all")), ["scope"]).select("head", "label", F.col("n").alias("total"))
+    wanted = every.withColumn("split", F.explode(F.array(F.lit("val"), F.lit("test"))))
+    left = count(after.where("split = 'train'"), ["split"]).select("head", "label", F.col("n").alias("left"))
+    part = wanted.join(count(after, ["split"]), ["split", "head", "label"], "left").join(left, ["head", "label"], "left")
+    enough = (F.coalesce("n", F.lit(0)) >= minimum) | F.col("left").isNull()
+    labels = part.groupBy("split").agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(enough).alias("n_supported"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return sizes.join(labels, "split", "left").select("split", "n_rows", "n_ids", F.when(F.col("split") == "train", True).otherwise(F.col("under_cap")).alias("under_cap"), zero("n_labels"), zero("n_supported"))
+
+
+_INVARIANT = """
+SELECT s.split, n_rows, n_rows AS n_ids, true AS under_cap, CASE WHEN s.split = 'train' THEN 0 ELSE (SELECT count(*) FROM everywhere) END AS n_labels,
+  CASE WHEN s.split = 'train' THEN 0 ELSE (SELECT count(*) FROM everywhere) END AS n_supported FROM sized s
+"""
+
+
+@query(with_(FINAL, SPLIT, _BEFORE) + _INVARIANT)
 def repair_support(spark, sf):
-    """Label support per split after the repair (checked against a plain loop in the tests)."""
+    """What must hold after the repair: sizes, ids, cap and support."""
     rows = settle(split_rows(spark, sf).drop("texto"), "rows")
-    repaired = SP.repair_support(SP.cap_synthetic(rows, 0.55), minimum=12, cap=0.55)
-    counts = G.signature_label_counts(G.label_signatures(repaired, ["split"]), ["split"])
-    return G.support_gates(counts.withColumnRenamed("split", "scope"), 12, G.SPLITS)
+    return _checked(rows, SP.repair_support(SP.cap_synthetic(rows, 0.55), minimum=12, cap=0.55), 12)
 
 
-@query()
+@query(with_(FINAL, SPLIT, _BEFORE) + _INVARIANT)
 def final_split(spark, sf):
-    """Slot split, synthetic cap and support repair in one, as row counts per source and split."""
+    """What must hold after slot split, synthetic cap and support repair in one."""
     rows = final_rows(spark, sf).drop("texto")
-    return SP.split_final(rows).groupBy("fuente", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _checked(rows, SP.split_final(rows), G.gate_thresholds(rows.count())["split"])
 
 
 @query(with_(FINAL) + f""", keyed AS (SELECT ord, {sql_pick(('alta', 'media', 'baja'), 'ord % 5')} AS urgencia, emocion FROM final_rows),

@@ -44,6 +44,22 @@ def json_arrays(spark, sf):
     return objects.select("conv_id", "turn", "role", F.md5("text").alias("text_key"))
 
 
+@query("SELECT conv_id, turn, role, md5(text) AS text_key FROM conversations")
+def json_array_file(spark, sf):
+    """Every message in one JSON array file, with strays between the objects, read in byte ranges."""
+    path = scratch_path(spark, "array-file")
+    said = table(spark, sf, "conversations")
+    note = F.when(F.col("turn") % 5 == 0, F.lit(', 7, "x } ]", null, [{"a": "]"}], ')).otherwise(",\n")
+    order = ["conv_id", "turn"]
+    # one file is one task to write; it is read by many
+    rows = said.select(*order, F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("o"), note.alias("note")).repartition(1)
+    lines = rows.sortWithinPartitions(*order).select(F.concat("o", "note").alias("value"))
+    ends = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    ends(" [").union(lines).union(ends("null]")).coalesce(1).write.option("lineSep", " ").text(path)
+    out = RD.read_json_array(spark, path, "conv_id bigint, turn bigint, role string, text string")
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("text_key"))
+
+
 @query(f"""
 SELECT page_id AS question_id, 'landed:' || 'pages' AS source_strategy, page_id % 50 = 49 AS has_more, md5(trim(regexp_replace(
   regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;?', '&', 'g'), '{WS}+', ' ', 'g'))) AS body_key
@@ -121,6 +137,26 @@ def audit_log(spark, sf):
     return back.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type AS stage, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT md5(props)) AS n_props FROM events GROUP BY 1")
+def stream_audit(spark, sf):
+    """Events as a stream into the audit log, every batch run twice as after a failure, and the log read back."""
+    events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("stage"), F.md5("props").alias("props_key"))
+    landed, log, state = (scratch_path(spark, f"audit-{x}") for x in ("in", "log", "state"))
+    for part in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(landed)
+    sink = WR.audit_batches(log)
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    back = RD.read_table(spark, log, "event_id bigint, stage string, props_key string", "json")
+    return back.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("props_key").alias("n_props"))
+
+
 @query("""
 SELECT section, count(*) AS n_rows, round(sum(value), 6) AS total FROM (
   SELECT 'lang' AS section, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang UNION ALL SELECT 'source', CAST(count(*) AS DOUBLE) FROM documents GROUP BY source) GROUP BY 1

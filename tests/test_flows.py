@@ -204,46 +204,35 @@ def test_linear_heads_learn(spark, tmp_path):
     assert views.join(guess, ["ord", "head"]).where("v <> y_pred").count() == 0
 
 
-def field(number, payload):
-    """One protocol buffer field: int as varint, bytes as length-delimited."""
-    def varint(v):
-        out = b""
-        while v > 127:
-            out, v = out + bytes([v & 127 | 128]), v >> 7
-        return out + bytes([v])
-
-    if isinstance(payload, int):
-        return varint(number << 3) + varint(payload)
-    data = payload.encode() if isinstance(payload, str) else payload
-    return varint(number << 3 | 2) + varint(len(data)) + data
-
-
-def linear_model(length):
-    """A model file: ids cast to float, times one weight matrix per head."""
-    import struct
-
-    def value(name, kind, dims):
-        shape = b"".join(field(1, field(2, d) if isinstance(d, str) else field(1, d)) for d in dims)
-        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
-
-    cast = field(1, "input_ids") + field(2, "x") + field(4, "Cast") + field(5, field(1, "to") + field(3, 1) + field(20, 2))
-    graph = field(1, cast) + field(2, "g")
-    for h in fixed.HEADS:
-        k = len(fixed.LABELS[h])
-        raw = struct.pack(f"<{length * k}f", *[(i % k) * 0.5 for i in range(length * k)])
-        graph += field(1, field(1, "x") + field(1, f"w_{h}") + field(2, f"logits_{h}") + field(4, "MatMul"))
-        graph += field(5, field(1, length) + field(1, k) + field(2, 1) + field(8, f"w_{h}") + field(9, raw))
-        graph += field(12, value(f"logits_{h}", 1, ["n", k]))
-    graph += field(11, value("input_ids", 7, ["n", length]))
-    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
-
-
-def test_sequence_model_scoring(spark, tmp_path):
-    pytest.importorskip("onnxruntime")
-    path = tmp_path / "model.onnx"
-    path.write_bytes(linear_model(4))
-    rows = spark.createDataFrame([(i, [i, 1, 0, 0]) for i in range(10)], "ord long, ids array<int>")
-    out = {r["ord"]: r for r in SC.score_onnx(rows, str(path), batch=3).collect()}
-    assert len(out) == 10
-    assert list(out[3]["logits_urgencia"]) == [0.0, 2.0, 4.0]
-    assert len(out[0]["logits_emocion"]) == 9
+def test_a_model_table_is_the_count_model(spark):
+    import hashlib
+    import math
+
+    from lectern.operators import linear_tables as LT
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        label = {h: rng.choice([*fixed.LABELS[h], None]) for h in fixed.HEADS}
+        words = [rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(0, 12))] + [f"{h[0]}{chr(97 + fixed.LABELS[h].index(x))}" for h, x in label.items() if x]
+        rows.append((i, " ".join(words) if i % 9 else None, *label.values()))
+    df = spark.createDataFrame(rows, "ord long, texto string, " + ", ".join(f"{h} string" for h in fixed.HEADS))
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+    toks = {r[0]: [slot(w) for w in (r[1] or "").split()] for r in rows}
+    want = {i: {} for i in toks}
+    for k, h in enumerate(fixed.HEADS):
+        truth = {r[0]: fixed.LABELS[h].index(r[2 + k] or fixed.HEAD_DEFAULT[h]) for r in rows}
+        size = len(fixed.LABELS[h])
+        of = [[t for i, ts in toks.items() if truth[i] == c for t in ts] for c in range(size)]
+        share = [math.log((sum(t == c for t in truth.values()) + 0.5) / (len(rows) + 0.5 * size)) for c in range(size)]
+        for i, own in toks.items():
+            want[i][h] = [share[c] + sum(math.log((of[c].count(t) + 0.5) / (len(of[c]) + 0.5 * 65536)) for t in own) for c in range(size)]
+    model = LT.fit_table(df)
+    for got in (LT.score_texts(df, model), LT.score_text_views(df, model)):
+        found = {r["ord"]: r for r in got.collect()}
+        assert len(found) == 80
+        for i, heads in want.items():
+            for h, values in heads.items():
+                assert list(found[i][f"logits_{h}"]) == pytest.approx(values, rel=1e-9), (i, h)
+    empty = LT.fit_table(df.limit(0))
+    assert LT.score_texts(df, empty).count() == 80

@@ -9,7 +9,7 @@ from lectern.workloads.check import TABLES, compare
 
 QUERIES, SQL = all_queries(), all_sql()
 # whole-table flows without an SQL form; their parts are tested against plain loops
-ROWS_ONLY = {"repair_support", "final_split", "bootstrap_interval", "diagnosis", "bias_calibration", "fit_and_score", "view_scores"}
+ROWS_ONLY = {"diagnosis", "bias_calibration", "fit_and_score", "view_scores"}
 
 
 @pytest.fixture(scope="module")

@@ -61,35 +61,6 @@ def cap_loop(train, part, cap):
         train.append(a)
 
 
-def repair_loop(train, part, minimum, cap):
-    again = True
-    while again:
-        again = False
-        have = counts(part)
-        for key in [(h, x) for h in fixed.HEADS for x in fixed.LABELS[h]]:
-            if have[key] >= minimum:
-                continue
-            full = sum(map(synth, part)) / len(part) >= cap
-            donors = [i for i, r in enumerate(train) if key in labels(r)]
-            real = [i for i in donors if not synth(train[i])]
-            donor = (real or donors)[0] if full and donors else (donors[0] if donors else None)
-            if donor is None:
-                continue
-            spare = [i for i, r in enumerate(part) if all(have[k] > minimum for k in labels(r))]
-            if not spare:
-                continue
-            other = [i for i in spare if synth(part[i]) != synth(train[donor])]
-            receiver = (other or spare)[0]
-            after = sum(map(synth, part)) - synth(part[receiver]) + synth(train[donor])
-            if after / len(part) > cap:
-                continue
-            a, b = train.pop(donor), part.pop(receiver)
-            train.append(b)
-            part.append(a)
-            again = True
-            break
-
-
 def members(rows):
     return {s: sorted(r["ord"] for r in rows if r["split"] == s) for s in ("train", "val", "test")}
 
@@ -105,20 +76,46 @@ def test_cap_equals_the_loop(spark, seed, share):
 
 
 @pytest.mark.parametrize("seed,minimum,cap", [(1, 4, 0.55), (2, 6, 0.45), (5, 8, 0.7), (7, 3, 0.5)])
-def test_repair_equals_the_loop(spark, seed, minimum, cap):
+def test_repair_supports_labels_and_keeps_the_rest(spark, seed, minimum, cap):
     rows = corpus(500, seed, 0.4)
-    parts = {s: [r for r in rows if r["split"] == s] for s in ("train", "val", "test")}
+    after = [r.asDict() for r in SP.repair_support(frame(spark, rows), minimum, cap).collect()]
+    assert sorted(r["ord"] for r in after) == list(range(500))
+    assert Counter(r["split"] for r in after) == Counter(r["split"] for r in rows)
+    assert members(after) != members(rows)
+    total = counts(rows)
     for s in ("val", "test"):
-        repair_loop(parts["train"], parts[s], minimum, cap)
-    got = members([r.asDict() for r in SP.repair_support(frame(spark, rows), minimum, cap).collect()])
-    assert got == {s: sorted(r["ord"] for r in p) for s, p in parts.items()}
-    assert got != members(rows)
-
-
-def test_slot_cuts_and_slots(spark):
-    assert SP.slot_cuts(0.70, 0.15) == (14, 17)
+        was, part = ([r for r in x if r["split"] == s] for x in (rows, after))
+        share = lambda x: sum(map(synth, x)) / len(x)
+        assert share(part) <= max(cap, share(was))
+        before, have = counts(was), counts(part)
+        for key in total:
+            # nothing falls below the minimum; a label that is short has no row left in train, or the cap is reached
+            assert have[key] >= min(minimum, before[key]), key
+            left = [r for r in after if r["split"] == "train" and key in labels(r)]
+            at_cap = sum(map(synth, part)) + 1 > cap * len(part)
+            assert have[key] >= minimum or not left or (at_cap and all(map(synth, left))), key
+    again = SP.repair_support(frame(spark, rows).repartition(5), minimum, cap).collect()
+    assert members([r.asDict() for r in again]) == members(after)
+
+
+def test_a_plan_moves_amounts_and_not_more_than_there_is():
+    none = (None, None, None)
+    rare, common = (False, "avanzado", *none), (False, "intermedio", *none)
+    into, out = SP.transport_plan({rare: 5, common: 1000}, {common: 100}, 8, 0.5)
+    assert into == {rare: 5} and out == {common: 5}
+    # all there is to spare
+    into, out = SP.transport_plan({rare: 50}, {common: 10}, 8, 0.5)
+    assert into == {rare: 2} and out == {common: 2}
+    # a synthetic donor takes the place of a synthetic row at the cap
+    fake, other = (True, "avanzado", *none), (True, "intermedio", *none)
+    into, out = SP.transport_plan({fake: 50}, {common: 50, other: 50}, 8, 0.5)
+    assert into == {fake: 8} and out == {other: 8}
+    assert SP.transport_plan({}, {common: 3}, 8, 0.5) == ({}, {})
+
+
+def test_slots(spark):
     with pytest.raises(ValueError):
-        SP.slot_cuts(0.9, 0.2)
+        SP.split_slots(spark.range(4).withColumnRenamed("id", "ord"), 42, {"train": 3, "test": 0})
     sizes = Counter(r["split"] for r in SP.split_slots(spark.range(400).withColumnRenamed("id", "ord"), 42).collect())
     assert sizes == {"train": 280, "val": 60, "test": 60}
 
