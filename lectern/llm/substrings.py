@@ -60,22 +60,41 @@ def _grams(hashed: np.ndarray, n: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
+def _hashed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and how many each text has."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    sizes = np.array([len(words) for words in texts], np.int64)
+    flat = map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts))
+    return np.fromiter(flat, np.uint64, sizes.sum()), sizes
 
 
-def anchors(words: list[bytes], window: int) -> np.ndarray:
-    """For each window the least hash of its grams."""
+def _starts(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of each window that lies within one text, as places in all words."""
+    n = np.maximum(sizes - window + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), n)
+    return text, np.arange(n.sum()) + ((np.cumsum(sizes) - sizes) - (np.cumsum(n) - n))[text]
+
+
+def windows_of(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each window."""
+    hashed, sizes = _hashed(texts)
+    text, at = _starts(sizes, window)
+    return text, _grams(hashed, window)[at].view(np.int64)
+
+
+def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each window, and the least hash of the window's grams."""
+    hashed, sizes = _hashed(texts)
     gram = min(GRAM, window)
-    least, have = _grams(_hashed(words), gram), 1
+    least, have = _grams(hashed, gram), 1
     want = window - gram + 1
     while have < want:  # the least of ``have`` grams from each place on
         step = min(have, want - have)
         least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
         have += step
-    return least.view(np.int64)
+    text, at = _starts(sizes, window)
+    return text, least[at].view(np.int64)
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,9 +108,13 @@ def _entries(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, _TOGETHER):
-            found = [np.unique(anchors(encoded(t).split(), window)) for t in batch.column(1).to_pylist()]
-            docs = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs)], ["h", "doc"])
+            text, h = anchors([encoded(t).split() for t in batch.column(1).to_pylist()], window)
+            new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]))[:len(h)]  # neighbours mostly share it
+            text, h = text[new], h[new]
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]))[:len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(batch.column(0).to_numpy()[text[new]])], ["h", "doc"])
 
     return rows.where("__doc IS NOT NULL").select("__doc", "__text").mapInArrow(run, "h bigint, doc bigint")
 
@@ -140,10 +163,11 @@ def _stretches(packed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
             out = []
             ends, shared = _lists(batch.column(3))
             shared = shared.to_numpy()
-            for k, (doc, i, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                words = open_(text).split()
-                own = np.sort(shared[ends[k]:ends[k + 1]])
-                found = anchors(words, window)
+            texts = [open_(text).split() for text in batch.column(2).to_pylist()]
+            text, h = anchors(texts, window)
+            first = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            for k, (doc, i, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)):
+                own, found = np.sort(shared[ends[k]:ends[k + 1]]), h[first[k]:first[k + 1]]
                 found = np.flatnonzero(own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
                 for a, b in _runs(found, most=STRETCH):
                     part = b" ".join(words[found[a]:found[b - 1] + window])
@@ -162,11 +186,10 @@ def _windows(stretches: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, _TOGETHER // 4):
-            found = [_grams(_hashed(text.split()), window).view(np.int64) for text in batch.column(3).to_pylist()]
-            n = [len(f) for f in found]
-            sid, lo, hi = (np.repeat(batch.column(k).to_numpy(), n) for k in range(3))
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(found), sid, lo, hi, pos)], ["w", "sid", "lo", "hi", "pos"])
+            text, w = windows_of([text.split() for text in batch.column(3).to_pylist()], window)
+            pos = (np.arange(len(text)) - np.searchsorted(text, np.arange(len(batch)))[text]).astype(np.int32)
+            sid, lo, hi = (batch.column(k).to_numpy()[text] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (w, sid, lo, hi, pos)], ["w", "sid", "lo", "hi", "pos"])
 
     return stretches.select("sid", "lo", "hi", "words").mapInArrow(run, "w bigint, sid bigint, lo bigint, hi bigint, pos int")
 
@@ -288,17 +311,18 @@ class Automaton:
         places, ids, v, held = [], [], 0, 0
         for i, word in enumerate(words):
             c = known(word)
-            while v >= 0 and c not in step[v]:
+            to = step[v].get(c)
+            while to is None and v:
                 v = link[v]
-                held = length[v] if v >= 0 else 0
-            if v < 0:
-                v = held = 0
+                held = length[v]
+                to = step[v].get(c)
+            if to is None:
                 continue
-            v, held = step[v][c], held + 1
+            v, held = to, held + 1
             if held >= window:
                 while length[link[v]] >= window:  # the state of the last ``window`` words
                     v = link[v]
-                held = min(held, length[v])
+                    held = length[v]
                 places.append(i - window + 1)
                 ids.append(least[v])
         return np.array(places, np.int64), np.array(ids, np.int64)
