@@ -13,6 +13,7 @@ piece is dropped, and no task sees more than about ``group_rows`` pieces, howeve
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +28,12 @@ from lectern.llm.common import encoded, query, slices, table
 from lectern.plans.scratch import settle
 
 #: Bytes of words and ids that a worker process remembers: twice as many at most, see :class:`Words`.
-REMEMBERED = 60_000_000
+REMEMBERED = 110_000_000
 #: Words whose ids are looked up by one call of the tokenizer.
 _TOGETHER = 2000
+#: The tokenizer lower-cases, and parts a letter from the one comma or full stop that ends a word; so words are
+#: looked up without either.
+_END = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 #: Bytes of text that are looked up at once.
 _AT_ONCE = 2_000_000
 #: Open sequences compared at once.
@@ -110,7 +114,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer_path)
         for batch in slices(batches, 1, _AT_ONCE):
-            texts = [encoded(t).split() for t in batch.column(1).to_pylist()]
+            texts = [_END.sub(rb" \1", encoded(t).lower()).split() for t in batch.column(1).to_pylist()]
             get = words.of(texts).__getitem__
             rows: list[tuple] = []
             for i, text in enumerate(texts):
