@@ -187,6 +187,15 @@ def _unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(block["keys"], "<u4"), flat, np.array(block["sizes"])
 
 
+def _parts(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First and last text (excluded) of parts of whole texts of about ``COUNT_TOGETHER`` words, and their words."""
+    ends, first = np.append(0, np.cumsum(sizes)), 0
+    while first < len(sizes):
+        last = min(len(sizes), max(first + 1, int(np.searchsorted(ends, ends[first] + COUNT_TOGETHER))))
+        yield first, last, flat[ends[first]:ends[last]]
+        first = last
+
+
 def _chunks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of words of about ``CHUNK`` bytes, with the number of their first."""
     first, held = 0, 0
@@ -199,9 +208,20 @@ def _chunks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, words[first:]
 
 
-def _logit(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    p = (ones + 0.3) / (all_ + 0.6)
-    return np.log(p / (1 - p))
+_LOGS = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
+
+
+def _log(counts: np.ndarray) -> np.ndarray:
+    """log(count + 0.3) of whole numbers, which are small ones mostly."""
+    out = _LOGS[np.minimum(counts, len(_LOGS) - 1).astype(np.int32)]
+    large = counts >= len(_LOGS)
+    if large.any():
+        out[large] = np.log(counts[large] + 0.3)
+    return out
+
+
+def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _log(ones) - _log(zeros)
 
 
 def _confidence(all_: np.ndarray) -> np.ndarray:
@@ -223,8 +243,10 @@ class Mixer:
 
     def _looked_up(self, counts: list[np.ndarray]) -> None:
         self.counts = counts
-        self.logits = [_logit(c[:, 1], c.sum(axis=1)).astype(np.float32) for c in counts]
-        self.seen = [_confidence(c.sum(axis=1)).astype(np.uint8) for c in counts]
+        # logit and confidence of a slot are looked up together: the confidence has the two lowest bits
+        self.ready = [
+            _logit(c[:, 0], c[:, 1]).view(np.uint32) & ~np.uint32(3) | _confidence(c.sum(axis=1)).astype(np.uint32) for c in counts
+        ]
 
     def __getstate__(self) -> tuple:
         """Tables go to tasks compressed, as every executor writes what it is sent to its disk."""
@@ -242,13 +264,13 @@ class Mixer:
         if key not in _UNPACKED:  # a worker unpacks tables once, not for every task
             _UNPACKED.clear()
             self._looked_up([np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<f4").reshape(-1, 2) for c in packed])
-            _UNPACKED[key] = self.counts, self.logits, self.seen
-        self.counts, self.logits, self.seen = _UNPACKED[key]
+            _UNPACKED[key] = self.counts, self.ready
+        self.counts, self.ready = _UNPACKED[key]
 
     def fresh(self) -> Mixer:
         """The same tables with weights that have learned nothing."""
         own = Mixer.__new__(Mixer)
-        own.counts, own.logits, own.seen = self.counts, self.logits, self.seen
+        own.counts, own.ready = self.counts, self.ready
         own.weights, own.map_ = np.zeros_like(self.weights), np.zeros_like(self.map_)
         own.weights[:, :-1] = 0.4
         return own
@@ -258,10 +280,11 @@ class Mixer:
         return (place * 4 + seen[-1].astype(np.int64)) * 4 + seen[-2]
 
     def _mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        x = self.weights[gate, -1]
+        weights = self.weights.astype(np.float32)
+        x = weights[gate, -1]
         for k, one in enumerate(inputs):
-            x = x + self.weights[gate, k] * one
-        return np.clip(x, -11.5, 11.5)
+            x += weights[gate, k] * one
+        return np.clip(x, -11.5, 11.5, out=x)
 
     @staticmethod
     def _cell(before: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -270,17 +293,18 @@ class Mixer:
     def learn(self, coded: Coded) -> None:
         """One online step per bit place: weights along the coding error, then the map's counts."""
         for place, bit, slots in coded.steps():
-            y, inputs, seen = bit.astype(np.float64), [], []
+            y, inputs, seen = bit.astype(np.float32), [], []
             for c, slot in zip(self.counts, slots, strict=True):
-                zeros, ones = c[slot, 0] - (1 - y), c[slot, 1] - y  # without the word itself
-                inputs.append(_logit(np.maximum(ones, 0), np.maximum(zeros, 0) + np.maximum(ones, 0)))
+                pair = c[slot]
+                zeros, ones = pair[:, 0] - (1 - y), pair[:, 1] - y  # without the word itself
+                inputs.append(_logit(np.maximum(zeros, 0), np.maximum(ones, 0)))
                 seen.append(_confidence(zeros + ones))
             gate = self._gate(place, seen)
             x = self._mix(gate, inputs)
             error = y - 1 / (1 + np.exp(-x))
             gates = len(self.weights)
             n = np.bincount(gate, minlength=gates)
-            for k, one in enumerate([*inputs, np.ones(len(y))]):
+            for k, one in enumerate([*inputs, np.ones(len(y), np.float32)]):
                 self.weights[:, k] += 20 * RATE * np.bincount(gate, error * one, gates) / np.maximum(n, 50)
             cell = self._cell(coded.before, x)
             self.map_[:, 0] += np.bincount(cell, minlength=len(self.map_))
@@ -288,16 +312,16 @@ class Mixer:
 
     def lengths(self, coded: Coded) -> np.ndarray:
         """Bits of each word."""
-        total = np.zeros(len(coded.before))
+        total = np.zeros(len(coded.before), np.float32)
         middle = 1 / (1 + np.exp(-((np.arange(257 * _LEVELS) % _LEVELS + 0.5) * (24.0 / _LEVELS) - 12.0)))
-        refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float64)
+        refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float32)
         for place, bit, slots in coded.steps():
-            gate = self._gate(place, [s[slot] for s, slot in zip(self.seen, slots, strict=True)])
-            x = self._mix(gate, [t[slot] for t, slot in zip(self.logits, slots, strict=True)])
-            p = 0.5 / (1 + np.exp(-x)) + 0.5 * refined[self._cell(coded.before, x)]
-            p = np.clip(p, 1e-6, 1 - 1e-6)
+            found = [ready[slot] for ready, slot in zip(self.ready, slots, strict=True)]
+            x = self._mix(self._gate(place, [f & np.uint32(3) for f in found]), [f.view(np.float32) for f in found])
+            p = np.float32(0.5) / (1 + np.exp(-x)) + np.float32(0.5) * refined[self._cell(coded.before, x)]
+            p = np.clip(p, 1e-6, 1 - 1e-6, out=p)
             total -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, coded.starts)
+        return np.add.reduceat(total, coded.starts, dtype=np.float64)
 
 
 def _slot(word: bytes) -> int:
@@ -310,10 +334,10 @@ def _slot_counts(df: DataFrame, id_col: str, text_col: str, folds: int, held: in
     training = df.where(fold(id_col, folds) != held).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        of_word: dict[bytes, int] = {}
         sizes, slots, counts = [], [], []
 
         def row() -> pa.RecordBatch:
@@ -323,16 +347,8 @@ def _slot_counts(df: DataFrame, id_col: str, text_col: str, folds: int, held: in
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = encoded(text).lower().split()
-                try:
-                    found = [of_word[w] for w in words]
-                except KeyError:
-                    if len(of_word) > 400_000:
-                        of_word = {}
-                    for w in words:
-                        if w not in of_word:
-                            of_word[w] = _slot(w)
-                    found = [of_word[w] for w in words]
-                n = np.bincount(np.array(found, np.int64), minlength=CLASS_SLOTS)
+                found = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.uint32) % np.uint32(CLASS_SLOTS)
+                n = np.bincount(found, minlength=CLASS_SLOTS)
                 at = np.flatnonzero(n)
                 sizes.append(len(at))
                 slots.append(at)
@@ -462,8 +478,10 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
             starts = np.append(0, np.cumsum(sizes)[:-1])
             keys = np.fromiter(map(_key, words), np.uint32, len(words))
             slots = keys % np.uint32(CLASS_SLOTS)
-            fit = [np.add.reduceat(row[:-1][slots][flat], starts) + row[-1] for row in classes]
-            of_token = np.repeat(np.argmax(fit, axis=0), sizes)
+            best = np.empty(len(sizes), np.int64)
+            for a, b, own in _parts(flat, np.array(sizes)):
+                best[a:b] = np.argmax([np.add.reduceat(row[:-1][slots][own], starts[a:b] - starts[a]) + row[-1] for row in classes], axis=0)
+            of_token = np.repeat(best, sizes)
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
             cells = flat[train].astype(np.int64) * CLASSES + of_token[train]
             trained = np.bincount(cells, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
@@ -679,21 +697,26 @@ def score_documents(
             own[place] = right.column(name).to_numpy()
         c, size = sum(prices[z] for z in names), prices["size"]
         keys, flat, sizes = _unpacked(block)
-        starts = np.append(0, np.cumsum(sizes)[:-1])
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        per = lambda x: np.add.reduceat(x[flat], starts)
-        codes = (keys >> np.uint32(32 - WORD_BITS))[flat]
-        bits = np.concatenate([order.lengths(some) for some in Running.over(keys, flat, sizes, classes)]) * -np.log(2.0)
-        back = memory(c, 0, flat, codes, bits, prices["back"][flat])
-        fit = [np.add.reduceat(memory(prices[name], z + 1, flat, codes, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
-        fit = np.array(fit) + weights[:, None]
-        scores = fit.max(axis=0)
-        scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))
+        base, known_ = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), (c > 0).astype(np.int64)
+        codes, out = keys >> np.uint32(32 - WORD_BITS), []
+        # nothing is held by running word but for one part of the texts at a time
+        for a, b, part in _parts(flat, sizes):
+            starts = np.append(0, np.cumsum(sizes[a:b])[:-1])
+            per = lambda x: np.add.reduceat(x[part], starts)  # noqa: E731, B023
+            code = codes[part]
+            bits = np.concatenate([order.lengths(some) for some in Running.over(keys, part, sizes[a:b], classes)]) * -np.log(2.0)
+            back = memory(c, 0, part, code, bits, prices["back"][part])
+            fit = [np.add.reduceat(memory(prices[name], z + 1, part, code, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
+            fit = np.array(fit) + weights[:, None]
+            scores = fit.max(axis=0)
+            scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))
+            out.append((per(known_), per(base), scores, per(size + 1)))
+        n_known, base_score, scores, n_bytes = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({
             id_col: pa.array(block["ids"], pa.int64()), "held_out": pa.array(block["held"]), "n_tokens": pa.array(sizes, pa.int64()),
-            "n_known": pa.array(per((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(sizes), total), pa.int64()),
-            "base_score": pa.array(per(base)), "score": pa.array(scores),
-            "bits_per_byte": pa.array(-scores * np.log2(10.0) / per(size + 1)),
+            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(sizes), total), pa.int64()),
+            "base_score": pa.array(base_score), "score": pa.array(scores),
+            "bits_per_byte": pa.array(-scores * np.log2(10.0) / n_bytes),
         })
 
     schema = (
