@@ -52,10 +52,10 @@ def json_array_file(spark, sf):
     note = F.when(F.col("turn") % 5 == 0, F.lit(', 7, "x } ]", null, [{"a": "]"}], ')).otherwise(",\n")
     order = ["conv_id", "turn"]
     # one file is one task to write; it is read by many
-    rows = said.select(*order, F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("o"), note.alias("note")).repartition(1)
-    lines = rows.sortWithinPartitions(*order).select(F.concat("o", "note").alias("value"))
-    ends = lambda text: spark.range(1).select(F.lit(text).alias("value"))
-    ends(" [").union(lines).union(ends("null]")).coalesce(1).write.option("lineSep", " ").text(path)
+    rows = said.select(*order, F.concat(F.to_json(F.struct("conv_id", "turn", "role", "text")), note).alias("value"))
+    edge = lambda at, text: spark.range(1).select(F.lit(at).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.lit(text).alias("value"))
+    whole = edge(-1, " [").unionByName(rows).unionByName(edge((1 << 62), "null]"))
+    whole.repartition(1).sortWithinPartitions(*order).select("value").write.option("lineSep", " ").text(path)
     out = RD.read_json_array(spark, path, "conv_id bigint, turn bigint, role string, text string")
     return out.select("conv_id", "turn", "role", F.md5("text").alias("text_key"))
 
