@@ -42,7 +42,7 @@ AUTOMATON = 150_000
 #: Bytes of a word, about.
 _WORD = 6
 #: Bytes of text that a task unpacks at once.
-_TOGETHER = 4_000_000
+_TOGETHER = 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,7 +159,7 @@ def _stretches(packed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, 2, _TOGETHER // 4):
+        for batch in slices(batches, 2, _TOGETHER // 2):
             out = []
             ends, shared = _lists(batch.column(3))
             shared = shared.to_numpy()
@@ -185,7 +185,7 @@ def _windows(stretches: DataFrame, window: int) -> DataFrame:
     """``w, sid, lo, hi, pos`` of every window of the distinct stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3, _TOGETHER // 4):
+        for batch in slices(batches, 3, _TOGETHER // 2):
             text, w = windows_of([text.split() for text in batch.column(3).to_pylist()], window)
             pos = (np.arange(len(text)) - np.searchsorted(text, np.arange(len(batch)))[text]).astype(np.int32)
             sid, lo, hi = (batch.column(k).to_numpy()[text] for k in range(3))
@@ -201,7 +201,7 @@ def _dealt(stretches: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3, _TOGETHER // 4):
+        for batch in slices(batches, 3, _TOGETHER // 2):
             out = []
             (ends, places), (_, firsts) = (_lists(batch.column(k)) for k in (4, 5))
             places, firsts = places.to_numpy(), firsts.to_numpy()
@@ -424,7 +424,7 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, 0, _TOGETHER // 4):
+        for batch in slices(batches, 0, _TOGETHER // 2):
             texts, before, removed = [], [], []
             for packed, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = open_(packed)
