@@ -329,7 +329,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = settle(components(links), "labels")
     inner = shared.where("id > low AND id < high").join(label, "id", "left")
     inner = inner.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = inner.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    # a bucket with the same members as one of an earlier slot is the first common bucket of no pair
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")]
+    mixed = inner.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *members).where("x < y")
+    mixed = mixed.groupBy("n", "h", "g").agg(F.min("bucket").alias("bucket"))  # slots are the upper bits of a bucket
     rest = settle(inner.join(mixed.select("bucket"), "bucket"), "rest")
     links = links.union(_block_links(rest, classes.select("id", "n", "sig"), packed))
 
