@@ -16,6 +16,7 @@ what comes to the driver is bounded; all texts are scored in one scan without a
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -134,7 +135,8 @@ class Toxicity:
         good = [t for t in tails if t[0] >= -math.log(SIGNIFICANT)]
         best = max((t[0] for t in tails), default=0.0)
         length = sum(b - a + 1 for _, _, a, b in good)
-        inside = sum(a <= at <= b for at, _ in hits for _, _, a, b in good) if len(good) < 50 else len(hits)
+        places = [at for at, _ in hits]  # both are in order, and passages do not overlap
+        inside = sum(bisect_right(places, b) - bisect_left(places, a) for _, _, a, b in good)
         row = [math.log1p(best), math.log1p(sum(t[0] for t in good)), length / max(n, 1), math.log1p(inside)]
         return row, [(s, a, b) for _, s, a, b in good]
 

@@ -221,3 +221,16 @@ def test_spelling_is_learned_on_every_word(spark):
     words = spark.createDataFrame([(f"w{i}".encode(),) for i in range(100)], "word binary")
     # the map holds every bit of every byte, stops included
     assert lm_score.fit_mixer(words).map_[:, 0].sum() == sum(8 * len(f"w{i} ") for i in range(100))
+
+
+def test_many_passages_are_counted_like_few():
+    """Telling tokens inside of significant passages, for texts with one passage and with sixty."""
+    model = toxicity.Toxicity({b"bad": 4.0, b"odd": 0.4}, rate=1.0, log_k=-3.0)
+    for n in (1, 49, 60):
+        tokens = ([b"bad"] * 6 + [b"plain"] * 80 + [b"odd"] + [b"plain"] * 80) * n
+        row, found = model.features(tokens)
+        hits = [at for at, _ in model.hits(tokens)]
+        assert len(found) == n
+        inside = sum(any(a <= at <= b for _, a, b in found) for at in hits)
+        assert inside == 6 * n < len(hits)
+        assert row[3] == pytest.approx(np.log1p(inside))
