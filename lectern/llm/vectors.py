@@ -119,14 +119,13 @@ def fit_index(rows: DataFrame, centroids: int, sample_rows: int) -> MultiIndex |
 
 def nearest(
     df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    centroids: int = 64, sample_rows: int = 20_000, share: float = 0.45, least: int = 4000,
+    centroids: int = 64, sample_rows: int = 20_000, share: float = 0.45,
 ) -> DataFrame:
     """``query_id, rank, id_col, score``: the ``k`` rows found with the largest cosine, but the query's own.
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than most, or hold null
     or non-finite components take no part, neither do rows without an id. Repeated rows of an id count once.
-    A query visits cells until they hold the ``share`` of all rows, and ``least`` rows at least (all
-    cells, if there are fewer).
+    A query visits cells until they hold the ``share`` of all rows, at any number of rows, and ``k`` rows at least.
     """
     short_batches(df.sparkSession)
     spark = df.sparkSession
@@ -149,7 +148,7 @@ def nearest(
     for r in stored.groupBy("first", "second").count().collect():
         sizes[r.first, r.second] = r["count"]
     parts = -(-sizes.sum(axis=1) // PART_ROWS)
-    enough = max(least, int(share * sizes.sum())) + 1  # the query's own row does not count
+    enough = max(k, int(share * sizes.sum())) + 1  # the query's own row does not count
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,12 +46,26 @@ def test_all_cells_give_the_exact_result(embeddings):
 def test_few_cells_find_most(embeddings, monkeypatch):
     rows, df = embeddings
     monkeypatch.setattr(vectors, "PART_ROWS", 9)
-    got = vectors.nearest(df, df, centroids=6, share=0.6, least=10).collect()
+    got = vectors.nearest(df, df, centroids=6, share=0.6).collect()
     want = brute_nearest(rows, 5)
     hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
     assert hits >= 0.7 * sum(map(len, want.values()))
 
 
+def test_recall_at_the_registered_parameters(spark):
+    """Two thousand given rows and as many again between them, searched as the query does."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in given.collect()}
+    rng, ids = np.random.default_rng(4), sorted(rows)
+    more = {max(ids) + 1 + i: rows[a] * 0.7 + rows[b] * 0.3 for i, (a, b) in enumerate(rng.choice(ids, (len(ids), 2)))}
+    rows = {i: v.astype(np.float32).tolist() for i, v in (rows | more).items()}
+    df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<float>").repartition(4)
+    found = vectors.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    want = {q: {i for i, _ in best} for q, best in brute_nearest(rows, 5).items() if q % 50 == 0}
+    assert len(found) == 5 * len(want)
+    assert sum(r.vec_id in want[r.query_id] for r in found) >= 0.9 * len(found)
+
+
 def test_walk_is_in_order_of_the_sum():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
