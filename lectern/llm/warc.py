@@ -145,7 +145,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     The digest of a response is compared with its payload; ``payload`` is null in revisits.
     """
-    short_batches(archives.sparkSession, 4)
+    # an archive is tens of megabytes, so a partition of a written table holds a few of them
     number = re.compile(r"<urn:page:(-?\d+)>")
     schema = (
         "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, "
