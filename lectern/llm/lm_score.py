@@ -312,16 +312,17 @@ class Mixer:
 
     def lengths(self, coded: Coded) -> np.ndarray:
         """Bits of each word."""
-        total = np.zeros(len(coded.before), np.float32)
+        total = np.zeros(len(coded.before))
         middle = 1 / (1 + np.exp(-((np.arange(257 * _LEVELS) % _LEVELS + 0.5) * (24.0 / _LEVELS) - 12.0)))
-        refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float32)
+        refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float64)
         for place, bit, slots in coded.steps():
             found = [ready[slot] for ready, slot in zip(self.ready, slots, strict=True)]
             x = self._mix(self._gate(place, [f & np.uint32(3) for f in found]), [f.view(np.float32) for f in found])
-            p = np.float32(0.5) / (1 + np.exp(-x)) + np.float32(0.5) * refined[self._cell(coded.before, x)]
+            # in double precision from here on, so that the probabilities of all words add up to one
+            p = 0.5 / (1 + np.exp(-x.astype(np.float64))) + 0.5 * refined[self._cell(coded.before, x)]
             p = np.clip(p, 1e-6, 1 - 1e-6, out=p)
             total -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, coded.starts, dtype=np.float64)
+        return np.add.reduceat(total, coded.starts)
 
 
 def _slot(word: bytes) -> int:
