@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import query, short_batches, table, words
@@ -268,16 +268,27 @@ def _compare(rows: pa.Table, first: int, second: int, slot: int) -> tuple[list[i
     return left, right
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """``bucket, id, component, n, ..`` with the blocks of a bucket, each pair of blocks a group."""
+def _in_blocks(members: DataFrame, more: DataFrame) -> DataFrame:
+    """The rows ``bucket, id, component, n`` with the columns of ``more`` (a row per id) and the blocks of a bucket.
+
+    Each pair of blocks is a group. A document meets its signature or words once, however many buckets it is in.
+    """
     sizes = members.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    full = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return full.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    # at most a bucket for every key of a signature
+    own = members.join(sizes, "bucket").groupBy("id", "component", "n").agg(F.collect_list(F.struct("bucket", "blocks")).alias("own"))
+
+    def groups(x: Column) -> Column:
+        block = F.pmod(F.xxhash64("id"), x["blocks"]).cast("int")
+        pair = lambda other: F.struct(
+            x["bucket"].alias("bucket"), F.least(block, other).alias("first"), F.greatest(block, other).alias("second"), block.alias("block"))
+        return F.transform(F.sequence(F.lit(0), x["blocks"] - 1), pair)
+
+    full = own.join(more, "id")
+    return full.select(*[c for c in full.columns if c != "own"], F.inline(F.flatten(F.transform("own", groups))))
 
 
 def _block_links(rest: DataFrame, classes: DataFrame, packed: DataFrame) -> DataFrame:
-    """Links among the rows ``bucket, id, component`` of buckets with several components.
+    """Links among the rows ``bucket, id, component, n`` of buckets with several components.
 
     Signatures alone show first which members have anything to be compared with; only these rows
     are joined with their words.
@@ -288,18 +299,18 @@ def _block_links(rest: DataFrame, classes: DataFrame, packed: DataFrame) -> Data
         bucket, first, second = (k.as_py() for k in key)
         rows = rows.sort_by([("id", "ascending")])
         met = sorted({k for pair in _pairs(rows, first, second, bucket >> 16 * (WIDTH - 1)) for k in pair})
-        return rows.select(["bucket", "id", "component"]).take(pa.array(met, pa.int64()))
+        return rows.select(["bucket", "id", "component", "n"]).take(pa.array(met, pa.int64()))
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         bucket, first, second = (k.as_py() for k in key)
         left, right = _compare(rows, first, second, bucket >> 16 * (WIDTH - 1))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    slim = _in_blocks(rest.join(classes, "id")).select(*keys, "id", "component", "block", "n", "sig")
-    some = slim.groupBy(*keys).applyInArrow(meet, "bucket bigint, id bigint, component bigint")
+    slim = _in_blocks(rest, classes.select("id", "sig")).select(*keys, "id", "component", "block", "n", "sig")
+    some = slim.groupBy(*keys).applyInArrow(meet, "bucket bigint, id bigint, component bigint, n bigint")
     some = settle(some.distinct(), "met")
-    whole = classes.join(packed, ["id", "n"])
-    full = _in_blocks(some.join(whole, "id")).select(*keys, "id", "component", "block", "n", "sig", "packed")
+    whole = classes.join(packed, ["id", "n"]).select("id", "sig", "packed")
+    full = _in_blocks(some, whole).select(*keys, "id", "component", "block", "n", "sig", "packed")
     return full.groupBy(*keys).applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -327,12 +338,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     high = shared.where("id < high AND id > low").select(F.col("high").alias("a"), F.col("id").alias("b"))
     links = settle(_star_links(low.union(high).distinct(), classes, packed), "stars")
     label = settle(components(links), "labels")
-    inner = shared.where("id > low AND id < high").join(label, "id", "left")
-    inner = inner.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    known = classes.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    inner = shared.where("id > low AND id < high").join(known, "id").select("bucket", "id", "component", "n")
     # a bucket with the same members as one of an earlier slot is the first common bucket of no pair
-    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")]
+    members = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")]
     mixed = inner.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *members).where("x < y")
-    mixed = mixed.groupBy("n", "h", "g").agg(F.min("bucket").alias("bucket"))  # slots are the upper bits of a bucket
+    mixed = mixed.groupBy("k", "h", "g").agg(F.min("bucket").alias("bucket"))  # slots are the upper bits of a bucket
     rest = settle(inner.join(mixed.select("bucket"), "bucket"), "rest")
     links = links.union(_block_links(rest, classes.select("id", "n", "sig"), packed))
 

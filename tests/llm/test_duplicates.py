@@ -88,6 +88,36 @@ def test_small_blocks_find_the_same(spark, chain, monkeypatch):
     assert got(spark, chain) == brute(chain)
 
 
+def made_by_joins(df):
+    """Rows that each join of the executed plan made, by its description."""
+    plan = df._jdf.queryExecution().executedPlan()
+    out, left = {}, [plan]
+    while left:
+        node = left.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            left.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            left.append(node.plan())
+        if "Join" in node.nodeName():
+            key = node.simpleString(200)
+            out[key] = out.get(key, 0) + node.metrics().apply("numOutputRows").value()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_a_document_of_many_buckets_meets_its_words_once(spark):
+    rows = [(b, i, i % 7, 300) for b in range(40) for i in range(20)]
+    members = spark.createDataFrame(rows, "bucket bigint, id bigint, component bigint, n bigint")
+    words = spark.createDataFrame([(i, b"w" * i) for i in range(20)], "id bigint, packed binary")
+    df = near_dedup._in_blocks(members, words)
+    out = df.collect()
+    assert sorted((r.bucket, r.id, r.component, r.n, len(r.packed)) for r in out) == sorted((*r, r[1]) for r in rows)
+    assert {(r.block, r.first, r.second) for r in out} == {(0, 0, 0)}
+    on_id = {k: v for k, v in made_by_joins(df).items() if "[id#" in k}
+    assert on_id and sum(on_id.values()) == 20
+
+
 def test_no_documents(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, None)]) == [(1, 0, 1, True)]
