@@ -73,7 +73,7 @@ def with_signals(
     Adds ``advanced, high_urgency, low_urgency``.
     """
     text = F.concat_ws(" ", "q_title", "q_body", F.array_join("q_tags", " "))
-    folded = enriched.withColumn("__f", T.fold(text))
+    folded = once(enriched, {"__f": T.fold(text)})  # filters on the signals would fold a second time
 
     def lacks(col: str, label: str) -> Column:
         return F.coalesce(F.col(col) != label, F.lit(True))
