@@ -211,15 +211,18 @@ def fit_quality(
 
     # at most fit_rows slim rows
     rows = texts.join(F.broadcast(sample), "id").select("id", "text", "label").mapInArrow(run, "id bigint, label int, x array<double>")
-    rows = sorted(rows.collect(), key=lambda r: (r.id, r.label, r.x))
-    y = np.array([r.label for r in rows], dtype=float)
+    rows = rows.toArrow()
+    ids, y = rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(float)
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.empty((0, 0))
+    del rows
+    order = np.lexsort((*x.T[::-1], y, ids))
+    ids, x, y = ids[order], x[order], y[order]
     if len(y):
         model.prior = float(y.mean())
     if len(y) < 10 or y.min() == y.max():
         return model
-    x = np.array([r.x for r in rows])
     # a fifth sets the temperature
-    apart = np.array([r.id * 2654435761 % 4294967296 % 5 == 0 for r in rows])
+    apart = np.array([i * 2654435761 % 4294967296 % 5 == 0 for i in ids.tolist()])
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False
     fit = ~apart

@@ -234,3 +234,16 @@ def test_many_passages_are_counted_like_few():
         inside = sum(any(a <= at <= b for _, a, b in found) for at in hits)
         assert inside == 6 * n < len(hits)
         assert row[3] == pytest.approx(np.log1p(inside))
+
+
+def test_the_labelled_sample_comes_as_arrays(tables, monkeypatch):
+    docs, labels = tables
+    seen, real = [], type(docs).collect
+
+    def collect(self):
+        seen.append(self.columns)
+        return real(self)
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    model = quality.fit_quality(docs, labels)
+    assert len(model.layers) == 4 and not any("x" in c for c in seen)
