@@ -27,12 +27,6 @@ def bucket(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, DIGITS), 16, 10).cast("int")
 
 
-def _counted(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
-    """``keys, bucket, n`` of the token lists; rows without tokens have bucket null."""
-    long = df.select(*keys, F.explode_outer(toks).alias("__t"))
-    return long.groupBy(*keys, bucket(F.col("__t")).alias("bucket")).agg(F.count("__t").alias("n"))
-
-
 def fit_table(df: DataFrame, alpha: float = 0.5, id_col: str = "ord", text: str = "texto") -> DataFrame:
     """``bucket, w`` (array by :data:`CLASSES`) from labelled rows: smoothed log shares of the buckets in each class.
 
@@ -62,14 +56,15 @@ def fit_table(df: DataFrame, alpha: float = 0.5, id_col: str = "ord", text: str
 
 
 def score_table(df: DataFrame, model: DataFrame, keys: list[str], toks: Column) -> DataFrame:
-    """``keys, logits_<head>`` of token lists: bucket counts joined with the weights and summed.
+    """``keys, logits_<head>`` of token lists: every token meets its weights where it is, only sums per key are shuffled.
 
     ``model`` has at most ``16 ** DIGITS + 2`` rows of one number per class, which bounds the broadcast.
     """
-    counted = _counted(df, keys, toks)
-    every = [F.col("n") * F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) for k in range(len(CLASSES))]
-    joined = counted.join(F.broadcast(model.where(F.col("bucket") >= 0)), "bucket", "left")
-    summed = joined.groupBy(*keys).agg(F.sum("n").alias("__n"), *[F.sum(x).alias(f"__s{k}") for k, x in enumerate(every)])
+    long = df.select(*keys, F.explode_outer(toks).alias("__t")).select(*keys, bucket(F.col("__t")).alias("bucket"))
+    every = [F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) for k in range(len(CLASSES))]
+    joined = long.join(F.broadcast(model.where(F.col("bucket") >= 0)), "bucket", "left")
+    # rows without tokens have bucket null
+    summed = joined.groupBy(*keys).agg(F.count("bucket").alias("__n"), *[F.sum(x).alias(f"__s{k}") for k, x in enumerate(every)])
     edges = model.where(F.col("bucket") < 0).agg(
         F.max(F.when(F.col("bucket") == SHARE, F.col("w"))).alias("__share"), F.max(F.when(F.col("bucket") == UNSEEN, F.col("w"))).alias("__unseen"))
     one = F.lit(1).alias("__one")

@@ -236,3 +236,17 @@ def test_a_model_table_is_the_count_model(spark):
                 assert list(found[i][f"logits_{h}"]) == pytest.approx(values, rel=1e-9), (i, h)
     empty = LT.fit_table(df.limit(0))
     assert LT.score_texts(df, empty).count() == 80
+
+
+def test_tokens_are_not_shuffled_for_scores(spark, sf):
+    import re
+
+    from lectern.operators import linear_tables as LT
+    from lectern.workloads.base import final_rows
+
+    rows = final_rows(spark, sf)
+    model = LT.fit_table(rows).localCheckpoint()
+    for df in (LT.score_texts(rows, model), LT.score_text_views(rows, model)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(ord" in plan and not re.search(r"hashpartitioning\([^)]*bucket", plan)
