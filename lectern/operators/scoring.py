@@ -255,23 +255,24 @@ def fit_heads(
     max_iter: int = 20, reg: float = 0.01,
 ) -> HeadModels:
     """One class-weighted multinomial model per head; rows that do not supervise a head are left
-    out of its model. Distributed training: the driver holds coefficients, never rows."""
+    out of its model. Distributed training: the driver holds coefficients, never rows. Texts are read and
+    hashed once; the term weighting and all models start from the written counts."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF
 
     from lectern.operators.metrics import class_weights, index_labels
 
-    featured = text_features(df, text, buckets)
+    featured = settle(text_features(df, text, buckets).drop(text), "term_counts")
     idf = IDF(inputCol="tf", outputCol="features").fit(featured)
-    long = index_labels(df, [])
+    long = index_labels(featured, [])
     weights = {(r["head"], r["idx"]): r["weight"] for r in class_weights(long).collect()}
     ready = idf.transform(featured)
     heads = {}
     for head in fixed.HEADS:
-        label = F.coalesce(L.label_index(F.lit(head), L.label_or_null(df, head)), F.lit(fixed.LABELS[head].index(fixed.HEAD_DEFAULT[head])))
+        label = F.coalesce(L.label_index(F.lit(head), L.label_or_null(featured, head)), F.lit(fixed.LABELS[head].index(fixed.HEAD_DEFAULT[head])))
         table = F.array(*[F.lit(float(weights.get((head, i), 1.0))) for i in range(len(fixed.LABELS[head]))])
         weight = F.get(table, label) if class_weight else F.lit(1.0)
-        rows = ready.where(L.is_supervised(df, head)).select(
+        rows = ready.where(L.is_supervised(featured, head)).select(
             "features", label.cast("double").alias("label"), weight.alias("w")
         )
         model = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, weightCol="w")

@@ -204,6 +204,19 @@ def test_linear_heads_learn(spark, tmp_path):
     assert views.join(guess, ["ord", "head"]).where("v <> y_pred").count() == 0
 
 
+def test_heads_read_a_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return f"w{i % 7} u{i % 3}"
+
+    labels = [f"if(id % 2 = 0, '{fixed.LABELS[h][0]}', '{fixed.LABELS[h][1]}') AS {h}" for h in fixed.HEADS]
+    df = spark.range(0, 60, numPartitions=3).selectExpr("id AS ord", *labels).withColumn("texto", F.udf(text)("ord"))
+    SC.fit_heads(df, buckets=1 << 8, max_iter=2)
+    assert read.value == 60
+
+
 def test_a_model_table_is_the_count_model(spark):
     import hashlib
     import math
