@@ -222,11 +222,12 @@ def validate_examples(
 
 
 # --- multi-head linear model ------------------------------------------------------------
-def text_features(df: DataFrame, text: str = "texto", buckets: int = 1 << 16) -> DataFrame:
-    """Hashed term frequencies of the tokens as a sparse vector column ``tf``."""
+def text_features(df: DataFrame, text: str = "texto", buckets: int = 1 << 16, words: str | None = None) -> DataFrame:
+    """Hashed term frequencies of the tokens as a sparse vector column ``tf``; ``words`` names a column
+    that holds the tokens already."""
     from pyspark.ml.feature import HashingTF
 
-    worded = df.withColumn("__toks", tokens(text))
+    worded = df.withColumn("__toks", F.col(words) if words else tokens(text))
     return HashingTF(numFeatures=buckets, inputCol="__toks", outputCol="tf").transform(worded).drop("__toks")
 
 
@@ -280,11 +281,11 @@ def fit_heads(
     return HeadModels(idf, heads, text, buckets)
 
 
-def score(df: DataFrame, models: HeadModels, keep: Sequence[str] = ("ord",)) -> DataFrame:
+def score(df: DataFrame, models: HeadModels, keep: Sequence[str] = ("ord",), words: str | None = None) -> DataFrame:
     """``logits_<head>`` for every row (JVM-side linear algebra, no shuffle)."""
     from pyspark.ml.functions import vector_to_array
 
-    ready = models.idf.transform(text_features(df, models.text, models.buckets))
+    ready = models.idf.transform(text_features(df, models.text, models.buckets, words))
     out = ready.select(*keep, "features")
     for head, model in models.heads.items():
         # only the raw scores are asked for; unseen trailing classes get the lowest score
@@ -297,8 +298,9 @@ def score(df: DataFrame, models: HeadModels, keep: Sequence[str] = ("ord",)) ->
 
 
 def view_rows(df: DataFrame, length: int = fixed.MAX_LEN, mode: str = "score", id_col: str = "ord", text: str = "texto") -> DataFrame:
-    """``id, view, toks``: the windows over every text."""
-    return df.select(id_col, F.posexplode(token_views(tokens(text), length, mode)).alias("view", "toks"))
+    """``id, view, toks``: the windows over every text, which is cut into tokens once."""
+    worded = once(df.select(id_col, text), {"__toks": tokens(text)})
+    return worded.select(id_col, F.posexplode(token_views("__toks", length, mode)).alias("view", "toks"))
 
 
 def score_views(
@@ -306,10 +308,8 @@ def score_views(
     id_col: str = "ord", text: str = "texto",
 ) -> DataFrame:
     """Mean logits over the views of a text: ``id, head, logits``."""
-    views = view_rows(df, length, mode, id_col, text).select(
-        id_col, "view", F.array_join("toks", " ").alias(models.text)
-    )
-    scored = logits_long(score(views, models, [id_col, "view"]), [id_col, "view"])
+    views = view_rows(df, length, mode, id_col, text)
+    scored = logits_long(score(views, models, [id_col, "view"], "toks"), [id_col, "view"])
     return average_views(scored, id_col)
 
 

@@ -217,6 +217,18 @@ def test_heads_read_a_text_once(spark):
     assert read.value == 60
 
 
+def test_views_cut_a_text_once(spark):
+    df = spark.createDataFrame([(1, "Uno dos tres cuatro cinco"), (2, ""), (3, "uno, DOS")], "ord long, texto string")
+    views = SC.view_rows(df, 2)
+    plan = views._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    got = sorted((r["ord"], r["view"], r["toks"]) for r in views.collect())
+    assert got == [
+        (1, 0, ["uno", "dos"]), (1, 1, ["cuatro", "cinco"]), (1, 2, ["uno", "cinco"]), (1, 3, ["dos", "tres"]),
+        (2, 0, []), (3, 0, ["uno", "dos"]),
+    ]
+
+
 def test_a_model_table_is_the_count_model(spark):
     import hashlib
     import math
