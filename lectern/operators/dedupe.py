@@ -14,10 +14,15 @@ def text_key(col: str) -> Column:
     return F.sha2(norm_text(col), 256)
 
 
+def first_texts(df: DataFrame, col: str = "texto", order: str = "ord", key: str = "__key") -> DataFrame:
+    """First row in ``order`` per normalised text, with the identity of its text as ``key``; blank texts are dropped."""
+    filled = df.where(F.coalesce(strip(col), F.lit("")) != "").withColumn(key, text_key(col))
+    return keep_first(filled, [key], [order])
+
+
 def dedupe_text(df: DataFrame, col: str = "texto", order: str = "ord") -> DataFrame:
     """First row in ``order`` per normalised text; blank texts are dropped."""
-    filled = df.where(F.coalesce(strip(col), F.lit("")) != "").withColumn("__key", text_key(col))
-    return keep_first(filled, ["__key"], [order]).drop("__key")
+    return first_texts(df, col, order).drop("__key")
 
 
 def dedupe_id(df: DataFrame, key: str = "question_id", order: str = "ord") -> DataFrame:

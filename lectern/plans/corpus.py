@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.operators.dedupe import dedupe_text
+from lectern.operators.dedupe import first_texts
 from lectern.operators.generate import generate_balanced
 from lectern.operators.rows import to_final_emotions, to_final_extra, to_final_questions, union_rows
 from lectern.operators.selection import sample_n, trim_to_target
-from lectern.plans.ranking import number_rows
+from lectern.plans.ranking import number_by_key
 from lectern.plans.scratch import settle
 
 
@@ -19,13 +19,9 @@ def _ranked(df: DataFrame, source_rank: int) -> DataFrame:
     return df.withColumn("source_rank", F.lit(source_rank))
 
 
-def real_rows(
-    questions: DataFrame | None, emotions: DataFrame | None, seed: int = 42, max_emotions: int | None = None
+def _stacked(
+    questions: DataFrame | None, emotions: DataFrame | None, seed: int, max_emotions: int | None
 ) -> DataFrame:
-    """Final rows of the labelled questions and of the emotion texts: all, or a seeded sample of ``max_emotions``.
-
-    Inputs carry ``ord``. The result carries ``source_rank, ord`` as its order.
-    """
     parts = []
     if questions is not None:
         parts.append(_ranked(to_final_questions(questions), 0))
@@ -34,14 +30,27 @@ def real_rows(
         parts.append(_ranked(texts if max_emotions is None else sample_n(texts, max_emotions, seed), 1))
     if not parts:
         raise ValueError("at least one of questions and emotions is needed")
-    return dedupe_text(
-        union_rows(*parts).withColumn("__o", F.struct("source_rank", "ord")), order="__o"
-    ).drop("__o")
+    return union_rows(*parts)
+
+
+def _first(df: DataFrame) -> DataFrame:
+    """First row per text in the order of the sources, with the text's key."""
+    return first_texts(df.withColumn("__o", F.struct("source_rank", "ord")), order="__o").drop("__o")
+
+
+def real_rows(
+    questions: DataFrame | None, emotions: DataFrame | None, seed: int = 42, max_emotions: int | None = None
+) -> DataFrame:
+    """Final rows of the labelled questions and of the emotion texts: all, or a seeded sample of ``max_emotions``.
+
+    Inputs carry ``ord``. The result carries ``source_rank, ord`` as its order.
+    """
+    return _first(_stacked(questions, emotions, seed, max_emotions)).drop("__key")
 
 
-def _dedupe(df: DataFrame) -> DataFrame:
-    ordered = df.withColumn("__o", F.struct("source_rank", "ord"))
-    return dedupe_text(ordered, order="__o").drop("__o")
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written once; ``__row`` tells rows of one source apart."""
+    return settle(df.withColumn("__row", F.struct("source_rank", F.monotonically_increasing_id().alias("at"))), name)
 
 
 def _generated(spark, n: int, seed: int, source_rank: int) -> DataFrame:
@@ -62,23 +71,32 @@ def build_corpus(
 
     Adds a global ``ord``. Generated rows fill the gap; too many rows are trimmed with the real
     ones first; rows lost to duplicates are topped up once with another seed.
+
+    A source that comes first keeps its row, so one pass over all given rows finds their first texts, and
+    generated rows only have to miss the keys of the rows before them: no later step moves the texts.
     """
     spark = (questions if questions is not None else emotions).sparkSession
-    rows = real_rows(questions, emotions, seed, max_emotions)
+    given = _stacked(questions, emotions, seed, max_emotions)
     if extra is not None:
-        rows = _dedupe(union_rows(rows, _ranked(to_final_extra(extra), 2)))
-    rows = settle(rows, "real")
-    missing = target - rows.count() if synthetic_rows is None else synthetic_rows
+        given = union_rows(given, _ranked(to_final_extra(extra), 2))
+    parts = [_written(_first(given), "real")]
+    n_rows = parts[0].count()
+
+    def generate(n: int, at: int, source_rank: int) -> int:
+        fresh = _first(_generated(spark, n, at, source_rank))
+        for known in list(parts):
+            fresh = fresh.join(known.select("__key"), "__key", "left_anti")
+        parts.append(_written(fresh, "generated"))
+        return parts[-1].count()
+
+    missing = target - n_rows if synthetic_rows is None else synthetic_rows
     if missing > 0:
-        rows = _dedupe(union_rows(rows, _generated(spark, missing, seed, 3)))
-    numbered = number_rows(rows, [F.asc("source_rank"), F.asc("ord")], out="__n")
-    rows = numbered.withColumn("ord", F.col("__n")).drop("__n")
-    n_rows = rows.count()
-    if n_rows > target:
-        return trim_to_target(rows, target).drop("source_rank")
+        n_rows += generate(missing, seed, 3)
+    trimmed = n_rows > target
     if n_rows < target:
-        more = _generated(spark, target - n_rows, seed + fixed.TOPUP_SEED_STEP, 4)
-        topped = _dedupe(union_rows(rows, more))
-        numbered = number_rows(topped, [F.asc("source_rank"), F.asc("ord")], out="__n")
-        rows = numbered.withColumn("ord", F.col("__n")).drop("__n")
-    return rows.drop("source_rank")
+        generate(target - n_rows, seed + fixed.TOPUP_SEED_STEP, 4)
+    rows = union_rows(*parts)
+    order = [F.asc("source_rank"), F.asc("ord"), F.asc("__row")]
+    numbered = number_by_key(rows, "__row", ["source_rank", "ord"], order, out="__n")
+    rows = numbered.withColumn("ord", F.col("__n")).drop("__n", "__row", "__key")
+    return (trim_to_target(rows, target) if trimmed else rows).drop("source_rank")
