@@ -176,9 +176,10 @@ def heartbeat(frames: DataFrame, until: str, request: str = "request_id") -> Dat
 def land(df: DataFrame, ts: str, name: str, parts: int = 4) -> tuple[str, int]:
     """Write a finished table as a stream would arrive: ``parts`` slices of time one after the other, and a last row
     far behind them that only moves the watermark. Returns the folder and the longest slice in seconds,
-    by which rows of one slice can be out of order."""
+    by which rows of one slice can be out of order. The table is evaluated once, borders and slices read what was written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    df = settle(df, f"{name}_whole")
     micros = F.unix_micros(ts)
     low, high = df.agg(F.min(micros), F.max(micros)).first()
     cuts = df.select(micros.cast("double").alias("m")).approxQuantile("m", [i / parts for i in range(1, parts)], 0.01)

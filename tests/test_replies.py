@@ -103,3 +103,17 @@ def test_frames_from_chunks_are_those_of_the_whole_text(spark):
     for size in (1, 2, 5, 256):
         got = sorted((r.request_id, r.seq, r.frame) for r in X.reframe(df.repartition(3), size=size).collect())
         assert got == sorted(want), size
+
+
+def test_a_landed_table_is_evaluated_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def at(i):
+        made.add(1)
+        return T0 + i
+
+    df = spark.range(0, 40, numPartitions=2).select("id", F.timestamp_seconds(F.udf(at, "long")("id")).alias("ts"))
+    path, span = X.land(df, "ts", "landed")
+    assert made.value == 40 and span < 40
+    landed = spark.read.parquet(path).where("id IS NOT NULL")
+    assert sorted(r["id"] for r in landed.collect()) == list(range(40))
