@@ -228,12 +228,23 @@ def _confidence(all_: np.ndarray) -> np.ndarray:
     return (all_ >= 0.5).astype(np.int64) + (all_ >= 2.5) + (all_ >= 12.5)
 
 
+def _ready(counts: np.ndarray, together: int = 1 << 18) -> np.ndarray:
+    """Logit and confidence of each slot, looked up together: the confidence has the two lowest bits."""
+    out = np.empty(len(counts), np.uint32)
+    for at in range(0, len(counts), together):
+        c = counts[at:at + together]
+        out[at:at + together] = _logit(c[:, 0], c[:, 1]).view(np.uint32) & ~np.uint32(3) | _confidence(c.sum(axis=1)).astype(np.uint32)
+    return out
+
+
 _UNPACKED: dict[int, tuple] = {}
 
 
 class Mixer:
     """Predictor tables, gated weights and the adaptive map."""
 
+    learns = True
+
     def __init__(self, counts: list[np.ndarray], places: int = 8):
         """``counts``: for each predictor an array of (zeros, ones) by slot; the two longest contexts last."""
         self._looked_up(counts)
@@ -242,11 +253,13 @@ class Mixer:
         self.map_ = np.zeros((257 * _LEVELS, 2))
 
     def _looked_up(self, counts: list[np.ndarray]) -> None:
-        self.counts = counts
-        # logit and confidence of a slot are looked up together: the confidence has the two lowest bits
-        self.ready = [
-            _logit(c[:, 0], c[:, 1]).view(np.uint32) & ~np.uint32(3) | _confidence(c.sum(axis=1)).astype(np.uint32) for c in counts
-        ]
+        self.counts, self.ready = counts, [_ready(c) for c in counts]
+
+    def scoring(self) -> Mixer:
+        """The same mixer for :meth:`lengths` alone: tasks do not keep the counts."""
+        own = Mixer.__new__(Mixer)
+        own.__dict__.update(self.__dict__, learns=False)
+        return own
 
     def __getstate__(self) -> tuple:
         """Tables go to tasks compressed, as every executor writes what it is sent to its disk."""
@@ -254,16 +267,20 @@ class Mixer:
 
         if not hasattr(self, "_packed"):
             self._packed = [zstandard.ZstdCompressor(level=1).compress(c.astype("<f4").tobytes()) for c in self.counts]
-        return self._packed, self.weights, self.map_
+        return self._packed, self.weights, self.map_, self.learns
 
     def __setstate__(self, state: tuple) -> None:
         import zstandard
 
-        packed, self.weights, self.map_ = state
-        key = hash(tuple(packed))
+        packed, self.weights, self.map_, self.learns = state
+        key = hash((*packed, self.learns))
         if key not in _UNPACKED:  # a worker unpacks tables once, not for every task
             _UNPACKED.clear()
-            self._looked_up([np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<f4").reshape(-1, 2) for c in packed])
+            unpacked = (np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<f4").reshape(-1, 2) for c in packed)
+            if self.learns:
+                self._looked_up(list(unpacked))
+            else:
+                self.counts, self.ready = [], [_ready(c) for c in unpacked]
             _UNPACKED[key] = self.counts, self.ready
         self.counts, self.ready = _UNPACKED[key]
 
@@ -654,10 +671,10 @@ def score_documents(
 
     sums_ = np.array([x or 0 for x in known.agg(*[m for c in ("c", *names) for m in measures(c)]).first()], dtype=float).reshape(-1, 4)
     total, distinct = int(sums_[0, 0]), int(sums_[0, 1])
-    mixer = fit_mixer(known.where(F.octet_length("word") > 0))
+    mixer = fit_mixer(known.where(F.octet_length("word") > 0)).scoring()
 
     slim = written.where("packed IS NOT NULL").select("block", "ids", "held", "sizes", "packed", "keys")
-    order = fit_order(slim, _added(written.where("sums IS NOT NULL").select("k", "part", "sums"), list(WORD_TABLES)), classes)
+    order = fit_order(slim, _added(written.where("sums IS NOT NULL").select("k", "part", "sums"), list(WORD_TABLES)), classes).scoring()
     of_code = _by_code(known, ["c", *names])
     discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for _, _, ones, twos in sums_]
 

@@ -247,3 +247,18 @@ def test_the_labelled_sample_comes_as_arrays(tables, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", collect)
     model = quality.fit_quality(docs, labels)
     assert len(model.layers) == 4 and not any("x" in c for c in seen)
+
+
+def test_scoring_tasks_keep_no_counts():
+    import pickle
+
+    mixer = lm_score.Mixer([np.random.default_rng(k).integers(0, 9, (1 << size, 2)).astype(np.float32) for k, size in enumerate(lm_score.TABLES)])
+    some = lm_score.Coded.of([b"abc", b"abd", b"zz" * 50])
+    sent = pickle.loads(pickle.dumps(mixer.scoring()))
+    assert sent.counts == [] and (sent.lengths(some) == mixer.lengths(some)).all()
+    # tables that learn are sent whole, whatever a worker has unpacked before
+    again = pickle.loads(pickle.dumps(mixer))
+    assert all((a == b).all() for a, b in zip(again.counts, mixer.counts, strict=True))
+    own = again.fresh()
+    own.learn(some)
+    assert own.weights.any()
