@@ -40,8 +40,8 @@ from lectern.plans.scratch import settle
 
 #: Bits of the slot number of each predictor: one to four bytes, whole beginning.
 TABLES = (16, 18, 19, 19, 20)
-#: Words of a block, and bytes that are coded together.
-BLOCK_TOKENS, CHUNK = 5_000_000, 400_000
+#: Words of a block, bytes that are learned together, and bytes that are coded together where nothing is learned.
+BLOCK_TOKENS, CHUNK, SHORT_CHUNK = 5_000_000, 400_000, 50_000
 #: Classes of documents, slots of their words, and documents that a row of slot counts holds.
 CLASSES, CLASS_SLOTS, CLASS_TOGETHER = 6, 1024, 1000
 _CLASS_COLUMNS = [f"c{z}" for z in range(CLASSES)]
@@ -52,6 +52,8 @@ _LEVELS, _SLOTS = 24, 4096
 WORD_BITS = 10
 WORD_TABLES = (CLASSES << WORD_BITS, 1 << 21, 1 << 22)
 LEARN_TOGETHER, COUNT_TOGETHER = 5000, 200_000
+#: Words of a longer batch where nothing is learned.
+GATHERED = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STOP = 0x20
 
@@ -196,12 +198,12 @@ def _parts(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.n
         first = last
 
 
-def _chunks(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of words of about ``CHUNK`` bytes, with the number of their first."""
+def _chunks(words: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of words of about ``size`` bytes, with the number of their first."""
     first, held = 0, 0
     for i, word in enumerate(words):
         held += len(word) + 1
-        if held >= CHUNK:
+        if held >= size:
             yield first, words[first:i + 1]
             first, held = i + 1, 0
     if first < len(words):
@@ -253,7 +255,7 @@ class Mixer:
         self.map_ = np.zeros((257 * _LEVELS, 2))
 
     def _looked_up(self, counts: list[np.ndarray]) -> None:
-        self.counts, self.ready = counts, [_ready(c) for c in counts]
+        self.counts, self.ready = counts, []  # tasks that learn never look up what is ready
 
     def scoring(self) -> Mixer:
         """The same mixer for :meth:`lengths` alone: tasks do not keep the counts."""
@@ -329,6 +331,8 @@ class Mixer:
 
     def lengths(self, coded: Coded) -> np.ndarray:
         """Bits of each word."""
+        if not self.ready:
+            self.ready = [_ready(c) for c in self.counts]
         total = np.zeros(len(coded.before))
         middle = 1 / (1 + np.exp(-((np.arange(257 * _LEVELS) % _LEVELS + 0.5) * (24.0 / _LEVELS) - 12.0)))
         refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float64)
@@ -493,17 +497,19 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
 
         def close() -> Iterator[pa.RecordBatch]:
             flat, words = np.concatenate(at), list(numbers)
+            at.clear()
+            numbers.clear()
             starts = np.append(0, np.cumsum(sizes)[:-1])
+            learned = ~np.array(held_, dtype=bool)
             keys = np.fromiter(map(_key, words), np.uint32, len(words))
             slots = keys % np.uint32(CLASS_SLOTS)
-            best = np.empty(len(sizes), np.int64)
+            trained = np.zeros(len(words) * CLASSES, np.int32)
             for a, b, own in _parts(flat, np.array(sizes)):
-                best[a:b] = np.argmax([np.add.reduceat(row[:-1][slots][own], starts[a:b] - starts[a]) + row[-1] for row in classes], axis=0)
-            of_token = np.repeat(best, sizes)
-            train = np.repeat(~np.array(held_, dtype=bool), sizes)
-            cells = flat[train].astype(np.int64) * CLASSES + of_token[train]
-            trained = np.bincount(cells, minlength=len(words) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
-            for some in Running.over(keys, flat, np.array(sizes), classes, ~np.array(held_, dtype=bool)):
+                best = np.argmax([np.add.reduceat(row[:-1][slots][own], starts[a:b] - starts[a]) + row[-1] for row in classes], axis=0)
+                train = np.repeat(learned[a:b], sizes[a:b])
+                np.add.at(trained, own[train].astype(np.int64) * CLASSES + np.repeat(best, sizes[a:b])[train], np.int32(1))
+            trained = trained.reshape(-1, CLASSES)
+            for some in Running.over(keys, flat, np.array(sizes), classes, learned):
                 for _, bit, at_ in some.steps():
                     for own, slot in zip(follow, at_, strict=True):
                         np.add.at(own, slot * 2 + bit, np.int32(1))
@@ -550,7 +556,7 @@ def _words_of(batch: pa.RecordBatch) -> list[bytes]:
     return [w or b"" for w in batch.column(0).to_pylist()]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in longer batches; a row is one word."""
     held, n = [], 0
     for batch in batches:
@@ -567,12 +573,12 @@ def _tables(words: DataFrame) -> list[np.ndarray]:
     """The predictor tables, added up over all words of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(2 << size) for size in TABLES]
-        for batch in _gathered(batches):
-            for _, some in _chunks(_words_of(batch)):
+        sums = [np.zeros(2 << size, np.int32) for size in TABLES]
+        for batch in _gathered(batches, GATHERED):
+            for _, some in _chunks(_words_of(batch), SHORT_CHUNK):
                 for _, bit, slots in Coded.of(some).steps():
                     for own, slot in zip(sums, slots, strict=True):
-                        own += np.bincount(slot * 2 + bit, minlength=len(own))
+                        np.add.at(own, slot * 2 + bit, np.int32(1))
         yield from _pieces(sums)
 
     return _added(words.mapInArrow(run, _PIECE_SCHEMA), [1 << size for size in TABLES])
@@ -631,7 +637,7 @@ def _by_code(known: DataFrame, names: list[str]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), 2, 1 << WORD_BITS))
-        for batch in _gathered(batches):
+        for batch in _gathered(batches, GATHERED):
             codes = np.fromiter(map(_key, _words_of(batch)), np.uint32, len(batch)) >> np.uint32(32 - WORD_BITS)
             for own, column in zip(total, batch.columns[1:], strict=True):
                 counts = column.to_numpy()
@@ -688,14 +694,14 @@ def score_documents(
         with np.errstate(divide="ignore"):
             mass = np.log(np.maximum(of_code[of, 0] - discount * of_code[of, 1], 0) / n)
             share = np.where(np.isfinite(mass), np.log(1 - discount * kinds / n) - mass, 0.0)
-            own = np.log(np.maximum(counts - discount, 0) / n)[flat] + share[code] + bits
+            own = np.log(np.maximum(counts[flat] - discount, 0) / n) + share[code] + bits
             return np.logaddexp(own, np.log(discount * kinds / n) + back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches):
+        for batch in _gathered(batches, GATHERED):
             words = _words_of(batch)
             bits = np.zeros(len(words))
-            for first, some in _chunks(words):
+            for first, some in _chunks(words, SHORT_CHUNK):
                 bits[first:first + len(some)] = mixer.lengths(Coded.of(some))
             # all in logarithms, as the probability of a very long word is below any double
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((-bits * np.log(2.0)).astype(np.float32))], ["word", *names, "back"])

@@ -262,3 +262,16 @@ def test_scoring_tasks_keep_no_counts():
     own = again.fresh()
     own.learn(some)
     assert own.weights.any()
+
+
+def test_tasks_that_learn_hold_only_counts():
+    """What lookups need is made by the first text that is scored, not where weights are learned."""
+    import pickle
+
+    mixer = lm_score.Mixer([np.random.default_rng(k).integers(0, 9, (1 << size, 2)).astype(np.float32) for k, size in enumerate(lm_score.TABLES)])
+    some = lm_score.Coded.of([b"abc", b"abd", b"zz" * 50])
+    sent = pickle.loads(pickle.dumps(mixer))
+    own = sent.fresh()
+    own.learn(some)
+    assert not sent.ready and not own.ready
+    assert (sent.lengths(some) == mixer.lengths(some)).all()
