@@ -45,6 +45,17 @@ def fold(id_col: str, folds: int) -> Column:
     return (F.crc32(text.cast("binary")) % folds).cast("int")
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches; what it leaves free goes back to the system, as workers outlive their tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    return whole
+
+
 def keep_rows(df: DataFrame, text_col: str, scorer: Callable, keep: Callable) -> DataFrame:
     """The rows, with all their columns, for which ``keep`` of the score of the text holds.
 
@@ -59,7 +70,7 @@ def keep_rows(df: DataFrame, text_col: str, scorer: Callable, keep: Callable) ->
             if len(batch):
                 yield batch.filter(pa.array(keep(score(batch.column(at).to_pylist())), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def words(text: str | None) -> list[bytes]:

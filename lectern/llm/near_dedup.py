@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import query, short_batches, table, words
+from lectern.llm.common import query, short_batches, table, tidy, words
 from lectern.llm.components import components
 from lectern.plans.scratch import settle
 
@@ -96,7 +96,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ], ["id", "n", "same", "sig"])
 
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id bigint, n bigint, same binary, sig binary")
+    return slim.mapInArrow(tidy(run), "id bigint, n bigint, same binary, sig binary")
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _packed(df: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "packed"]
             )
 
-    return df.mapInArrow(run, "id bigint, n bigint, packed binary")
+    return df.mapInArrow(tidy(run), "id bigint, n bigint, packed binary")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -152,7 +152,7 @@ def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
             passes = pa.array(((held.value[at >> 6] >> (at & 63)) & 1).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(passes), batch.column(1).filter(passes)], ["id", "text"])
 
-    return texts.select("id", "text", place).mapInArrow(run, "id bigint, text string")
+    return texts.select("id", "text", place).mapInArrow(tidy(run), "id bigint, text string")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _entries(classes: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((keys.reshape(-1, SYMBOLS) | slot).ravel())], ["id", "bucket"])
 
-    return classes.select("id", "sig").mapInArrow(run, "id bigint, bucket bigint")
+    return classes.select("id", "sig").mapInArrow(tidy(run), "id bigint, bucket bigint")
 
 
 def _near(a: str, b: str):
@@ -207,7 +207,7 @@ def _confirmed(both: DataFrame) -> DataFrame:
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "p_a", "p_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _star_links(pairs: DataFrame, classes: DataFrame, packed: DataFrame) -> DataFrame:

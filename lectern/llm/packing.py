@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import encoded, query, slices, table
+from lectern.llm.common import encoded, query, slices, table, tidy
 from lectern.plans.scratch import settle
 
 #: Bytes of words and ids that a worker process remembers: twice as many at most, see :class:`Words`.
-REMEMBERED = 110_000_000
+REMEMBERED = 40_000_000
 #: Words whose ids are looked up by one call of the tokenizer.
 _TOGETHER = 2000
 #: The tokenizer lower-cases, and parts a letter from the one comma or full stop that ends a word; so words are
@@ -131,7 +131,7 @@ def pieces(
 
     kind = slim.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return slim.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return slim.mapInArrow(tidy(run), schema + (", ids binary" if with_ids else ""))
 
 
 def _choice(room: np.ndarray, need: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str) -> int:

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import encoded, fold, keep_rows, query, short_batches, table
+from lectern.llm.common import encoded, fold, keep_rows, query, short_batches, table, tidy
 from lectern.llm.toxicity import sample_labels
 from lectern.plans.scratch import settle
 
 WORDS, SHAPES, SIZE, NONZERO, WINDOW = 2048, 512, 64, 8, 2
-_REMEMBERED, _HELD_TOKENS = 500_000, 1_000_000
+_REMEMBERED, _HELD_TOKENS = 200_000, 200_000
 _RUNS = [(re.compile(p), r) for p, r in ((rb"[A-Z]+", b"A"), (rb"[a-z\x80-\xff]+", b"a"), (rb"[0-9]+", b"0"), (rb"(.)\1+", rb"\1"))]
 
 
@@ -86,7 +86,7 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 if step > 1:
                     for k in range(1, step):
                         inside &= ids[k:len(ids) - step + k] >= 0
-                near[:] += np.bincount(a[inside] * WORDS + b[inside], minlength=WORDS * WORDS)
+                np.add.at(near, a[inside] * WORDS + b[inside], 1)
             held.clear()
 
         n = 0
@@ -99,13 +99,17 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
                     add()
                     n = 0
         add()
-        both = near.reshape(WORDS, WORDS).astype(np.float64)
-        vectors = both @ index + both.T @ index
+        vectors = np.zeros((WORDS, SIZE))
+        for at in range(0, WORDS, 256):  # whole numbers, so the sums do not depend on their order
+            rows = slice(at, at + 256)
+            some = near.reshape(WORDS, WORDS)[rows].astype(np.float64)
+            vectors[rows] += some @ index
+            vectors += some.T @ index[rows]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(WORDS, dtype=np.int32)), pa.array(list(vectors), pa.list_(pa.float64()))], ["slot", "v"]
         )
 
-    parts = df.select(text_col).mapInArrow(run, "slot int, v array<double>")
+    parts = df.select(text_col).mapInArrow(tidy(run), "slot int, v array<double>")
     sums = parts.groupBy("slot").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(SIZE)]).alias("v"))
     out = np.zeros((WORDS, SIZE))
     for r in sums.collect():
@@ -125,6 +129,12 @@ class Quality:
     temperature: float = 1.0
     prior: float = 0.5
 
+    def agreement(self, ids: np.ndarray, together: int = 10_000) -> np.ndarray:
+        """Of each word with the next one; the vectors of a long text are not held at once."""
+        ends = range(0, max(len(ids) - 1, 1), together)
+        parts = ((self.words[ids[at:at + together + 1][:-1]], self.words[ids[at + 1:at + together + 1]]) for at in ends)
+        return np.concatenate([np.einsum("ij,ij->i", a, b) for a, b in parts])
+
     def pooled(self, texts: list[str | None], slots: Slots) -> np.ndarray:
         counts, kinds = np.zeros((len(texts), WORDS)), np.zeros((len(texts), SHAPES))
         rest = np.zeros((len(texts), 5))
@@ -135,7 +145,7 @@ class Quality:
             ids, n = found // SHAPES, len(found)
             counts[i], kinds[i] = np.bincount(ids, minlength=WORDS) / n, np.bincount(found % SHAPES, minlength=SHAPES) / n
             same = found[1:] == found[:-1]
-            agree = np.einsum("ij,ij->i", self.words[ids[:-1]], self.words[ids[1:]])
+            agree = self.agreement(ids)
             rest[i] = (
                 np.log1p(n), np.log1p((counts[i] > 0).sum()), same.mean() if n > 1 else 0.0,
                 agree.mean() if n > 1 else 0.0, counts[i].max(),
@@ -210,7 +220,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
     # at most fit_rows slim rows
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "label").mapInArrow(run, "id bigint, label int, x array<double>")
+    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "label").mapInArrow(tidy(run), "id bigint, label int, x array<double>")
     rows = rows.toArrow()
     ids, y = rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(float)
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.empty((0, 0))
@@ -248,7 +258,7 @@ def score_quality(df: DataFrame, model: Quality, id_col: str = "doc_id", text_co
             x = model.pooled(batch.column(1).to_pylist(), slots)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x))], [id_col, "score"])
 
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, score double")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, score double")
 
 
 def keep_good(df: DataFrame, model: Quality, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

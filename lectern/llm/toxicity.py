@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fold, keep_rows, query, short_batches, table, words
+from lectern.llm.common import fold, keep_rows, query, short_batches, table, tidy, words
 from lectern.plans.scratch import settle
 
 _EDGE = b".,;:!?\"'()[]{}|*#$%&-_/\\<>"
@@ -38,7 +38,8 @@ PRIOR = 0.05
 DRIFT, GAIN, TELLING = 0.2, 6.0, 3.0
 #: Passages are significant below this probability.
 SIGNIFICANT = 0.01
-_REMEMBERED = 500_000
+#: Tokens whose gain is remembered, and counts that a task holds before it hands them over.
+_REMEMBERED, _HELD_COUNTS = 200_000, 100_000
 
 
 def _forms(token: bytes) -> list[bytes]:
@@ -174,12 +175,12 @@ def _counts(df: DataFrame) -> DataFrame:
                 held = {f for w in set(words(text)) for f in _forms(w)}
                 counts.update((cell, w) for w in held)
                 counts[cell, b""] += 1
-            if len(counts) > 400_000:
-                yield flush()
-                counts.clear()
+                if len(counts) > _HELD_COUNTS:
+                    yield flush()
+                    counts.clear()
         yield flush()
 
-    rows = df.select("text", "label", "half").mapInArrow(run, "cell int, token binary, n bigint")
+    rows = df.select("text", "label", "half").mapInArrow(tidy(run), "cell int, token binary, n bigint")
     cells = {"c0": 0, "t0": 1, "c1": 2, "t1": 3}
     return rows.groupBy("token").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(c) for c, k in cells.items()])
 
@@ -257,7 +258,7 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["label", "half", "n", "best"])
 
     slim = train.select("text", "label", "half")
-    chance = slim.mapInArrow(first, "label int, half int, n bigint, best double").where("label = 0 AND n > 0").collect()
+    chance = slim.mapInArrow(tidy(first), "label int, half int, n bigint, best double").where("label = 0 AND n > 0").collect()
     if not chance:
         return whole
     best, n = np.array([r.best for r in chance]), np.array([r.n for r in chance], dtype=float)
@@ -276,7 +277,7 @@ def fit_toxicity(
             columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], ["y", "a", "b", "c", "d"])
 
-    data = np.array(slim.mapInArrow(second, "y double, a double, b double, c double, d double").orderBy("y", "a", "b", "c", "d").collect())
+    data = np.array(slim.mapInArrow(tidy(second), "y double, a double, b double, c double, d double").orderBy("y", "a", "b", "c", "d").collect())
     whole.weights = _fit_logistic(data[:, 1:], data[:, 0])
     return whole
 
@@ -301,7 +302,7 @@ def score_toxicity(df: DataFrame, model: Toxicity, id_col: str = "doc_id", text_
             )
 
     kind = slim.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<score: double, first: int, last: int>>")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {kind}, score double, passages array<struct<score: double, first: int, last: int>>")
 
 
 def drop_toxic(df: DataFrame, model: Toxicity, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -275,3 +275,51 @@ def test_tasks_that_learn_hold_only_counts():
     own.learn(some)
     assert not sent.ready and not own.ready
     assert (sent.lengths(some) == mixer.lengths(some)).all()
+
+
+def test_a_long_text_is_pooled_in_parts():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    model, slots = quality.Quality(rng.normal(0, 1, (quality.WORDS, quality.SIZE))), quality.Slots()
+    text = "a b c d e " * 60_000
+    ids = slots.of(text) // quality.SHAPES
+    want = (model.words[ids[:-1]] * model.words[ids[1:]]).sum(axis=1).mean()
+    tracemalloc.start()
+    row = model.pooled([text, "a"], slots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row[0, -2] == pytest.approx(want) and row[1, -2] == 0
+    assert peak < 100e6
+
+
+def test_tasks_hand_back_what_they_leave_free(monkeypatch):
+    """A worker outlives its task; a following step of the pipeline has its memory."""
+    import pyarrow as pa
+
+    from lectern.llm import common
+
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append(True)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(pa, "system_memory_pool", Pool)
+    run = common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(run) == 2 and not done
+    assert list(run) == [3] and len(done) == 2
+
+
+def test_packing_remembers_a_bounded_part_of_a_large_vocabulary(monkeypatch):
+    from lectern.llm import packing
+
+    monkeypatch.setattr(packing, "_word_ids", lambda tokenizer, new: ((w, w[:4]) for w in new))
+    words = packing.Words.__new__(packing.Words)
+    words.tokenizer, words.young, words.old, words.held = None, {}, {}, 0
+    for at in range(0, 1_000_000, 10_000):
+        text = [b"%07d" % i for i in range(at, at + 10_000)] + [b"often"]
+        found = words.of([text])
+        assert all(found[w] == w[:4] for w in text)
+    assert len(words.young) + len(words.old) < 550_000 and b"often" in words.young
