@@ -26,12 +26,15 @@ with the corpus and is never collected. Only the predictor tables have a fixed s
 
 from __future__ import annotations
 
-import os
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _slots_of(context: np.ndarray, of_node: np.ndarray, size: int) -> np.ndarray:
+    """Slots of contexts at their places within a code, in a table of ``size`` bits."""
+    x = context + of_node
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x >>= np.uint64(64 - size)
+    return x.view(np.int64)
+
+
 @dataclass
 class Coded:
     """All bytes of some words, each word closed by a stop byte, and the hashes of their contexts."""
@@ -100,8 +111,9 @@ class Coded:
         node = np.ones(len(self.bytes_), np.uint64)
         for place in range(8):
             bit = (self.bytes_ >> np.uint8(7 - place)) & np.uint8(1)
+            of_node = node * _MIX
             slots = [
-                ((c + node * _MIX) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - size)).astype(np.int64)
+                _slots_of(c, of_node, size)
                 for c, size in zip(self.contexts, TABLES, strict=True)
             ]
             yield place, bit, slots
@@ -120,23 +132,25 @@ class Running:
     def of(cls, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> Running:
         """``keys``: hashes of the words, of which ``flat`` are the numbers in the texts; no context crosses texts."""
         starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int64)
-        slots = keys % np.uint32(CLASS_SLOTS)
+        own = keys.take(flat)
+        slots = (own % np.uint32(CLASS_SLOTS)).astype(np.int64)
         best = before = None
         for z, row in enumerate(classes):
-            each = row[:-1][slots][flat]
-            fit = np.cumsum(each) - each
-            fit += row[-1] - np.repeat(fit[starts], sizes)
+            each = row.take(slots)
+            fit = np.cumsum(each)
+            fit -= each
+            fit += np.repeat(row[-1] - fit[starts], sizes)
             if best is None:
                 best, before = fit, np.zeros(len(flat), np.int64)
             else:
                 before[fit > best] = z
                 np.maximum(best, fit, out=best)
-        wide = keys.astype(np.uint64)[flat] + np.uint64(1)
+        wide = own.astype(np.uint64) + np.uint64(1)
         one, two = np.zeros_like(wide), np.zeros_like(wide)
         one[1:], two[2:] = wide[:-1], wide[:-2]
         one[starts], two[starts], two[np.minimum(starts + 1, len(two) - 1)] = 0, 0, 0
         first = _mixed(one * _MIX + np.uint64(1))
-        return cls((keys >> np.uint32(32 - WORD_BITS))[flat], before, [first, _mixed((first + two) * _MIX + np.uint64(2))])
+        return cls(own >> np.uint32(32 - WORD_BITS), before, [first, _mixed((first + two) * _MIX + np.uint64(2))])
 
     @classmethod
     def over(cls, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, classes: np.ndarray, only: np.ndarray | None = None, together: int = 20_000) -> Iterator[Running]:
@@ -167,9 +181,9 @@ class Running:
         node = np.ones(len(self.codes), np.uint64)
         for place in range(WORD_BITS):
             bit = (self.codes >> np.uint32(WORD_BITS - 1 - place)) & np.uint32(1)
-            slots = [(self.before << WORD_BITS) + node.astype(np.int64)]
+            slots, of_node = [(self.before << WORD_BITS) + node.view(np.int64)], node * _MIX
             for c, size in zip(self.contexts, WORD_TABLES[1:], strict=True):
-                slots.append(((c + node * _MIX) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(65 - size.bit_length())).astype(np.int64))
+                slots.append(_slots_of(c, of_node, size.bit_length() - 1))
             yield place, bit, slots
             node = node * np.uint64(2) + bit
 
@@ -230,15 +244,31 @@ def _confidence(all_: np.ndarray) -> np.ndarray:
     return (all_ >= 0.5).astype(np.int64) + (all_ >= 2.5) + (all_ >= 12.5)
 
 
+def _joined(zeros: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Logit and confidence, looked up together: the confidence has the two lowest bits."""
+    return _logit(zeros, ones).view(np.uint32) & ~np.uint32(3) | _confidence(all_).astype(np.uint32)
+
+
 def _ready(counts: np.ndarray, together: int = 1 << 18) -> np.ndarray:
-    """Logit and confidence of each slot, looked up together: the confidence has the two lowest bits."""
+    """Logit and confidence of each slot."""
     out = np.empty(len(counts), np.uint32)
     for at in range(0, len(counts), together):
         c = counts[at:at + together]
-        out[at:at + together] = _logit(c[:, 0], c[:, 1]).view(np.uint32) & ~np.uint32(3) | _confidence(c.sum(axis=1)).astype(np.uint32)
+        out[at:at + together] = _joined(c[:, 0], c[:, 1], c.sum(axis=1))
     return out
 
 
+def _apart(counts: np.ndarray, together: int = 1 << 16) -> np.ndarray:
+    """Logit and confidence of each slot without the word itself, at twice the slot and the word's own bit."""
+    out = np.empty((len(counts), 2), np.uint32)
+    for at in range(0, len(counts), together):
+        c = counts[at:at + together]
+        less, all_ = np.maximum(c - 1, 0), c.sum(axis=1) - 1
+        out[at:at + together, 0] = _joined(less[:, 0], c[:, 1], all_)
+        out[at:at + together, 1] = _joined(c[:, 0], less[:, 1], all_)
+    return out.ravel()
+
+
 _UNPACKED: dict[int, tuple] = {}
 
 
@@ -249,13 +279,24 @@ class Mixer:
 
     def __init__(self, counts: list[np.ndarray], places: int = 8):
         """``counts``: for each predictor an array of (zeros, ones) by slot; the two longest contexts last."""
-        self._looked_up(counts)
+        self._counts, self._packed, self.ready, self.apart = counts, None, [], []
         self.weights = np.zeros((places * 4 * 4, len(counts) + 1))
         self.weights[:, :-1] = 0.4
         self.map_ = np.zeros((257 * _LEVELS, 2))
 
-    def _looked_up(self, counts: list[np.ndarray]) -> None:
-        self.counts, self.ready = counts, []  # tasks that learn never look up what is ready
+    @property
+    def counts(self) -> list[np.ndarray]:
+        """Tasks are sent the counts compressed and make of them what they look up, one table after the other."""
+        return list(self._tables()) if self._counts is None else self._counts
+
+    def _tables(self) -> Iterator[np.ndarray]:
+        import zstandard
+
+        if self._counts is not None:
+            yield from self._counts
+            return
+        for one in self._packed if self.learns else []:
+            yield np.frombuffer(zstandard.ZstdDecompressor().decompress(one), "<f4").reshape(-1, 2)
 
     def scoring(self) -> Mixer:
         """The same mixer for :meth:`lengths` alone: tasks do not keep the counts."""
@@ -267,42 +308,46 @@ class Mixer:
         """Tables go to tasks compressed, as every executor writes what it is sent to its disk."""
         import zstandard
 
-        if not hasattr(self, "_packed"):
-            self._packed = [zstandard.ZstdCompressor(level=1).compress(c.astype("<f4").tobytes()) for c in self.counts]
+        if self._packed is None:
+            self._packed = [zstandard.ZstdCompressor(level=1).compress(c.astype("<f4").tobytes()) for c in self._counts]
         return self._packed, self.weights, self.map_, self.learns
 
     def __setstate__(self, state: tuple) -> None:
         import zstandard
 
-        packed, self.weights, self.map_, self.learns = state
-        key = hash((*packed, self.learns))
+        self._packed, self.weights, self.map_, self.learns = state
+        self._counts = None
+        key = hash((*self._packed, self.learns))
         if key not in _UNPACKED:  # a worker unpacks tables once, not for every task
             _UNPACKED.clear()
-            unpacked = (np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<f4").reshape(-1, 2) for c in packed)
-            if self.learns:
-                self._looked_up(list(unpacked))
-            else:
-                self.counts, self.ready = [], [_ready(c) for c in unpacked]
-            _UNPACKED[key] = self.counts, self.ready
-        self.counts, self.ready = _UNPACKED[key]
+            _UNPACKED[key] = [], []
+            if not self.learns:
+                for one in self._packed:
+                    _UNPACKED[key][0].append(_ready(np.frombuffer(zstandard.ZstdDecompressor().decompress(one), "<f4").reshape(-1, 2)))
+        self.ready, self.apart = _UNPACKED[key]
+        if not self.learns:
+            self._packed = []
 
     def fresh(self) -> Mixer:
         """The same tables with weights that have learned nothing."""
         own = Mixer.__new__(Mixer)
-        own.counts, own.ready = self.counts, self.ready
+        own.__dict__.update(self.__dict__)
         own.weights, own.map_ = np.zeros_like(self.weights), np.zeros_like(self.map_)
         own.weights[:, :-1] = 0.4
         return own
 
     @staticmethod
-    def _gate(place: int, seen: list[np.ndarray]) -> np.ndarray:
-        return (place * 4 + seen[-1].astype(np.int64)) * 4 + seen[-2]
+    def _gate(place: int, found: list[np.ndarray]) -> np.ndarray:
+        gate = (found[-1] & np.uint32(3)) * np.uint32(4)
+        gate += found[-2] & np.uint32(3)
+        gate += np.uint32(place * 16)
+        return gate.astype(np.int64)
 
     def _mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        weights = self.weights.astype(np.float32)
-        x = weights[gate, -1]
-        for k, one in enumerate(inputs):
-            x += weights[gate, k] * one
+        weights = self.weights.T.astype(np.float32)
+        x = weights[-1].take(gate)
+        for own, one in zip(weights, inputs, strict=False):
+            x += own.take(gate) * one
         return np.clip(x, -11.5, 11.5, out=x)
 
     @staticmethod
@@ -311,39 +356,40 @@ class Mixer:
 
     def learn(self, coded: Coded) -> None:
         """One online step per bit place: weights along the coding error, then the map's counts."""
+        if not self.apart:
+            self.apart.extend(map(_apart, self._tables()))
+        gates = len(self.weights)
         for place, bit, slots in coded.steps():
-            y, inputs, seen = bit.astype(np.float32), [], []
-            for c, slot in zip(self.counts, slots, strict=True):
-                pair = c[slot]
-                zeros, ones = pair[:, 0] - (1 - y), pair[:, 1] - y  # without the word itself
-                inputs.append(_logit(np.maximum(zeros, 0), np.maximum(ones, 0)))
-                seen.append(_confidence(zeros + ones))
-            gate = self._gate(place, seen)
+            y = bit.astype(np.float32)
+            found = [apart.take(slot * 2 + bit) for apart, slot in zip(self.apart, slots, strict=True)]  # without the word itself
+            gate, inputs = self._gate(place, found), [f.view(np.float32) for f in found]
             x = self._mix(gate, inputs)
             error = y - 1 / (1 + np.exp(-x))
-            gates = len(self.weights)
-            n = np.bincount(gate, minlength=gates)
-            for k, one in enumerate([*inputs, np.ones(len(y), np.float32)]):
-                self.weights[:, k] += 20 * RATE * np.bincount(gate, error * one, gates) / np.maximum(n, 50)
-            cell = self._cell(coded.before, x)
-            self.map_[:, 0] += np.bincount(cell, minlength=len(self.map_))
-            self.map_[:, 1] += np.bincount(cell, y, len(self.map_))
+            step = 20 * RATE / np.maximum(np.bincount(gate, minlength=gates), 50)
+            for k, one in enumerate(inputs):
+                self.weights[:, k] += step * np.bincount(gate, error * one, gates)
+            self.weights[:, -1] += step * np.bincount(gate, error, gates)
+            cell = 2 * self._cell(coded.before, x) + bit
+            seen = np.bincount(cell, minlength=2 * (cell.max(initial=0) // 2 + 1)).reshape(-1, 2)
+            self.map_[:len(seen), 0] += seen.sum(axis=1)
+            self.map_[:len(seen), 1] += seen[:, 1]
 
     def lengths(self, coded: Coded) -> np.ndarray:
         """Bits of each word."""
         if not self.ready:
-            self.ready = [_ready(c) for c in self.counts]
-        total = np.zeros(len(coded.before))
+            self.ready.extend(map(_ready, self._tables()))
+        product = np.ones(len(coded.before))  # of at most 10 probabilities, none below 1e-6
         middle = 1 / (1 + np.exp(-((np.arange(257 * _LEVELS) % _LEVELS + 0.5) * (24.0 / _LEVELS) - 12.0)))
-        refined = ((self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)).astype(np.float64)
+        refined = 0.5 * (self.map_[:, 1] + 8 * middle) / (self.map_[:, 0] + 8)
         for place, bit, slots in coded.steps():
-            found = [ready[slot] for ready, slot in zip(self.ready, slots, strict=True)]
-            x = self._mix(self._gate(place, [f & np.uint32(3) for f in found]), [f.view(np.float32) for f in found])
+            found = [ready.take(slot) for ready, slot in zip(self.ready, slots, strict=True)]
+            x = self._mix(self._gate(place, found), [f.view(np.float32) for f in found])
             # in double precision from here on, so that the probabilities of all words add up to one
-            p = 0.5 / (1 + np.exp(-x.astype(np.float64))) + 0.5 * refined[self._cell(coded.before, x)]
-            p = np.clip(p, 1e-6, 1 - 1e-6, out=p)
-            total -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, coded.starts)
+            p = (np.float32(0.5) / (1 + np.exp(-x))).astype(np.float64)
+            p += refined.take(self._cell(coded.before, x))
+            np.clip(p, 1e-6, 1 - 1e-6, out=p)
+            product *= np.abs((1 - bit.astype(np.int8)) - p)
+        return np.add.reduceat(-np.log2(product), coded.starts)
 
 
 def _slot(word: bytes) -> int:
@@ -478,7 +524,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
     of words after their contexts (``k, part, sums``).
 
     The empty word stands for the end of a document; ``c0, c1, ..`` count a word in the training documents
-    of each class. A block is made by one task and written once, so its random number is never made again.
+    of each class. A block has the number of its task and its number there.
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (fold(id_col, folds) == held).alias("held"))
     kinds = pa.schema([
@@ -490,7 +536,9 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        numbers: dict[bytes, int] = {}
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__  # a new word has the next number
+        block_names = count(TaskContext.get().partitionId() << 32)
         ids, held_, sizes, at = [], [], [], []
         n = 0
         follow = [np.zeros(2 * size, np.int32) for size in WORD_TABLES]
@@ -502,19 +550,22 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
             starts = np.append(0, np.cumsum(sizes)[:-1])
             learned = ~np.array(held_, dtype=bool)
             keys = np.fromiter(map(_key, words), np.uint32, len(words))
-            slots = keys % np.uint32(CLASS_SLOTS)
             trained = np.zeros(len(words) * CLASSES, np.int32)
             for a, b, own in _parts(flat, np.array(sizes)):
-                best = np.argmax([np.add.reduceat(row[:-1][slots][own], starts[a:b] - starts[a]) + row[-1] for row in classes], axis=0)
+                slots = (keys.take(own) % np.uint32(CLASS_SLOTS)).astype(np.int64)
+                best = np.argmax([np.add.reduceat(row.take(slots), starts[a:b] - starts[a]) + row[-1] for row in classes], axis=0)
                 train = np.repeat(learned[a:b], sizes[a:b])
                 np.add.at(trained, own[train].astype(np.int64) * CLASSES + np.repeat(best, sizes[a:b])[train], np.int32(1))
             trained = trained.reshape(-1, CLASSES)
             for some in Running.over(keys, flat, np.array(sizes), classes, learned):
                 for _, bit, at_ in some.steps():
                     for own, slot in zip(follow, at_, strict=True):
-                        np.add.at(own, slot * 2 + bit, np.int32(1))
+                        if len(own) <= len(slot):  # a small table is counted faster as a whole
+                            own += np.bincount(slot * 2 + bit, minlength=len(own)).astype(np.int32)
+                        else:
+                            np.add.at(own, slot * 2 + bit, np.int32(1))
             packed = zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
-            name = int.from_bytes(os.urandom(8), "little", signed=True)
+            name = next(block_names)
             none = [pa.nulls(1, k.type) for k in kinds]
             values = [[name], [ids], [held_], [sizes], [packed], [keys.astype("<u4").tobytes()]]
             yield pa.RecordBatch.from_arrays([*(pa.array(v, k.type) for v, k in zip(values, kinds, strict=False)), *none[6:]], schema=kinds)
@@ -532,16 +583,15 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, folds: int, held: int, cl
             for i, text, out in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found = encoded(text).lower().split()
                 found.append(b"")
-                number = numbers.setdefault
-                at.append(np.fromiter((number(w, len(numbers)) for w in found), np.uint32, len(found)))
+                at.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 ids.append(i)
                 held_.append(out)
                 sizes.append(len(found))
                 n += len(found)
                 if n >= BLOCK_TOKENS:
                     yield from close()
-                    numbers, n = {}, 0
                     ids, held_, sizes, at = [], [], [], []
+                    n = 0
         if ids:
             yield from close()
         for piece in _pieces(follow):
@@ -632,6 +682,45 @@ def _averaged(mixer: Mixer, rows: DataFrame) -> Mixer:
     return mixer
 
 
+def _price_kind(width: int) -> np.dtype:
+    return np.dtype([("back", "<f4"), ("numbers", f"<u{width}", (1 + CLASSES,))])
+
+
+def _prices(words: pa.Array, back: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``word, price``: log-probability, size and counts of a word packed into as few bytes as the largest
+    number asks for. Words of one width follow each other."""
+    most, least = numbers.max(axis=1, initial=0), -1
+    for width in (1, 2, 4, 8):
+        last = (1 << 8 * width) - 1 if width < 8 else np.iinfo(np.int64).max
+        at = np.flatnonzero((most > least) & (most <= last))
+        least = last
+        if len(at):
+            kind = _price_kind(width)
+            packed = np.empty(len(at), kind)
+            packed["back"], packed["numbers"] = back[at], numbers[at]
+            ends = np.arange(len(at) + 1, dtype=np.int32) * np.int32(kind.itemsize)
+            price = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), price], ["word", "price"])
+
+
+def _unpriced(places: np.ndarray, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """By place: log-probabilities, and sizes and counts (a row each) of words packed by :func:`_prices`."""
+    back, numbers = np.zeros(len(places)), np.zeros((1 + CLASSES, len(places)), np.int64)
+    sizes = pc.binary_length(column).to_numpy()
+    for width in (1, 2, 4, 8):
+        kind = _price_kind(width)
+        own = sizes == kind.itemsize
+        at, first = places[own], 0
+        for chunk in column.filter(pa.array(own)).chunks:
+            if len(chunk):
+                start = np.frombuffer(chunk.buffers()[1], "<i4" if pa.types.is_binary(chunk.type) else "<i8")[chunk.offset]
+                read = np.frombuffer(chunk.buffers()[2], kind, len(chunk), int(start))
+                some = at[first:first + len(chunk)]
+                back[some], numbers[:, some] = read["back"], read["numbers"].T
+                first += len(chunk)
+    return back, numbers
+
+
 def _by_code(known: DataFrame, names: list[str]) -> np.ndarray:
     """For each column and code: how often its known words came, and how many they are."""
 
@@ -684,18 +773,16 @@ def score_documents(
     of_code = _by_code(known, ["c", *names])
     discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for _, _, ones, twos in sums_]
 
-    def memory(counts: np.ndarray, of: int, flat: np.ndarray, code: np.ndarray, bits: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """Log-probabilities of running words: the mixed model's of the code, shared by discounted counts,
-        backed by others. ``counts`` belong to words, ``code``, ``bits`` and ``back`` to their places in texts."""
+    def memory(counts: np.ndarray, of: int, codes: np.ndarray) -> tuple[np.ndarray, float]:
+        """Shares of words in their code by discounted counts, as a factor of the code's probability, and what is left to others."""
         n, kinds = sums_[of, :2]
         if not n:
-            return back
+            return np.zeros(len(counts)), 1.0
         discount = discounts[of]
-        with np.errstate(divide="ignore"):
-            mass = np.log(np.maximum(of_code[of, 0] - discount * of_code[of, 1], 0) / n)
-            share = np.where(np.isfinite(mass), np.log(1 - discount * kinds / n) - mass, 0.0)
-            own = np.log(np.maximum(counts[flat] - discount, 0) / n) + share[code] + bits
-            return np.logaddexp(own, np.log(discount * kinds / n) + back)
+        left = discount * kinds / n
+        mass = np.maximum(of_code[of, 0] - discount * of_code[of, 1], 0) / n
+        share = np.divide(1 - left, mass, out=np.ones_like(mass), where=mass > 0)
+        return np.maximum(counts - discount, 0) / n * share[codes], left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, GATHERED):
@@ -703,34 +790,34 @@ def score_documents(
             bits = np.zeros(len(words))
             for first, some in _chunks(words, SHORT_CHUNK):
                 bits[first:first + len(some)] = mixer.lengths(Coded.of(some))
-            # all in logarithms, as the probability of a very long word is below any double
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((-bits * np.log(2.0)).astype(np.float32))], ["word", *names, "back"])
+            # in logarithms, as the probability of a very long word is below any double
+            counts = [np.array([len(w) for w in words]), *(c.to_numpy() for c in batch.columns[1:])]
+            yield from _prices(batch.column(0), -bits * np.log(2.0), np.stack(counts, axis=1))
 
-    fields = ", ".join(f"{c} bigint" for c in names)
-    scored = vocabulary.mapInArrow(run, f"word binary, {fields}, back float")
-    priced = entries.select("block", "at", "word").join(scored, "word").select(
-        F.col("block").alias("of"), "at", "back", *names, F.octet_length("word").alias("size")
-    )
+    scored = vocabulary.select("word", *names).mapInArrow(run, "word binary, price binary")
+    priced = entries.select("block", "at", "word").join(scored, "word").select(F.col("block").alias("of"), "at", "price")
     weights = classes[:, -1] / np.log(10.0) if total else np.full(CLASSES, -np.log10(CLASSES))
 
     def sums(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_pylist()[0]
-        place = right.column("at").to_numpy()
-        prices = {name: np.zeros(len(place)) for name in ("back", "size", *names)}
-        for name, own in prices.items():
-            own[place] = right.column(name).to_numpy()
-        c, size = sum(prices[z] for z in names), prices["size"]
+        spelled, (size, *counts) = _unpriced(right.column("at").to_numpy(), right.column("price"))
+        c = sum(counts)
         keys, flat, sizes = _unpacked(block)
         base, known_ = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), (c > 0).astype(np.int64)
-        codes, out = keys >> np.uint32(32 - WORD_BITS), []
+        codes, out = (keys >> np.uint32(32 - WORD_BITS)).astype(np.int64), []
+        (all_, left), *by_class = [memory(x, of, codes) for of, x in enumerate((c, *counts))]
+        with np.errstate(divide="ignore"):
+            all_, spelled = np.log(all_), spelled + np.log(left)
         # nothing is held by running word but for one part of the texts at a time
         for a, b, part in _parts(flat, sizes):
             starts = np.append(0, np.cumsum(sizes[a:b])[:-1])
-            per = lambda x: np.add.reduceat(x[part], starts)  # noqa: E731, B023
-            code = codes[part]
+            per = lambda x: np.add.reduceat(x.take(part), starts)  # noqa: E731, B023
             bits = np.concatenate([order.lengths(some) for some in Running.over(keys, part, sizes[a:b], classes)]) * -np.log(2.0)
-            back = memory(c, 0, part, code, bits, prices["back"][part])
-            fit = [np.add.reduceat(memory(prices[name], z + 1, part, code, bits, back), starts) / np.log(10.0) for z, name in enumerate(names)]
+            back = np.logaddexp(all_.take(part) + bits, spelled.take(part))
+            # in a class, as multiples of that; a word without a share has a large one perhaps, and does not use it
+            ahead = np.exp(np.minimum(bits - back, 700))
+            backs = np.add.reduceat(back, starts)
+            fit = [(np.add.reduceat(np.log(own.take(part) * ahead + left_), starts) + backs) / np.log(10.0) for own, left_ in by_class]
             fit = np.array(fit) + weights[:, None]
             scores = fit.max(axis=0)
             scores = scores + np.log10((10.0 ** (fit - scores)).sum(axis=0))

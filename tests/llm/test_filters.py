@@ -323,3 +323,48 @@ def test_packing_remembers_a_bounded_part_of_a_large_vocabulary(monkeypatch):
         found = words.of([text])
         assert all(found[w] == w[:4] for w in text)
     assert len(words.young) + len(words.old) < 550_000 and b"often" in words.young
+
+
+def test_learning_takes_a_word_out_of_its_own_counts_by_one_look():
+    """What is looked up is the logit and the confidence of the counts without the word itself, at half the cost of counting anew."""
+    counts = np.random.default_rng(2).integers(0, 40, (5000, 2)).astype(np.float32)
+    counts[:4] = [[0, 1], [1, 0], [0, 0], [70_000, 1]]
+    found = lm_score._apart(counts, together=700).reshape(-1, 2)
+    for bit in (0, 1):
+        left = counts.copy()
+        left[:, bit] -= 1
+        logit = np.log(np.maximum(left[:, 1], 0) + 0.3) - np.log(np.maximum(left[:, 0], 0) + 0.3)
+        assert np.allclose(found[:, bit].copy().view(np.float32), logit, rtol=1e-5, atol=1e-5)
+        assert (found[:, bit] & 3 == lm_score._confidence(left.sum(axis=1))).all()
+
+
+def test_a_worker_that_learns_has_one_table_a_predictor():
+    import pickle
+
+    mixer = lm_score.Mixer([np.random.default_rng(k).integers(0, 9, (1 << size, 2)).astype(np.float32) for k, size in enumerate(lm_score.TABLES)])
+    some = lm_score.Coded.of([b"abc", b"abd", b"zz" * 50])
+    here, sent = mixer.fresh(), pickle.loads(pickle.dumps(mixer))
+    there = sent.fresh()
+    here.learn(some)
+    there.learn(some)
+    assert (here.weights == there.weights).all() and (here.map_ == there.map_).all()
+    again = pickle.loads(pickle.dumps(mixer))  # as the next task of that worker
+    assert again.apart is sent.apart and again._counts is None
+    assert sum(x.nbytes for x in sent.apart) == sum(8 << size for size in lm_score.TABLES)
+
+
+def test_prices_travel_in_as_few_bytes_as_they_need():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    numbers = rng.integers(0, 200, (900, 1 + lm_score.CLASSES))
+    numbers[5, 2], numbers[6, 0], numbers[7, 6], numbers[8] = 256, 65_536, 1 << 32, (1 << 62)
+    back, words = -rng.random(900) * 2000, pa.array([b"w%d" % i for i in range(900)])
+    batches = list(lm_score._prices(words, back, numbers))
+    sizes = np.concatenate([[len(p) for p in b.column(1).to_pylist()] for b in batches])
+    assert len(sizes) == 900 and (sizes == 11).sum() == 896 and sizes.max() == 60
+    at = pa.Table.from_batches(batches).take(pa.array(rng.permutation(900)))
+    places = np.array([int(w[1:]) for w in at.column("word").to_pylist()])
+    for column in (at.column("price"), pa.chunked_array([at.column("price").combine_chunks().slice(0, 400), at.column("price").combine_chunks().slice(400)])):
+        got, found = lm_score._unpriced(places, column)
+        assert (got == back.astype(np.float32)).all() and (found.T == numbers).all()
