@@ -45,10 +45,28 @@ def fold(id_col: str, folds: int) -> Column:
     return (F.crc32(text.cast("binary")) % folds).cast("int")
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` over batches; what it leaves free goes back to the system, as workers outlive their tasks."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What a worker process keeps for the tasks that follow, until :func:`tidy` begins a task that keeps something else."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go(keeps: str | None) -> None:
+    """Drop what is kept under other names; a function of the module, as tasks get their own copies of what closures name."""
+    for name in [n for n in _KEPT if n != keeps]:
+        del _KEPT[name]
+
+
+def tidy(run: Callable, keeps: str | None = None) -> Callable:
+    """``run`` over batches; what it leaves free goes back to the system, as workers outlive their tasks, and so
+    does what tasks of other steps have kept."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         pa.system_memory_pool().release_unused()

@@ -17,14 +17,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import encoded, query, slices, table, tidy
+from lectern.llm.common import encoded, kept, query, slices, table, tidy
 from lectern.plans.scratch import settle
 
 #: Bytes of words and ids that a worker process remembers: twice as many at most, see :class:`Words`.
@@ -91,12 +90,6 @@ class Words:
         return self.young
 
 
-@cache
-def _words(tokenizer_path: str) -> Words:
-    """One per worker process: tasks that follow each other find the words of those before."""
-    return Words(tokenizer_path)
-
-
 def pieces(
     df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
@@ -109,10 +102,12 @@ def pieces(
     """
     slim = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    name = f"words of {tokenizer_path}"
     closing, most = int(end_id).to_bytes(4, "little"), 4 * limits.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer_path)
+        # tasks that follow each other find the words of those before
+        words = kept(name, lambda: Words(tokenizer_path))
         for batch in slices(batches, 1, _AT_ONCE):
             texts = [_END.sub(rb" \1", encoded(t).lower()).split() for t in batch.column(1).to_pylist()]
             get = words.of(texts).__getitem__
@@ -131,7 +126,7 @@ def pieces(
 
     kind = slim.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return slim.mapInArrow(tidy(run), schema + (", ids binary" if with_ids else ""))
+    return slim.mapInArrow(tidy(run, name), schema + (", ids binary" if with_ids else ""))
 
 
 def _choice(room: np.ndarray, need: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str) -> int:

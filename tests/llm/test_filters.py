@@ -368,3 +368,15 @@ def test_prices_travel_in_as_few_bytes_as_they_need():
     for column in (at.column("price"), pa.chunked_array([at.column("price").combine_chunks().slice(0, 400), at.column("price").combine_chunks().slice(400)])):
         got, found = lm_score._unpriced(places, column)
         assert (got == back.astype(np.float32)).all() and (found.T == numbers).all()
+
+
+def test_other_steps_let_go_of_what_a_worker_keeps_for_packing(monkeypatch):
+    from pyspark import cloudpickle
+
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    sent = [cloudpickle.loads(cloudpickle.dumps(common.tidy(lambda b: b, keeps))) for keeps in ("words", None)]
+    first = common.kept("words", lambda: {b"a": b"1"})
+    assert list(sent[0](iter([1]))) == [1] and common.kept("words", dict) is first
+    assert list(sent[1](iter([1]))) == [1] and not common._KEPT
